@@ -12,8 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from teebox.plans import courses as co
 from teebox.plans import scope as sc
+from teebox.plans import shots as sh
 from teebox.plans import summary as sm
+from teebox.operators.trim import trim_outliers
 from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, golf_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +48,100 @@ def q_practice_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.practice_focus(s.rounds, s.holes, s.shots)
 
 
+def q_second_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scoped(spark, sf_dir)
+    return sh.second_shots(s.holes, s.shots)
+
+
+def q_tee_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scoped(spark, sf_dir)
+    return sh.tee_shots(s.holes, s.shots)
+
+
+def q_putting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scoped(spark, sf_dir)
+    return sh.putting(s.holes, s.shots)
+
+
+def _club_scope(spark: SparkSession, sf_dir: str):
+    """Club products: shots of the rounds in scope; holes unfiltered (the join narrows them)."""
+    g = golf_tables(spark, sf_dir)
+    kept = sc.filter_rounds(g["rounds"])
+    raw = sc.restrict(sc.with_shot_types(g["shots"]), kept)
+    resolved = sc.with_club_names(spark, raw, CLUB_NAME_OVERRIDES)
+    return g["holes"], raw, resolved
+
+
+def q_club_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holes, _, resolved = _club_scope(spark, sf_dir)
+    return sh.club_context(holes, resolved)
+
+
+def q_club_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, raw, resolved = _club_scope(spark, sf_dir)
+    return sh.club_inventory(raw, resolved)
+
+
+def q_trim_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, shots = _tables(spark, sf_dir)
+    rows = shots.select("round_id", "hole_number", "shot_number", "club", "shot_type", "distance_meters")
+    return trim_outliers(rows, ["club", "shot_type"])
+
+
+def q_round_clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, shots = _tables(spark, sf_dir)
+    return sh.round_clubs(shots)
+
+
+def q_round_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, shots = _tables(spark, sf_dir)
+    return sh.round_shots(shots)
+
+
+def q_round_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, holes, _ = _tables(spark, sf_dir)
+    return sh.round_holes(holes)
+
+
+def _course_rounds(spark: SparkSession, sf_dir: str):
+    s = _scoped(spark, sf_dir)
+    return sc.with_display_course(s.rounds), golf_tables(spark, sf_dir)["holes"]
+
+
+def q_course_hole_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds, holes = _course_rounds(spark, sf_dir)
+    return co.course_hole_stats(rounds, holes, by=["display_course_name"])
+
+
+def q_course_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds, holes = _course_rounds(spark, sf_dir)
+    return co.course_focus(co.course_hole_stats(rounds, holes, by=["display_course_name"]), by=["display_course_name"])
+
+
+def q_rounds_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds, _, _ = _tables(spark, sf_dir)
+    return co.rounds_list(rounds)
+
+
+def q_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.courses(_scoped(spark, sf_dir).rounds)
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
     "practice_focus": q_practice_focus,
+    "second_shots": q_second_shots,
+    "tee_shots": q_tee_shots,
+    "putting": q_putting,
+    "club_context": q_club_context,
+    "club_inventory": q_club_inventory,
+    "trim_outliers": q_trim_outliers,
+    "round_clubs": q_round_clubs,
+    "round_shots": q_round_shots,
+    "round_holes": q_round_holes,
+    "course_hole_stats": q_course_hole_stats,
+    "course_focus": q_course_focus,
+    "rounds_list": q_rounds_list,
+    "courses": q_courses,
 }

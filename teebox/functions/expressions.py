@@ -39,7 +39,7 @@ def to_par() -> Column:
 
 def round_date(c: str | Column = "played_on") -> Column:
     """ISO date from the first ten characters; anything else is null."""
-    return F.try_to_date(F.substring(col(c), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(col(c), 1, 10), "yyyy-MM-dd")
 
 
 def fill_str(c: str | Column, default: str) -> Column:

@@ -330,10 +330,347 @@ FROM vals v"""
     return with_fixture(*ctes, vals, cands) + sel
 
 
+# ------------------------------------------------------------ shot tables
+TO_PAR = "CAST(h.strokes AS DOUBLE) - CAST(h.par AS DOUBLE)"
+
+
+def _pct(cond: str) -> str:
+    return f"AVG(CAST(({cond}) AS DOUBLE)) * 100"
+
+
+def _outcome_sql(rows: str, keys: list[str], count_name: str, extra: str = "") -> list[str]:
+    k = ", ".join(keys)
+    on = " AND ".join(f"r.{c} = t.{c}" for c in keys)
+    return [
+        f"""ost AS (
+  SELECT {k}, COUNT(*) AS {count_name}, COUNT(DISTINCT round_id) AS rounds,
+         {_pct('to_par <= 0')} AS par_or_better_pct, {_pct('to_par >= 1')} AS bogey_or_worse_pct,
+         {_pct('to_par >= 2')} AS double_or_worse_pct, AVG(to_par) AS avg_to_par,
+         COUNT(*) AS tn, AVG(distance_meters) AS tm, STDDEV_SAMP(distance_meters) AS tsd {extra}
+  FROM {rows} GROUP BY {k}
+)""",
+        f"""odist AS (
+  SELECT {", ".join("r." + c for c in keys)}, AVG(r.distance_meters) AS avg_distance_m,
+         STDDEV_SAMP(r.distance_meters) AS distance_stddev_m
+  FROM {rows} r LEFT JOIN ost t ON {on}
+  WHERE r.distance_meters IS NULL OR t.tn < 5 OR t.tsd IS NULL OR t.tsd = 0
+        OR ABS(r.distance_meters - t.tm) <= t.tsd * 2
+  GROUP BY {", ".join("r." + c for c in keys)}
+)""",
+    ]
+
+
+def _outcome_select(keys: list[str], count_name: str, extra_cols: str = "") -> str:
+    on = " AND ".join(f"o.{c} = d.{c}" for c in keys)
+    return f"""SELECT {", ".join("o." + c for c in keys)}, o.{count_name}, o.rounds{extra_cols},
+       {tround('d.avg_distance_m', 1)} AS avg_distance_m, {tround('d.distance_stddev_m', 1)} AS distance_stddev_m,
+       {tround('o.par_or_better_pct')} AS par_or_better_pct, {tround('o.bogey_or_worse_pct')} AS bogey_or_worse_pct,
+       {tround('o.double_or_worse_pct')} AS double_or_worse_pct, {tround('o.avg_to_par')} AS avg_to_par
+FROM ost o LEFT JOIN odist d ON {on}"""
+
+
+def second_shots_sql() -> str:
+    rows = f"""rows AS (
+  SELECT s.round_id, TRIM(COALESCE(s.club, 'Unknown')) AS club, s.distance_meters, CAST(h.par AS BIGINT) AS par,
+         CASE WHEN upper(h.fairway_shot_outcome) = 'HIT' THEN 'fairway'
+              WHEN upper(h.fairway_shot_outcome) IN ('LEFT', 'RIGHT', 'SHORT', 'LONG') THEN 'off_fairway'
+              WHEN upper(h.fairway_shot_outcome) = 'NO_FAIRWAY' THEN 'no_fairway'
+              WHEN h.fairway_hit THEN 'fairway' WHEN NOT h.fairway_hit THEN 'off_fairway' ELSE 'unknown' END AS inferred_start_lie,
+         {TO_PAR} AS to_par
+  FROM s_shots s JOIN s_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
+  WHERE s.shot_number = 2 AND h.par IN (4, 5)
+)"""
+    keys = ["par", "club", "inferred_start_lie"]
+    return with_fixture(rows, *_outcome_sql("rows", keys, "second_shots")) + _outcome_select(keys, "second_shots")
+
+
+def tee_shots_sql() -> str:
+    rows = f"""rows AS (
+  SELECT s.round_id, TRIM(COALESCE(s.club, 'Unknown')) AS club, s.distance_meters, CAST(h.par AS BIGINT) AS par,
+         CASE WHEN upper(h.fairway_shot_outcome) = 'HIT' THEN 'fairway'
+              WHEN upper(h.fairway_shot_outcome) = 'LEFT' THEN 'miss_left'
+              WHEN upper(h.fairway_shot_outcome) = 'RIGHT' THEN 'miss_right'
+              WHEN upper(h.fairway_shot_outcome) = 'NO_FAIRWAY' THEN 'no_fairway'
+              WHEN h.fairway_hit THEN 'fairway' WHEN NOT h.fairway_hit THEN 'missed_fairway' ELSE 'unknown' END AS fairway_result,
+         {TO_PAR} AS to_par
+  FROM s_shots s JOIN s_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
+  WHERE s.shot_number = 1
+)"""
+    keys = ["par", "club", "fairway_result"]
+    return with_fixture(rows, *_outcome_sql("rows", keys, "tee_shots")) + _outcome_select(keys, "tee_shots")
+
+
+def _canon_scope_ctes() -> list[str]:
+    """Club products: raw (typed, not renamed) shots of in-scope rounds, and all holes."""
+    return [
+        "c_raw AS (SELECT * FROM t_shots WHERE round_id IN (SELECT round_id FROM s_rounds))",
+        "c_res AS (SELECT * FROM p_shots WHERE round_id IN (SELECT round_id FROM s_rounds))",
+    ]
+
+
+def club_context_sql() -> str:
+    rows = f"""rows AS (
+  SELECT round_id, club, lie, shot_type, distance_meters, to_par,
+         CASE WHEN shot_type = 'PUTT' THEN 'putt'
+              WHEN shot_number = 1 THEN CASE WHEN par = 3 THEN 'tee_par_3' WHEN par = 4 THEN 'tee_par_4'
+                                             WHEN par = 5 THEN 'tee_par_5' ELSE 'tee_other' END
+              WHEN shot_number = 2 AND par = 4 THEN 'approach_par_4'
+              WHEN shot_number = 2 AND par = 5 THEN 'second_par_5'
+              WHEN shot_type IN ('CHIP', 'PITCH', 'BUNKER') THEN 'short_game'
+              WHEN contains(lower(lie), 'green') THEN 'putt'
+              WHEN shot_type IN ('LAYUP', 'RECOVERY') THEN lower(shot_type)
+              ELSE 'other' END AS context
+  FROM (
+    SELECT s.round_id, CAST(s.shot_number AS BIGINT) AS shot_number, TRIM(COALESCE(s.club, 'Unknown')) AS club,
+           TRIM(COALESCE(s.lie, 'Unknown')) AS lie, TRIM(COALESCE(s.shot_type, 'UNKNOWN')) AS shot_type,
+           s.distance_meters, CAST(h.par AS BIGINT) AS par, {TO_PAR} AS to_par
+    FROM c_res s JOIN g_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
+  ) x
+)"""
+    modes = """mt AS (
+  SELECT club, context, shot_type AS mode_type FROM (
+    SELECT club, context, shot_type, ROW_NUMBER() OVER (PARTITION BY club, context ORDER BY COUNT(*) DESC, shot_type) AS rk
+    FROM rows GROUP BY club, context, shot_type) WHERE rk = 1
+),
+ml AS (
+  SELECT club, context, lie AS mode_lie FROM (
+    SELECT club, context, lie, ROW_NUMBER() OVER (PARTITION BY club, context ORDER BY COUNT(*) DESC, lie) AS rk
+    FROM rows GROUP BY club, context, lie) WHERE rk = 1
+)"""
+    keys = ["club", "context"]
+    sel = _outcome_select(keys, "shots", ", COALESCE(mt.mode_type, 'Unknown') AS shot_type, COALESCE(ml.mode_lie, 'Unknown') AS lie")
+    sel += " LEFT JOIN mt ON o.club = mt.club AND o.context = mt.context LEFT JOIN ml ON o.club = ml.club AND o.context = ml.context"
+    return with_fixture(*_canon_scope_ctes(), rows, modes, *_outcome_sql("rows", keys, "shots")) + sel
+
+
+def club_inventory_sql() -> str:
+    ctes = _canon_scope_ctes() + [
+        """firsts AS (
+  SELECT club_id, COALESCE(club, 'Unknown') AS default_name FROM (
+    SELECT club_id, club, ROW_NUMBER() OVER (PARTITION BY club_id ORDER BY round_id, hole_number, shot_number) AS rk FROM c_raw)
+  WHERE rk = 1
+)""",
+        """conf AS (
+  SELECT club_id, COALESCE(club, 'Unknown') AS configured_name FROM (
+    SELECT club_id, club, ROW_NUMBER() OVER (PARTITION BY club_id ORDER BY round_id, hole_number, shot_number) AS rk FROM c_res)
+  WHERE rk = 1
+)""",
+        """s1 AS (
+  SELECT club_id, COUNT(*) AS shots, AVG(distance_meters) AS tm, STDDEV_SAMP(distance_meters) AS tsd FROM c_raw GROUP BY club_id
+)""",
+        """d1 AS (
+  SELECT r.club_id, AVG(r.distance_meters) AS a, STDDEV_SAMP(r.distance_meters) AS sd
+  FROM c_raw r JOIN s1 t ON r.club_id = t.club_id
+  WHERE r.distance_meters IS NULL OR t.shots < 5 OR t.tsd IS NULL OR t.tsd = 0 OR ABS(r.distance_meters - t.tm) <= t.tsd * 2
+  GROUP BY r.club_id
+)""",
+        """s2 AS (
+  SELECT club_id, shot_type, COUNT(*) AS n, AVG(distance_meters) AS tm, STDDEV_SAMP(distance_meters) AS tsd
+  FROM c_raw GROUP BY club_id, shot_type
+)""",
+        f"""d2 AS (
+  SELECT r.club_id, r.shot_type, {tround('AVG(r.distance_meters)', 1)} AS a, {tround('STDDEV_SAMP(r.distance_meters)', 1)} AS sd
+  FROM c_raw r JOIN s2 t ON r.club_id = t.club_id AND r.shot_type = t.shot_type
+  WHERE r.distance_meters IS NULL OR t.n < 5 OR t.tsd IS NULL OR t.tsd = 0 OR ABS(r.distance_meters - t.tm) <= t.tsd * 2
+  GROUP BY r.club_id, r.shot_type
+)""",
+        """bt AS (
+  SELECT club_id,
+         string_agg(CASE WHEN shot_type IS NULL OR shot_type = '' THEN 'Unknown' ELSE shot_type END || ': ' || CAST(n AS VARCHAR),
+                    ', ' ORDER BY rk) AS shot_type_breakdown
+  FROM (SELECT club_id, shot_type, n,
+               ROW_NUMBER() OVER (PARTITION BY club_id ORDER BY n DESC, shot_type ASC NULLS LAST) AS rk FROM s2)
+  WHERE rk <= 4 GROUP BY club_id
+)""",
+        """pv AS (
+  SELECT club_id,
+         MAX(CASE WHEN shot_type = 'TEE' THEN a END) AS tee_avg_m, MAX(CASE WHEN shot_type = 'TEE' THEN sd END) AS tee_distance_stddev_m,
+         MAX(CASE WHEN shot_type = 'APPROACH' THEN a END) AS approach_avg_m, MAX(CASE WHEN shot_type = 'APPROACH' THEN sd END) AS approach_distance_stddev_m,
+         MAX(CASE WHEN shot_type = 'LAYUP' THEN a END) AS layup_avg_m, MAX(CASE WHEN shot_type = 'LAYUP' THEN sd END) AS layup_distance_stddev_m,
+         MAX(CASE WHEN shot_type = 'CHIP' THEN a END) AS chip_avg_m, MAX(CASE WHEN shot_type = 'CHIP' THEN sd END) AS chip_distance_stddev_m
+  FROM d2 GROUP BY club_id
+)""",
+    ]
+    sel = f"""SELECT s1.club_id, f.default_name, s1.shots, {tround('d1.a', 1)} AS avg_distance_m, {tround('d1.sd', 1)} AS distance_stddev_m,
+       COALESCE(c.configured_name, f.default_name) AS configured_name, bt.shot_type_breakdown,
+       pv.tee_avg_m, pv.tee_distance_stddev_m, pv.approach_avg_m, pv.approach_distance_stddev_m,
+       pv.layup_avg_m, pv.layup_distance_stddev_m, pv.chip_avg_m, pv.chip_distance_stddev_m
+FROM s1 LEFT JOIN firsts f ON s1.club_id IS NOT DISTINCT FROM f.club_id LEFT JOIN d1 ON s1.club_id = d1.club_id
+LEFT JOIN conf c ON s1.club_id = c.club_id LEFT JOIN bt ON s1.club_id = bt.club_id LEFT JOIN pv ON s1.club_id = pv.club_id"""
+    return with_fixture(*ctes) + sel
+
+
+def putting_sql() -> str:
+    ctes = [
+        """fp AS (
+  SELECT d AS start_distance_m, p AS putts FROM (
+    SELECT s.distance_meters AS d, CAST(h.putts AS BIGINT) AS p,
+           ROW_NUMBER() OVER (PARTITION BY s.round_id, s.hole_number ORDER BY s.shot_number ASC NULLS FIRST) AS rk
+    FROM s_shots s JOIN s_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
+    WHERE s.shot_type = 'PUTT')
+  WHERE rk = 1 AND d IS NOT NULL AND p IS NOT NULL
+)""",
+        """fb AS (
+  SELECT *, CASE WHEN start_distance_m < 1 THEN '0-1m' WHEN start_distance_m < 2 THEN '1-2m'
+                 WHEN start_distance_m < 3 THEN '2-3m' WHEN start_distance_m < 5 THEN '3-5m'
+                 WHEN start_distance_m < 10 THEN '5-10m' WHEN start_distance_m < 15 THEN '10-15m' ELSE '15m+' END AS distance_bucket
+  FROM fp
+)""",
+    ]
+    sel = f"""SELECT distance_bucket, COUNT(*) AS holes, {tround('AVG(start_distance_m)', 1)} AS avg_start_distance_m,
+       {tround(_pct('putts = 1'))} AS one_putt_pct, {tround(_pct('putts = 2'))} AS two_putt_pct,
+       {tround(_pct('putts >= 3'))} AS three_putt_plus_pct
+FROM fb GROUP BY distance_bucket"""
+    return with_fixture(*ctes) + sel
+
+
+def trim_outliers_sql() -> str:
+    ctes = [
+        """tst AS (
+  SELECT club, shot_type, COUNT(*) AS n, AVG(distance_meters) AS m, STDDEV_SAMP(distance_meters) AS sd
+  FROM p_shots GROUP BY club, shot_type
+)"""
+    ]
+    sel = """SELECT s.round_id, s.hole_number, s.shot_number, s.club, s.shot_type, s.distance_meters
+FROM p_shots s LEFT JOIN tst t ON s.club = t.club AND s.shot_type = t.shot_type
+WHERE s.distance_meters IS NULL OR t.n < 5 OR t.sd IS NULL OR t.sd = 0 OR ABS(s.distance_meters - t.m) <= t.sd * 2"""
+    return with_fixture(*ctes) + sel
+
+
+def round_clubs_sql() -> str:
+    ctes = [
+        """rc AS (
+  SELECT round_id, COALESCE(club, 'Unknown') AS club, COALESCE(shot_type, 'UNKNOWN') AS shot_type, distance_meters FROM p_shots
+)""",
+        """rs AS (
+  SELECT round_id, club, COUNT(*) AS shots, AVG(distance_meters) AS m, STDDEV_SAMP(distance_meters) AS sd FROM rc GROUP BY round_id, club
+)""",
+        """rd AS (
+  SELECT r.round_id, r.club, AVG(r.distance_meters) AS a, STDDEV_SAMP(r.distance_meters) AS s
+  FROM rc r JOIN rs t ON r.round_id = t.round_id AND r.club = t.club
+  WHERE r.distance_meters IS NULL OR t.shots < 5 OR t.sd IS NULL OR t.sd = 0 OR ABS(r.distance_meters - t.m) <= t.sd * 2
+  GROUP BY r.round_id, r.club
+)""",
+        """rb AS (
+  SELECT round_id, club, string_agg(shot_type || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY rk) AS shot_type_breakdown
+  FROM (SELECT round_id, club, shot_type, n, ROW_NUMBER() OVER (PARTITION BY round_id, club ORDER BY n DESC, shot_type) AS rk
+        FROM (SELECT round_id, club, shot_type, COUNT(*) AS n FROM rc GROUP BY round_id, club, shot_type))
+  WHERE rk <= 4 GROUP BY round_id, club
+)""",
+    ]
+    sel = f"""SELECT rs.round_id, rs.club, rs.shots, {tround('rd.a', 1)} AS avg_distance_m, {tround('rd.s', 1)} AS distance_stddev_m,
+       rb.shot_type_breakdown
+FROM rs LEFT JOIN rd ON rs.round_id = rd.round_id AND rs.club = rd.club
+LEFT JOIN rb ON rs.round_id = rb.round_id AND rs.club = rb.club"""
+    return with_fixture(*ctes) + sel
+
+
+def round_shots_sql() -> str:
+    return with_fixture() + f"""SELECT round_id, CAST(hole_number AS BIGINT) AS hole_number, CAST(shot_number AS BIGINT) AS shot_number,
+       COALESCE(club, 'Unknown') AS club, {tround('distance_meters', 1)} AS distance_meters,
+       COALESCE(shot_type, 'UNKNOWN') AS shot_type, lie, CAST(NULL AS VARCHAR) AS result
+FROM p_shots"""
+
+
+def round_holes_sql() -> str:
+    return with_fixture() + """SELECT round_id, CAST(hole_number AS BIGINT) AS hole_number, CAST(par AS BIGINT) AS par,
+       CAST(strokes AS BIGINT) AS strokes, CAST(strokes AS BIGINT) - CAST(par AS BIGINT) AS to_par,
+       CAST(putts AS BIGINT) AS putts, gir, fairway_hit, COALESCE(CAST(penalties AS BIGINT), 0) AS penalties
+FROM g_holes"""
+
+
+# ------------------------------------------------------------------ courses
+def _course_holes_ctes(rounds: str = "s_rounds") -> list[str]:
+    tp = "(CAST(strokes AS DOUBLE) - CAST(par AS DOUBLE))"
+    return [
+        f"""cr AS (
+  SELECT round_id, CASE WHEN trim(course_name) <> '' THEN course_name ELSE location_name END AS display_course_name
+  FROM {rounds}
+)""",
+        f"""chs AS (
+  SELECT c.display_course_name, h.hole_number, COUNT(DISTINCT h.round_id) AS rounds_played,
+         arg_min(h.par, h.round_id) FILTER (WHERE h.par IS NOT NULL) AS par,
+         AVG(CAST(h.strokes AS DOUBLE)) AS avg_strokes, AVG({tp}) AS avg_to_par,
+         {_pct(tp + ' <= 0')} AS par_or_better_pct, {_pct(tp + ' >= 1')} AS bogey_or_worse_pct,
+         {_pct(tp + ' >= 2')} AS double_or_worse_pct, {_pct('h.gir')} AS gir_pct,
+         {_pct('h.fairway_hit')} AS fairway_hit_pct, {_pct('h.putts >= 3')} AS three_putt_pct,
+         AVG(COALESCE(CAST(h.penalties AS DOUBLE), 0.0E0)) AS penalty_rate, AVG(CAST(h.putts AS DOUBLE)) AS avg_putts
+  FROM g_holes h JOIN cr c ON h.round_id = c.round_id
+  GROUP BY c.display_course_name, h.hole_number
+)""",
+        f"""chr AS (
+  SELECT display_course_name, hole_number, rounds_played, par,
+         {tround('avg_strokes')} AS avg_strokes, {tround('avg_to_par')} AS avg_to_par,
+         {tround('par_or_better_pct')} AS par_or_better_pct, {tround('bogey_or_worse_pct')} AS bogey_or_worse_pct,
+         {tround('double_or_worse_pct')} AS double_or_worse_pct, {tround('gir_pct')} AS gir_pct,
+         {tround('fairway_hit_pct')} AS fairway_hit_pct, {tround('three_putt_pct')} AS three_putt_pct,
+         {tround('penalty_rate')} AS penalty_rate, {tround('avg_putts')} AS avg_putts
+  FROM chs
+)""",
+    ]
+
+
+def course_hole_stats_sql() -> str:
+    return with_fixture(*_course_holes_ctes()) + "SELECT * FROM chr"
+
+
+def _focus_sql(metric: str, suffix: str, highest: bool) -> str:
+    order = f"{metric} DESC" if highest else f"{metric} ASC"
+    sfx = suffix.replace("%", "%%")
+    return f"""(SELECT display_course_name, string_agg(printf('%d ({'%.2f'}{sfx})', hole_number, {metric}), ', ' ORDER BY rk) AS v
+   FROM (SELECT display_course_name, hole_number, {metric},
+                ROW_NUMBER() OVER (PARTITION BY display_course_name ORDER BY {order}, hole_number) AS rk
+         FROM chr WHERE {metric} IS NOT NULL AND hole_number IS NOT NULL)
+   WHERE rk <= 3 GROUP BY display_course_name)"""
+
+
+def course_focus_sql() -> str:
+    parts = [
+        ("hardest_holes", "avg_to_par", " to par", True),
+        ("penalty_holes", "penalty_rate", " penalties", True),
+        ("three_putt_holes", "three_putt_pct", "% 3-putts", True),
+        ("gir_trouble_holes", "gir_pct", "% GIR", False),
+    ]
+    sel = "SELECT g.display_course_name"
+    joins = " FROM (SELECT DISTINCT display_course_name FROM chr) g"
+    for i, (name, m, sfx, hi) in enumerate(parts):
+        sel += f", COALESCE(f{i}.v, '') AS {name}"
+        joins += f" LEFT JOIN {_focus_sql(m, sfx, hi)} f{i} ON g.display_course_name IS NOT DISTINCT FROM f{i}.display_course_name"
+    return with_fixture(*_course_holes_ctes()) + sel + joins
+
+
+def rounds_list_sql() -> str:
+    return with_fixture() + """SELECT round_id, played_on,
+       CASE WHEN trim(course_name) <> '' THEN course_name ELSE location_name END AS display_course_name,
+       COALESCE(exclude_from_stats, FALSE) AS exclude_from_stats, comment
+FROM g_rounds"""
+
+
+def courses_sql() -> str:
+    return with_fixture() + """SELECT course_name, COUNT(DISTINCT round_id) AS rounds_played, MIN(played_on) AS first_played,
+       MAX(played_on) AS last_played
+FROM (SELECT round_id, played_on, CASE WHEN trim(course_name) <> '' THEN course_name ELSE location_name END AS course_name
+      FROM s_rounds)
+WHERE course_name IS NOT NULL GROUP BY course_name"""
+
+
 # --------------------------------------------------------------- registry
 def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
     return {
         "summary": summary_sql(),
         "round_stats": round_stats_sql(),
         "practice_focus": practice_focus_sql(),
+        "second_shots": second_shots_sql(),
+        "tee_shots": tee_shots_sql(),
+        "putting": putting_sql(),
+        "club_context": club_context_sql(),
+        "club_inventory": club_inventory_sql(),
+        "trim_outliers": trim_outliers_sql(),
+        "round_clubs": round_clubs_sql(),
+        "round_shots": round_shots_sql(),
+        "round_holes": round_holes_sql(),
+        "course_hole_stats": course_hole_stats_sql(),
+        "course_focus": course_focus_sql(),
+        "rounds_list": rounds_list_sql(),
+        "courses": courses_sql(),
     }
