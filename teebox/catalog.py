@@ -16,6 +16,7 @@ from teebox.plans import courses as co
 from teebox.plans import scope as sc
 from teebox.plans import shots as sh
 from teebox.plans import summary as sm
+from teebox.plans import trends as tr
 from teebox.operators.trim import trim_outliers
 from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, golf_tables
 
@@ -127,6 +128,20 @@ def q_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.courses(_scoped(spark, sf_dir).rounds)
 
 
+TREND_WINDOW = 5
+TREND_BY = ["player_profile_id"]
+
+
+def q_round_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends per player (the reference's single-player history, for every player)."""
+    s = _scoped(spark, sf_dir)
+    return tr.round_trends(s.rounds, s.holes, TREND_WINDOW, by=TREND_BY)
+
+
+def q_metric_trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.metric_trend_series(q_round_trends(spark, sf_dir), by=TREND_BY)
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
@@ -144,4 +159,6 @@ QUERIES: dict[str, Query] = {
     "course_focus": q_course_focus,
     "rounds_list": q_rounds_list,
     "courses": q_courses,
+    "round_trends": q_round_trends,
+    "metric_trend_series": q_metric_trend_series,
 }

@@ -144,8 +144,7 @@ def display_course_name() -> Column:
 def trend_course_name() -> Column:
     """First non-blank of display name, course name, location name (value untrimmed)."""
     parts = []
-    for name in ("display_course_name", "course_name", "location_name"):
-        v = F.col(name).cast("string")
+    for v in (display_course_name(), F.col("course_name").cast("string"), F.col("location_name").cast("string")):
         parts.append(F.when(strip(v) != "", v))
     return F.coalesce(*parts)
 

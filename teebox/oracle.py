@@ -654,6 +654,82 @@ FROM (SELECT round_id, played_on, CASE WHEN trim(course_name) <> '' THEN course_
 WHERE course_name IS NOT NULL GROUP BY course_name"""
 
 
+# ------------------------------------------------------------------- trends
+TREND_NAMES = [
+    ("average_to_par", "round_to_par", "window_average_to_par", "delta_average_to_par"),
+    ("gir_pct", "round_gir_pct", "window_gir_pct", "delta_gir_pct"),
+    ("fir_pct", "round_fir_pct", "window_fir_pct", "delta_fir_pct"),
+    ("scrambling_pct", "round_scrambling_pct", "window_scrambling_pct", "delta_scrambling_pct"),
+    ("three_putts_per_18", "round_three_putts_per_18", "window_three_putts_per_18", "delta_three_putts_per_18"),
+    ("penalties_per_18", "round_penalties_per_18", "window_penalties_per_18", "delta_penalties_per_18"),
+]
+
+
+def round_trends_sql(window: int = 5, key: str = "player_profile_id") -> str:
+    tp = "(CAST(strokes AS DOUBLE) - CAST(par AS DOUBLE))"
+    sc = "(strokes IS NOT NULL AND par IS NOT NULL)"
+    ok = "hc IN (9, 18)"
+    ctes = [
+        f"""tc AS (
+  SELECT round_id, COUNT(*) AS hc, SUM(CASE WHEN gir THEN 1 ELSE 0 END) AS gh, COUNT(gir) AS gk,
+         SUM(CASE WHEN fairway_hit THEN 1 ELSE 0 END) AS fh, COUNT(fairway_hit) AS fk,
+         SUM(CASE WHEN {sc} AND gir = FALSE AND {tp} <= 0 THEN 1 ELSE 0 END) AS sh,
+         SUM(CASE WHEN {sc} AND gir = FALSE THEN 1 ELSE 0 END) AS st,
+         SUM(CASE WHEN putts >= 3 THEN 1 ELSE 0 END) AS tpc, COALESCE(SUM(CAST(penalties AS DOUBLE)), 0) AS pen
+  FROM s_holes GROUP BY round_id
+)""",
+        f"""tb AS (
+  SELECT r.{key}, r.round_id, r.played_on,
+         COALESCE(CASE WHEN trim(CASE WHEN trim(r.course_name) <> '' THEN r.course_name ELSE r.location_name END) <> ''
+                       THEN CASE WHEN trim(r.course_name) <> '' THEN r.course_name ELSE r.location_name END END,
+                  CASE WHEN trim(r.course_name) <> '' THEN r.course_name END,
+                  CASE WHEN trim(r.location_name) <> '' THEN r.location_name END) AS course_name,
+         try_strptime(substr(r.played_on, 1, 10), '%Y-%m-%d') AS d, c.hc,
+         COALESCE(CASE WHEN c.{ok} THEN (CAST(r.total_score AS DOUBLE) - CAST(r.total_par AS DOUBLE)) * 18.0E0 / c.hc END, 0) AS n1,
+         CASE WHEN c.{ok} AND r.total_score IS NOT NULL AND r.total_par IS NOT NULL THEN 1 ELSE 0 END AS d1,
+         COALESCE(c.gh, 0) AS n2, COALESCE(c.gk, 0) AS d2, COALESCE(c.fh, 0) AS n3, COALESCE(c.fk, 0) AS d3,
+         COALESCE(c.sh, 0) AS n4, COALESCE(c.st, 0) AS d4,
+         COALESCE(CASE WHEN c.{ok} THEN c.tpc * 18.0E0 / c.hc END, 0) AS n5, CASE WHEN c.{ok} THEN 1 ELSE 0 END AS d5,
+         COALESCE(CASE WHEN c.{ok} THEN c.pen * 18.0E0 / c.hc END, 0) AS n6, CASE WHEN c.{ok} THEN 1 ELSE 0 END AS d6
+  FROM s_rounds r LEFT JOIN tc c ON r.round_id = c.round_id
+)""",
+    ]
+    wspec = f"PARTITION BY {key} ORDER BY d ASC NULLS LAST, round_id ASC NULLS LAST"
+    cur = f"OVER ({wspec} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    prev = f"OVER ({wspec} ROWS BETWEEN {2 * window - 1} PRECEDING AND {window} PRECEDING)"
+
+    def val(n: str, d: str, i: int) -> str:
+        v = f"COALESCE(CAST({n} AS DOUBLE) / NULLIF({d}, 0), 0.0E0)"
+        if i in (2, 3, 4):
+            v = f"({v}) * 100"
+        return pyround(v)
+
+    cols = [f"{key}", "round_id", "played_on", "course_name", "CAST(COALESCE(hc, 0) AS BIGINT) AS hole_count",
+            f"CAST({window} AS BIGINT) AS window", f"COUNT(round_id) {cur} AS rounds_in_window",
+            f"COUNT(round_id) {prev} AS rounds_in_previous_window"]
+    for i, (_, rcol, _, _) in enumerate(TREND_NAMES, start=1):
+        cols.append(f"{val(f'n{i}', f'd{i}', i)} AS {rcol}")
+    for i, (_, _, wcol, _) in enumerate(TREND_NAMES, start=1):
+        cols.append(f"{val(f'SUM(n{i}) {cur}', f'SUM(d{i}) {cur}', i)} AS {wcol}")
+    for i, (_, _, _, dcol) in enumerate(TREND_NAMES, start=1):
+        w = val(f"SUM(n{i}) {cur}", f"SUM(d{i}) {cur}", i)
+        p = val(f"SUM(n{i}) {prev}", f"SUM(d{i}) {prev}", i)
+        cols.append(f"CASE WHEN COUNT(round_id) {prev} > 0 THEN {pyround(f'{w} - {p}')} END AS {dcol}")
+    sel = "SELECT * FROM (SELECT " + ",\n       ".join(cols) + "\nFROM tb) WHERE round_id IS NOT NULL"
+    return with_fixture(*ctes) + sel
+
+
+def metric_trend_series_sql(window: int = 5, key: str = "player_profile_id") -> str:
+    inner = round_trends_sql(window, key)
+    parts = []
+    for metric, rcol, wcol, dcol in TREND_NAMES:
+        parts.append(
+            f"SELECT {key}, played_on, round_id, course_name, \"window\", '{metric}' AS metric, "
+            f"{rcol} AS round_value, {wcol} AS window_value, {dcol} AS delta_value FROM t"
+        )
+    return f"WITH t AS ({inner})\n" + "\nUNION ALL\n".join(parts)
+
+
 # --------------------------------------------------------------- registry
 def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
     return {
@@ -673,4 +749,6 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "course_focus": course_focus_sql(),
         "rounds_list": rounds_list_sql(),
         "courses": courses_sql(),
+        "round_trends": round_trends_sql(),
+        "metric_trend_series": metric_trend_series_sql(),
     }
