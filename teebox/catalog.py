@@ -18,7 +18,8 @@ from teebox.plans import shots as sh
 from teebox.plans import summary as sm
 from teebox.plans import trends as tr
 from teebox.operators.trim import trim_outliers
-from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, golf_tables
+from teebox.operators import matching as mt
+from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, golf_tables, two_source_rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +143,43 @@ def q_metric_trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.metric_trend_series(q_round_trends(spark, sf_dir), by=TREND_BY)
 
 
+def q_canonical_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.canonical_rounds(two_source_rounds(spark, sf_dir))
+
+
+def q_round_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.match_pairs(two_source_rounds(spark, sf_dir))
+
+
+def q_last_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest round of every player (the selector behind a "last round" report)."""
+    rounds, _, _ = _tables(spark, sf_dir)
+    return mt.last_round(rounds, by=["player_profile_id"])
+
+
+# The scope query's window is the named period "last-year" seen from this day.
+SCOPE_TODAY = "1997-03-15"
+
+
+def q_scoped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of the window (exclusions dropped) with their in-scope hole and shot counts."""
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    rounds, holes, shots = _tables(spark, sf_dir)
+    start, end = sc.resolve_date_window(period="last-year", today=date.fromisoformat(SCOPE_TODAY))
+    s = sc.scoped_tables(rounds, holes, shots, date_from=start, date_to=end)
+    hc = s.holes.groupBy("round_id").agg(F.count(F.lit(1)).alias("holes"))
+    shc = s.shots.groupBy("round_id").agg(F.count(F.lit(1)).alias("shots"))
+    out = s.rounds.select("round_id", "played_on").join(hc, "round_id", "left").join(shc, "round_id", "left")
+    return out.select(
+        "round_id", "played_on",
+        F.coalesce("holes", F.lit(0)).cast("bigint").alias("holes"),
+        F.coalesce("shots", F.lit(0)).cast("bigint").alias("shots"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
@@ -161,4 +199,8 @@ QUERIES: dict[str, Query] = {
     "courses": q_courses,
     "round_trends": q_round_trends,
     "metric_trend_series": q_metric_trend_series,
+    "canonical_rounds": q_canonical_rounds,
+    "round_aliases": q_round_aliases,
+    "last_round": q_last_round,
+    "scoped_tables": q_scoped_tables,
 }

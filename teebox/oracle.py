@@ -730,6 +730,29 @@ def metric_trend_series_sql(window: int = 5, key: str = "player_profile_id") ->
     return f"WITH t AS ({inner})\n" + "\nUNION ALL\n".join(parts)
 
 
+# ------------------------------------------------------------------- scope
+def last_round_sql() -> str:
+    return with_fixture() + """SELECT player_profile_id, round_id, played_on FROM (
+  SELECT player_profile_id, round_id, played_on,
+         ROW_NUMBER() OVER (PARTITION BY player_profile_id
+                            ORDER BY played_on DESC NULLS LAST, start_time DESC NULLS LAST, round_id DESC NULLS LAST) AS rk
+  FROM g_rounds) WHERE rk = 1"""
+
+
+def scoped_tables_sql() -> str:
+    return with_fixture(
+        """w_rounds AS (
+  SELECT * FROM g_rounds
+  WHERE try_strptime(substr(played_on, 1, 10), '%Y-%m-%d') >= DATE '1996-01-01'
+    AND try_strptime(substr(played_on, 1, 10), '%Y-%m-%d') <= DATE '1996-12-31'
+    AND NOT COALESCE(exclude_from_stats, FALSE)
+)"""
+    ) + """SELECT r.round_id, r.played_on,
+       CAST(COALESCE((SELECT COUNT(*) FROM g_holes h WHERE h.round_id = r.round_id), 0) AS BIGINT) AS holes,
+       CAST(COALESCE((SELECT COUNT(*) FROM p_shots s WHERE s.round_id = r.round_id), 0) AS BIGINT) AS shots
+FROM w_rounds r"""
+
+
 # --------------------------------------------------------------- registry
 def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
     return {
@@ -751,4 +774,6 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "courses": courses_sql(),
         "round_trends": round_trends_sql(),
         "metric_trend_series": metric_trend_series_sql(),
+        "last_round": last_round_sql(),
+        "scoped_tables": scoped_tables_sql(),
     }
