@@ -19,7 +19,9 @@ from teebox.plans import summary as sm
 from teebox.plans import trends as tr
 from teebox.operators.trim import trim_outliers
 from teebox.operators import matching as mt
-from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, golf_tables, two_source_rounds
+from teebox.operators import upsert as up
+from teebox.plans import messages as msg
+from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, golf_tables, two_source_rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +182,47 @@ def q_scoped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+UPSERT_COLUMNS = [
+    "round_id", "scorecard_id", "activity_id", "played_on", "course_name", "location_name",
+    "exclude_from_stats", "comment", "data_source", "player_profile_id",
+]
+
+
+def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-import of every round (renamed courses, reset flags) plus activity rows,
+    upserted into the stored rounds with the user's annotations preserved."""
+    from pyspark.sql import functions as F
+
+    existing, _, _ = _tables(spark, sf_dir)
+    incoming = (
+        two_source_rounds(spark, sf_dir)
+        .withColumn("course_name", F.concat(F.lit("Re "), F.col("course_name")))
+        .withColumn("exclude_from_stats", F.lit(False))
+        .withColumn("comment", F.lit(None).cast("string"))
+    )
+    merged = up.upsert(existing, incoming, ["round_id"], preserve=["exclude_from_stats", "comment"])
+    return merged.select(*UPSERT_COLUMNS)
+
+
+# Rounds this far over par get flagged, with this comment.
+BLOWUP_TO_PAR = 30
+BLOWUP_COMMENT = "blow-up round"
+
+
+def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    rounds, _, _ = _tables(spark, sf_dir)
+    ann = rounds.filter(F.col("total_score") - F.col("total_par") >= BLOWUP_TO_PAR).select(
+        "round_id", F.lit(True).alias("exclude_from_stats"), F.lit(BLOWUP_COMMENT).alias("comment")
+    )
+    return up.annotate(rounds, ann).select(*UPSERT_COLUMNS)
+
+
+def q_message_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.message_inventory(device_messages(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
@@ -203,4 +246,7 @@ QUERIES: dict[str, Query] = {
     "round_aliases": q_round_aliases,
     "last_round": q_last_round,
     "scoped_tables": q_scoped_tables,
+    "upsert": q_upsert,
+    "annotate": q_annotate,
+    "message_inventory": q_message_inventory,
 }

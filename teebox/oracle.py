@@ -753,6 +753,72 @@ def scoped_tables_sql() -> str:
 FROM w_rounds r"""
 
 
+# ------------------------------------------------------------------ upserts
+UPSERT_COLS = ["round_id", "scorecard_id", "activity_id", "played_on", "course_name", "location_name",
+               "exclude_from_stats", "comment", "data_source", "player_profile_id"]
+
+
+def upsert_sql() -> str:
+    inc = """inc AS (
+  SELECT round_id, CASE WHEN round_id % 10 = 3 THEN NULL ELSE round_id END AS scorecard_id,
+         CASE WHEN round_id % 10 = 3 THEN round_id END AS activity_id, played_on,
+         'Re ' || course_name AS course_name, location_name, FALSE AS exclude_from_stats,
+         CAST(NULL AS VARCHAR) AS comment,
+         CASE WHEN round_id % 10 = 3 THEN 'activities' ELSE 'scorecard' END AS data_source, player_profile_id
+  FROM g_rounds
+  UNION ALL
+  SELECT round_id + 1000000, CAST(NULL AS BIGINT), round_id + 1000000, played_on, CAST(NULL AS VARCHAR),
+         'Loc ' || course_name, FALSE, CAST(NULL AS VARCHAR), 'activities', player_profile_id
+  FROM g_rounds WHERE round_id % 10 = 7
+)"""
+    ex = """ex AS (
+  SELECT round_id, scorecard_id, activity_id, played_on, course_name, location_name, exclude_from_stats, comment,
+         CAST(NULL AS VARCHAR) AS data_source, player_profile_id FROM g_rounds
+)"""
+    cols = []
+    for c in UPSERT_COLS:
+        if c == "round_id":
+            cols.append("COALESCE(i.round_id, e.round_id) AS round_id")
+        elif c in ("exclude_from_stats", "comment"):
+            cols.append(f"CASE WHEN i.round_id IS NOT NULL THEN COALESCE(e.{c}, i.{c}) ELSE e.{c} END AS {c}")
+        else:
+            cols.append(f"CASE WHEN i.round_id IS NOT NULL THEN i.{c} ELSE e.{c} END AS {c}")
+    return with_fixture(inc, ex) + "SELECT " + ", ".join(cols) + " FROM ex e FULL OUTER JOIN inc i ON e.round_id = i.round_id"
+
+
+def annotate_sql() -> str:
+    cols = []
+    for c in UPSERT_COLS:
+        if c == "exclude_from_stats":
+            cols.append("CASE WHEN total_score - total_par >= 30 THEN TRUE ELSE exclude_from_stats END AS exclude_from_stats")
+        elif c == "comment":
+            cols.append("CASE WHEN total_score - total_par >= 30 THEN 'blow-up round' ELSE comment END AS comment")
+        elif c == "data_source":
+            cols.append("CAST(NULL AS VARCHAR) AS data_source")
+        else:
+            cols.append(c)
+    return with_fixture() + "SELECT " + ", ".join(cols) + " FROM g_rounds"
+
+
+def message_inventory_sql() -> str:
+    msgs = """msgs AS (
+  SELECT user_id AS file_id, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'session' WHEN 'view' THEN 'record' WHEN 'click' THEN 'lap'
+                         WHEN 'error' THEN 'unknown_140' ELSE event_type END AS name,
+         props AS fields
+  FROM events
+)"""
+    return with_fixture(msgs) + """SELECT f.file_id,
+       COALESCE((SELECT '{' || string_agg('"' || name || '":' || CAST(n AS VARCHAR), ',' ORDER BY name) || '}'
+                 FROM (SELECT name, COUNT(*) AS n FROM msgs m WHERE m.file_id = f.file_id AND name IS NOT NULL GROUP BY name)), '{}') AS message_counts,
+       COALESCE((SELECT '{' || string_agg('"' || name || '":' || CAST(n AS VARCHAR), ',' ORDER BY name) || '}'
+                 FROM (SELECT name, COUNT(*) AS n FROM msgs m WHERE m.file_id = f.file_id AND name LIKE 'unknown\\_%' ESCAPE '\\' GROUP BY name)), '{}') AS unknown_message_counts,
+       (SELECT fields FROM msgs m WHERE m.file_id = f.file_id AND name = 'session' ORDER BY seq LIMIT 1) AS session,
+       CAST((SELECT COUNT(*) FROM msgs m WHERE m.file_id = f.file_id AND name = 'lap') AS BIGINT) AS lap_count,
+       CAST((SELECT COUNT(*) FROM msgs m WHERE m.file_id = f.file_id AND name = 'record') AS BIGINT) AS record_count
+FROM (SELECT DISTINCT file_id FROM msgs) f"""
+
+
 # --------------------------------------------------------------- registry
 def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
     return {
@@ -776,4 +842,7 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "metric_trend_series": metric_trend_series_sql(),
         "last_round": last_round_sql(),
         "scoped_tables": scoped_tables_sql(),
+        "upsert": upsert_sql(),
+        "annotate": annotate_sql(),
+        "message_inventory": message_inventory_sql(),
     }
