@@ -200,6 +200,9 @@ def summary_components(
 def _finish(values: DataFrame, by: Sequence[str]) -> DataFrame:
     """Round, fill and order the summary fields; zero everything when no rounds."""
     have = F.col("rounds_played") > 0
+    for name, default in (("total_shots", F.lit(0).cast("bigint")),):
+        if name not in values.columns:
+            values = values.withColumn(name, default)
     cols: list[Column] = list(map(F.col, by))
     for name in SUMMARY_FIELDS:
         if name == "rounds_played":
