@@ -21,6 +21,7 @@ from teebox.operators.trim import trim_outliers
 from teebox.operators import matching as mt
 from teebox.operators import upsert as up
 from teebox.plans import messages as msg
+from teebox.sources import exports as ex
 from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, golf_tables, two_source_rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +224,33 @@ def q_message_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msg.message_inventory(device_messages(spark, sf_dir))
 
 
+def _normalized(spark: SparkSession, sf_dir: str) -> ex.Normalized:
+    """Every round exported as a nested JSON document, then parsed back into tables."""
+    g = golf_tables(spark, sf_dir)
+    docs = ex.export_documents(g["rounds"], g["holes"], g["shots"]).withColumnRenamed("round_id", "doc_id")
+    return ex.normalize_documents(docs)
+
+
+def q_normalize_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).rounds.select(
+        "round_id", "scorecard_id", "played_on", "start_time", "course_name", "total_score", "total_par",
+        "exclude_from_stats", "comment", "player_profile_id",
+    )
+
+
+def q_normalize_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).holes.select(
+        "round_id", "hole_number", "par", "strokes", "putts", "fairway_hit", "gir", "penalties", "fairway_shot_outcome",
+    )
+
+
+def q_normalize_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).shots.select(
+        "round_id", "hole_number", "shot_number", "scorecard_id", "shot_order", "club", "club_id",
+        "distance_meters", "lie", "shot_type",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
@@ -249,4 +277,7 @@ QUERIES: dict[str, Query] = {
     "upsert": q_upsert,
     "annotate": q_annotate,
     "message_inventory": q_message_inventory,
+    "normalize_rounds": q_normalize_rounds,
+    "normalize_holes": q_normalize_holes,
+    "normalize_shots": q_normalize_shots,
 }

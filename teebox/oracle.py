@@ -819,6 +819,25 @@ def message_inventory_sql() -> str:
 FROM (SELECT DISTINCT file_id FROM msgs) f"""
 
 
+# ------------------------------------------------------------------- ingest
+def normalize_rounds_sql() -> str:
+    return with_fixture() + """SELECT round_id, round_id AS scorecard_id, played_on, start_time, course_name,
+       total_score, total_par, FALSE AS exclude_from_stats, CAST(NULL AS VARCHAR) AS comment, player_profile_id
+FROM g_rounds"""
+
+
+def normalize_holes_sql() -> str:
+    return with_fixture() + """SELECT round_id, hole_number, par, strokes, putts, fairway_hit, gir, penalties, fairway_shot_outcome
+FROM g_holes"""
+
+
+def normalize_shots_sql() -> str:
+    return with_fixture() + """SELECT round_id, hole_number, shot_number, round_id AS scorecard_id, shot_number AS shot_order,
+       CASE WHEN club IS NULL AND club_id = 13 THEN 'Putter' ELSE club END AS club, club_id,
+       distance_meters, lie, shot_type
+FROM g_shots"""
+
+
 # --------------------------------------------------------------- registry
 def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
     return {
@@ -845,4 +864,7 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "upsert": upsert_sql(),
         "annotate": annotate_sql(),
         "message_inventory": message_inventory_sql(),
+        "normalize_rounds": normalize_rounds_sql(),
+        "normalize_holes": normalize_holes_sql(),
+        "normalize_shots": normalize_shots_sql(),
     }
