@@ -21,6 +21,7 @@ from teebox.operators.trim import trim_outliers
 from teebox.operators import matching as mt
 from teebox.operators import upsert as up
 from teebox.plans import messages as msg
+from teebox.plans import reports as rp
 from teebox.sources import exports as ex
 from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, golf_tables, two_source_rounds
 
@@ -251,6 +252,57 @@ def q_normalize_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The first drop of export files holds rounds played before this day.
+FIRST_DROP_BEFORE = "1998-01-01"
+
+
+def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops of export files (older rounds, then every round again, re-sends
+    included) ingested by the streaming file source; returns the stored rounds."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from teebox.session import checkpoint_dir
+    from teebox.sources.tables import read_table
+    from teebox.streaming import ingest
+
+    run = f"{checkpoint_dir(spark).rstrip('/')}/teebox-ingest-{uuid.uuid4().hex}"
+    g = golf_tables(spark, sf_dir)
+    docs = ex.export_documents(g["rounds"], g["holes"], g["shots"]).join(
+        g["rounds"].select("round_id", "played_on"), "round_id"
+    )
+    drops = [docs.filter(F.col("played_on") < F.lit(FIRST_DROP_BEFORE)), docs]
+    for i, drop in enumerate(drops):
+        staging = f"{run}/staging/{i}"
+        drop.select("doc").write.text(staging)
+        ingest.publish_files(spark, staging, f"{run}/src")
+        q = ingest.start_ingest(spark, f"{run}/src", f"{run}/tables", f"{run}/checkpoint")
+        q.awaitTermination()
+    return read_table(spark, f"{run}/tables", "rounds").select(
+        "round_id", "scorecard_id", "played_on", "start_time", "course_name", "total_score", "total_par",
+        "exclude_from_stats", "comment", "player_profile_id",
+    )
+
+
+def q_course_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every course's report: course summary plus next-round focus lists."""
+    s = _scoped(spark, sf_dir)
+    rounds, holes, shots = _tables(spark, sf_dir)
+    return rp.course_report_flat(s.rounds, holes, shots)
+
+
+def q_round_second_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-shot table of every round (the one-round view, for all rounds at once)."""
+    _, holes, shots = _tables(spark, sf_dir)
+    return sh.second_shots(holes, shots, by=["round_id"])
+
+
+def q_round_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds, holes, shots = _tables(spark, sf_dir)
+    return rp.round_report(rounds, holes, shots)
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
@@ -280,4 +332,8 @@ QUERIES: dict[str, Query] = {
     "normalize_rounds": q_normalize_rounds,
     "normalize_holes": q_normalize_holes,
     "normalize_shots": q_normalize_shots,
+    "incremental_ingest": q_incremental_ingest,
+    "course_report": q_course_report,
+    "round_second_shots": q_round_second_shots,
+    "round_report": q_round_report,
 }

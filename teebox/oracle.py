@@ -369,7 +369,7 @@ def _outcome_select(keys: list[str], count_name: str, extra_cols: str = "") -> s
 FROM ost o LEFT JOIN odist d ON {on}"""
 
 
-def second_shots_sql() -> str:
+def second_shots_sql(holes: str = "s_holes", shots: str = "s_shots", key: str | None = None) -> str:
     rows = f"""rows AS (
   SELECT s.round_id, TRIM(COALESCE(s.club, 'Unknown')) AS club, s.distance_meters, CAST(h.par AS BIGINT) AS par,
          CASE WHEN upper(h.fairway_shot_outcome) = 'HIT' THEN 'fairway'
@@ -377,10 +377,10 @@ def second_shots_sql() -> str:
               WHEN upper(h.fairway_shot_outcome) = 'NO_FAIRWAY' THEN 'no_fairway'
               WHEN h.fairway_hit THEN 'fairway' WHEN NOT h.fairway_hit THEN 'off_fairway' ELSE 'unknown' END AS inferred_start_lie,
          {TO_PAR} AS to_par
-  FROM s_shots s JOIN s_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
+  FROM {shots} s JOIN {holes} h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
   WHERE s.shot_number = 2 AND h.par IN (4, 5)
 )"""
-    keys = ["par", "club", "inferred_start_lie"]
+    keys = ([key] if key else []) + ["par", "club", "inferred_start_lie"]
     return with_fixture(rows, *_outcome_sql("rows", keys, "second_shots")) + _outcome_select(keys, "second_shots")
 
 
@@ -838,6 +838,27 @@ def normalize_shots_sql() -> str:
 FROM g_shots"""
 
 
+# ------------------------------------------------------------------ reports
+def course_report_sql() -> str:
+    ctes = (
+        """cr_rounds AS (
+  SELECT *, CASE WHEN trim(course_name) <> '' THEN course_name ELSE location_name END AS display_course_name FROM s_rounds
+)""",
+        """cr_holes AS (SELECT h.*, r.display_course_name FROM g_holes h JOIN cr_rounds r ON h.round_id = r.round_id)""",
+        """cr_shots AS (SELECT s.*, r.display_course_name FROM p_shots s JOIN cr_rounds r ON s.round_id = r.round_id)""",
+    )
+    summary = summary_sql("cr_rounds", "cr_holes", "cr_shots", key="display_course_name", extra_ctes=ctes)
+    focus = course_focus_sql()
+    return (
+        f"SELECT s.*, f.hardest_holes, f.penalty_holes, f.three_putt_holes, f.gir_trouble_holes\n"
+        f"FROM ({summary}) s LEFT JOIN ({focus}) f ON s.display_course_name IS NOT DISTINCT FROM f.display_course_name"
+    )
+
+
+def round_second_shots_sql() -> str:
+    return second_shots_sql("g_holes", "p_shots", key="round_id")
+
+
 # --------------------------------------------------------------- registry
 def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
     return {
@@ -867,4 +888,7 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "normalize_rounds": normalize_rounds_sql(),
         "normalize_holes": normalize_holes_sql(),
         "normalize_shots": normalize_shots_sql(),
+        "incremental_ingest": normalize_rounds_sql(),
+        "course_report": course_report_sql(),
+        "round_second_shots": round_second_shots_sql(),
     }
