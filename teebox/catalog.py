@@ -23,7 +23,8 @@ from teebox.operators import upsert as up
 from teebox.plans import messages as msg
 from teebox.plans import reports as rp
 from teebox.sources import exports as ex
-from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, golf_tables, two_source_rounds
+from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, two_source_rounds
+from teebox.sources.fixtures import materialized_golf_tables as golf_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,11 +149,11 @@ def q_metric_trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_canonical_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.canonical_rounds(two_source_rounds(spark, sf_dir))
+    return mt.canonical_rounds(two_source_rounds(spark, sf_dir, golf_tables(spark, sf_dir)["rounds"]))
 
 
 def q_round_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.match_pairs(two_source_rounds(spark, sf_dir))
+    return mt.match_pairs(two_source_rounds(spark, sf_dir, golf_tables(spark, sf_dir)["rounds"]))
 
 
 def q_last_round(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +198,7 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     existing, _, _ = _tables(spark, sf_dir)
     incoming = (
-        two_source_rounds(spark, sf_dir)
+        two_source_rounds(spark, sf_dir, golf_tables(spark, sf_dir)["rounds"])
         .withColumn("course_name", F.concat(F.lit("Re "), F.col("course_name")))
         .withColumn("exclude_from_stats", F.lit(False))
         .withColumn("comment", F.lit(None).cast("string"))

@@ -162,6 +162,23 @@ def override_rows(overrides: Mapping[object, object]) -> list[tuple[int, str]]:
     return rows
 
 
+# ----------------------------------------------------------------- averages
+# Distances are summed exactly at micrometre precision.
+EXACT_SUM_TYPE = "decimal(38,6)"
+
+
+def exact_mean(c: str | Column) -> Column:
+    """Mean whose value does not depend on row order or partitioning.
+
+    A floating-point sum depends on the order rows arrive in, so the same
+    data split over a different number of tasks can land a mean on the other
+    side of a rounding tie.  Summing exactly (fixed-point) and dividing once
+    gives one answer on any cluster size.
+    """
+    x = col(c).try_cast(EXACT_SUM_TYPE)
+    return F.sum(x).cast("double") / F.count(x)
+
+
 # ----------------------------------------------------------------- rounding
 def py_round(c: str | Column, digits: int) -> Column:
     """Round like Python's ``round`` on a float: the binary value decides, exact ties go to even.

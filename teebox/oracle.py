@@ -195,8 +195,8 @@ def _summary_ctes(rounds: str, holes: str, shots: str, key: str | None) -> tuple
 )""",
         f"""dp AS (
   SELECT {('s.' + key + ', ') if key else ''}
-         AVG(CASE WHEN s.shot_type = 'TEE' THEN s.distance_meters END) AS average_tee_shot_distance_m,
-         AVG(CASE WHEN s.shot_type = 'PUTT' THEN s.distance_meters END) AS average_putt_distance_m
+         {xmean("CASE WHEN s.shot_type = 'TEE' THEN s.distance_meters END")} AS average_tee_shot_distance_m,
+         {xmean("CASE WHEN s.shot_type = 'PUTT' THEN s.distance_meters END")} AS average_putt_distance_m
   FROM {shots} s JOIN dst d ON s.shot_type = d.shot_type {('AND s.' + key + ' = d.' + key) if key else ''}
   WHERE s.distance_meters IS NULL OR d.n < 5 OR d.sd IS NULL OR d.sd = 0 OR ABS(s.distance_meters - d.m) <= 2 * d.sd
   {('GROUP BY s.' + key) if key else ''}
@@ -334,6 +334,11 @@ FROM vals v"""
 TO_PAR = "CAST(h.strokes AS DOUBLE) - CAST(h.par AS DOUBLE)"
 
 
+def xmean(expr: str) -> str:
+    """Order-independent mean: exact fixed-point sum, one division."""
+    return f"(CAST(SUM(CAST({expr} AS DECIMAL(38,6))) AS DOUBLE) / COUNT(CAST({expr} AS DECIMAL(38,6))))"
+
+
 def _pct(cond: str) -> str:
     return f"AVG(CAST(({cond}) AS DOUBLE)) * 100"
 
@@ -350,7 +355,7 @@ def _outcome_sql(rows: str, keys: list[str], count_name: str, extra: str = "") -
   FROM {rows} GROUP BY {k}
 )""",
         f"""odist AS (
-  SELECT {", ".join("r." + c for c in keys)}, AVG(r.distance_meters) AS avg_distance_m,
+  SELECT {", ".join("r." + c for c in keys)}, {xmean('r.distance_meters')} AS avg_distance_m,
          STDDEV_SAMP(r.distance_meters) AS distance_stddev_m
   FROM {rows} r LEFT JOIN ost t ON {on}
   WHERE r.distance_meters IS NULL OR t.tn < 5 OR t.tsd IS NULL OR t.tsd = 0
@@ -458,8 +463,8 @@ def club_inventory_sql() -> str:
         """s1 AS (
   SELECT club_id, COUNT(*) AS shots, AVG(distance_meters) AS tm, STDDEV_SAMP(distance_meters) AS tsd FROM c_raw GROUP BY club_id
 )""",
-        """d1 AS (
-  SELECT r.club_id, AVG(r.distance_meters) AS a, STDDEV_SAMP(r.distance_meters) AS sd
+        f"""d1 AS (
+  SELECT r.club_id, {xmean('r.distance_meters')} AS a, STDDEV_SAMP(r.distance_meters) AS sd
   FROM c_raw r JOIN s1 t ON r.club_id = t.club_id
   WHERE r.distance_meters IS NULL OR t.shots < 5 OR t.tsd IS NULL OR t.tsd = 0 OR ABS(r.distance_meters - t.tm) <= t.tsd * 2
   GROUP BY r.club_id
@@ -469,7 +474,7 @@ def club_inventory_sql() -> str:
   FROM c_raw GROUP BY club_id, shot_type
 )""",
         f"""d2 AS (
-  SELECT r.club_id, r.shot_type, {tround('AVG(r.distance_meters)', 1)} AS a, {tround('STDDEV_SAMP(r.distance_meters)', 1)} AS sd
+  SELECT r.club_id, r.shot_type, {tround(xmean('r.distance_meters'), 1)} AS a, {tround('STDDEV_SAMP(r.distance_meters)', 1)} AS sd
   FROM c_raw r JOIN s2 t ON r.club_id = t.club_id AND r.shot_type = t.shot_type
   WHERE r.distance_meters IS NULL OR t.n < 5 OR t.tsd IS NULL OR t.tsd = 0 OR ABS(r.distance_meters - t.tm) <= t.tsd * 2
   GROUP BY r.club_id, r.shot_type
@@ -517,7 +522,7 @@ def putting_sql() -> str:
   FROM fp
 )""",
     ]
-    sel = f"""SELECT distance_bucket, COUNT(*) AS holes, {tround('AVG(start_distance_m)', 1)} AS avg_start_distance_m,
+    sel = f"""SELECT distance_bucket, COUNT(*) AS holes, {tround(xmean('start_distance_m'), 1)} AS avg_start_distance_m,
        {tround(_pct('putts = 1'))} AS one_putt_pct, {tround(_pct('putts = 2'))} AS two_putt_pct,
        {tround(_pct('putts >= 3'))} AS three_putt_plus_pct
 FROM fb GROUP BY distance_bucket"""
@@ -545,8 +550,8 @@ def round_clubs_sql() -> str:
         """rs AS (
   SELECT round_id, club, COUNT(*) AS shots, AVG(distance_meters) AS m, STDDEV_SAMP(distance_meters) AS sd FROM rc GROUP BY round_id, club
 )""",
-        """rd AS (
-  SELECT r.round_id, r.club, AVG(r.distance_meters) AS a, STDDEV_SAMP(r.distance_meters) AS s
+        f"""rd AS (
+  SELECT r.round_id, r.club, {xmean('r.distance_meters')} AS a, STDDEV_SAMP(r.distance_meters) AS s
   FROM rc r JOIN rs t ON r.round_id = t.round_id AND r.club = t.club
   WHERE r.distance_meters IS NULL OR t.shots < 5 OR t.sd IS NULL OR t.sd = 0 OR ABS(r.distance_meters - t.m) <= t.sd * 2
   GROUP BY r.round_id, r.club

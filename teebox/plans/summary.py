@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teebox.functions.expressions import py_round
+from teebox.functions.expressions import exact_mean, py_round
 from teebox.operators.breakdown import count_breakdown
 from teebox.operators.per18 import hole_components, per18, ratio
 from teebox.operators.trim import trim_outliers
@@ -106,13 +106,38 @@ def _count_if(cond: Column) -> Column:
 
 
 # ------------------------------------------------------------------ pieces
-def _holes_piece(comps: DataFrame, keys: list[str]) -> DataFrame:
+def per_round_table(rounds: DataFrame, holes: DataFrame, shots: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
+    """One row per round id seen in rounds, holes or shots, with every per-round component.
+
+    Three aggregates keyed by ``round_id`` (hole components, shot counts and
+    the rounds' own fields) joined on that key: all three sides are hashed
+    on ``round_id`` once, so the joins add no exchange.  ``round_id`` is the
+    rounds' key (canonical rounds are unique by construction).
+    """
+    comps = hole_components(holes, ["round_id"])
+    r = rounds.select(*by, "round_id", "total_score", "total_par", F.lit(1).alias("_in_rounds"))
+    table = r.join(comps, on="round_id", how="full")
+    if shots is not None:
+        counts = shots.groupBy("round_id").agg(F.count(F.lit(1)).alias("_shots"))
+        table = table.join(counts, on="round_id", how="full")
+    if by:
+        # grouped output: only rounds of the (grouped) rounds table take part
+        table = table.filter(F.col("_in_rounds").isNotNull())
+    return table
+
+
+def _main_aggs(with_shots: bool) -> list[Column]:
     s = lambda c: F.sum(c)
     hc, sc = F.col("hole_count"), F.col("scored_count")
-    return comps.groupBy(*keys).agg(
+    in_rounds = F.col("_in_rounds").isNotNull()
+    score, par = F.col("total_score").cast("double"), F.col("total_par").cast("double")
+    aggs = [
+        F.count("_in_rounds").alias("rounds_played"),
+        F.avg(F.when(in_rounds, per18(score, hc))).alias("average_score"),
+        F.avg(F.when(in_rounds, per18(score - par, hc))).alias("average_to_par"),
         _count_if(hc == 18).alias("rounds_18_hole"),
         _count_if(hc == 9).alias("rounds_9_hole"),
-        F.count(F.lit(1)).alias("_rounds_seen"),
+        F.count(hc).alias("_rounds_seen"),
         (ratio(s("gir_hits"), s("gir_known")) * 100).alias("gir_pct"),
         F.avg(per18(F.col("gir_hits"), hc)).alias("gir_per_18"),
         (ratio(s("fir_hits"), s("fir_known")) * 100).alias("fir_pct"),
@@ -139,31 +164,13 @@ def _holes_piece(comps: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(per18(F.col("penalties_sum"), hc)).alias("penalties_per_18"),
         F.avg(per18(F.col("gir_known"), hc)).alias("gir_opportunities_per_18"),
         F.avg(per18(F.col("fir_known"), hc)).alias("fairway_opportunities_per_18"),
-    )
-
-
-def _rounds_piece(rounds: DataFrame, comps: DataFrame, by: Sequence[str]) -> DataFrame:
-    hc = F.col("hole_count")
-    counts = comps.select("round_id", "hole_count")
-    rr = rounds.select(*by, "round_id", "total_score", "total_par").join(counts, on="round_id", how="left")
-    score, par = F.col("total_score").cast("double"), F.col("total_par").cast("double")
-    aggs = [
-        F.count(F.lit(1)).alias("rounds_played"),
-        F.avg(per18(score, hc)).alias("average_score"),
-        F.avg(per18(score - par, hc)).alias("average_to_par"),
     ]
-    if by:
-        return rr.groupBy(*by).agg(*aggs)
-    return rr.agg(*aggs).withColumn(ALL, F.lit(0))
-
-
-def _shots_piece(shots: DataFrame, comps: DataFrame, keys: list[str]) -> DataFrame:
-    counts = shots.groupBy(*keys, "round_id").agg(F.count(F.lit(1)).alias("_shots"))
-    joined = counts.join(comps.select("round_id", "hole_count"), on="round_id", how="left")
-    return joined.groupBy(*keys).agg(
-        F.sum("_shots").cast("bigint").alias("total_shots"),
-        F.avg(per18(F.col("_shots"), F.col("hole_count"))).alias("average_shots_per_18"),
-    )
+    if with_shots:
+        aggs += [
+            F.sum("_shots").cast("bigint").alias("total_shots"),
+            F.avg(per18(F.col("_shots"), hc)).alias("average_shots_per_18"),
+        ]
+    return aggs
 
 
 def _distance_piece(shots: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
@@ -171,30 +178,37 @@ def _distance_piece(shots: DataFrame, keys: list[str], bounded: bool) -> DataFra
     kept = trim_outliers(typed, [*keys, "shot_type"], bounded_keys=bounded)
     d = F.col("distance_meters").try_cast("double")
     return kept.groupBy(*keys).agg(
-        F.avg(F.when(F.col("shot_type") == "TEE", d)).alias("average_tee_shot_distance_m"),
-        F.avg(F.when(F.col("shot_type") == "PUTT", d)).alias("average_putt_distance_m"),
+        exact_mean(F.when(F.col("shot_type") == "TEE", d)).alias("average_tee_shot_distance_m"),
+        exact_mean(F.when(F.col("shot_type") == "PUTT", d)).alias("average_putt_distance_m"),
     )
 
 
+def _combine(pieces: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Merge per-group pieces that share only their keys: a union and one aggregate, no joins."""
+    merged = pieces[0]
+    for p in pieces[1:]:
+        merged = merged.unionByName(p, allowMissingColumns=True)
+    values = [c for c in merged.columns if c not in keys]
+    return merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+
+
 def summary_components(
     rounds: DataFrame, holes: DataFrame, shots: DataFrame | None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Unrounded summary values (plus the opportunity counts practice priorities need)."""
     by = list(by)
     keys = group_keys(by)
-    rounds_k = keyed(rounds, by)
-    holes_k = attach(holes, rounds, by)
-    comps = hole_components(holes_k, [*keys, "round_id"])
-    result = _rounds_piece(rounds, comps, by)
-    result = join_groups(result, _holes_piece(comps, keys), keys)
+    table = per_round_table(rounds, holes, shots, by)
+    aggs = _main_aggs(shots is not None)
+    main = table.groupBy(*by).agg(*aggs) if by else table.agg(*aggs).withColumn(ALL, F.lit(0))
+    pieces = [main]
     if shots is not None:
         shots_k = attach(shots, rounds, by)
-        result = join_groups(result, _shots_piece(shots_k, comps, keys), keys)
-        result = join_groups(result, _distance_piece(shots_k, keys, bounded=not by), keys)
-        result = join_groups(result, count_breakdown(shots_k, "shot_type", keys, out="shot_type_breakdown"), keys)
-        result = join_groups(result, count_breakdown(shots_k, "club", keys, limit=5, out="club_usage_top5"), keys)
-    del rounds_k
-    return result
+        pieces.append(_distance_piece(shots_k, keys, bounded=not by))
+        counts = shots_k.groupBy(*keys, "shot_type", "club").agg(F.count(F.lit(1)).alias("_n"))
+        pieces.append(count_breakdown(counts, "shot_type", keys, out="shot_type_breakdown", weight="_n"))
+        pieces.append(count_breakdown(counts, "club", keys, limit=5, out="club_usage_top5", weight="_n"))
+    return _combine(pieces, keys) if len(pieces) > 1 else main
 
 
 def _finish(values: DataFrame, by: Sequence[str]) -> DataFrame:

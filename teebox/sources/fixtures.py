@@ -152,14 +152,39 @@ def golf_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def two_source_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+SOURCE_TABLES = ("orders", "lineitem")
+
+
+def materialized_golf_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The golf tables, derived once per input folder and stored as Parquet.
+
+    Stored under the session's checkpoint folder (shared on a cluster) keyed
+    by a fingerprint of the source files, so a change of input rebuilds
+    them.  Each table is clustered by ``round_id`` (hash-partitioned, sorted
+    by the table key within files), the layout a silver table would have.
+    """
+    from teebox.schemas import KEYS
+    from teebox.session import checkpoint_dir
+    from teebox.sources.tables import exists, fingerprint, mark_done
+
+    key = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCE_TABLES])
+    root = f"{checkpoint_dir(spark).rstrip('/')}/teebox-golf/{key}"
+    if not exists(spark, f"{root}/_TEEBOX_DONE"):
+        for name, df in golf_tables(spark, sf_dir).items():
+            df.repartition("round_id").sortWithinPartitions(*KEYS[name]).write.mode("overwrite").parquet(f"{root}/{name}")
+        mark_done(spark, root)
+    schemas = {"rounds": ROUNDS, "holes": HOLES, "shots": SHOTS}
+    return {name: spark.read.schema(schemas[name]).parquet(f"{root}/{name}") for name in schemas}
+
+
+def two_source_rounds(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Rounds recorded twice: scorecards plus activity rows to reconcile.
 
     round_id % 10 = 3: the round is known only as an activity.
     round_id % 10 = 7: an activity twin (id + 1,000,000) one hour later,
     same player and date, with a location name.
     """
-    base = golf_rounds(spark, sf_dir)
+    base = golf_rounds(spark, sf_dir) if base is None else base
     r = F.col("round_id")
     lone = r % 10 == 3
     main = base.withColumn("scorecard_id", F.when(lone, F.lit(None)).otherwise(r)).withColumn(

@@ -89,5 +89,30 @@ def write_table(
     return version
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Stable digest of (path, size, modification time) of files or folders, on any file system."""
+    import hashlib
+
+    parts = []
+    for p in paths:
+        fs, hpath, _ = _fs(spark, p)
+        if not fs.exists(hpath):
+            parts.append(f"{p}:missing")
+            continue
+        summary = fs.getContentSummary(hpath)
+        status = fs.getFileStatus(hpath)
+        parts.append(f"{p}:{summary.getLength()}:{summary.getFileCount()}:{status.getModificationTime()}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hpath, _ = _fs(spark, path)
+    return bool(fs.exists(hpath))
+
+
+def mark_done(spark: SparkSession, path: str) -> None:
+    _write_text(spark, f"{path}/_TEEBOX_DONE", "ok")
+
+
 def local_path(path: str) -> str:
     return path if "://" in path else os.path.abspath(path)
