@@ -11,9 +11,11 @@ activities disappear.
 Plan:
   1. per (played_on, player) key: count activities and scorecards
      (partial/final hash aggregate; a hot key costs nothing here);
-  2. only rows of keys holding both kinds ("contested") are shuffled to a
-     grouped ``applyInPandas`` that runs the greedy, sequential matching on
-     one player's rounds of one day (a handful of rows);
+  2. only rows of keys holding both kinds ("contested") are hash-partitioned
+     by the key and sorted inside each partition; ``mapInPandas`` walks the
+     sorted Arrow batches and runs the greedy, sequential matching on each
+     group (one player's rounds of one day: a handful of rows), one Python
+     call per batch rather than per group;
   3. the pairs are joined back: scorecards left-join pairs and activities,
      unmatched activities are a left-anti join.
 
@@ -39,50 +41,100 @@ def with_kind(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("_is_activity", ~is_card)
 
 
-def _greedy(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    cards = pdf[~pdf["_is_activity"] & pdf["round_id"].notna()].sort_values(["_ts", "round_id"], na_position="last")
-    acts = pdf[pdf["_is_activity"] & pdf["round_id"].notna()].sort_values(["_ts", "round_id"], na_position="last")
+def _greedy(card_rows: list[tuple[int, float]], act_rows: list[tuple[int, float]], tolerance: float) -> list[tuple[int, int]]:
+    """Match one (day, player) group; both lists in (start time, round id) order."""
     used: set[int] = set()
-    out_a, out_c = [], []
-    card_rows = list(cards[["round_id", "_ts"]].itertuples(index=False, name=None))
-    for a_id, a_ts in acts[["round_id", "_ts"]].itertuples(index=False, name=None):
+    out: list[tuple[int, int]] = []
+    for a_id, a_ts in act_rows:
         candidates = [(cid, cts) for cid, cts in card_rows if cid not in used]
         if not candidates:
             continue
         best = None
-        if pd.notna(a_ts):
-            timed = [(abs(cts - a_ts), i) for i, (cid, cts) in enumerate(candidates) if pd.notna(cts) and abs(cts - a_ts) <= tolerance]
+        if a_ts == a_ts:  # not NaN
+            timed = [(abs(cts - a_ts), i) for i, (cid, cts) in enumerate(candidates) if cts == cts and abs(cts - a_ts) <= tolerance]
             if timed:
                 best = candidates[min(timed)[1]][0]
         if best is None and len(candidates) == 1:
             best = candidates[0][0]
         if best is not None:
             used.add(best)
-            out_a.append(int(a_id))
-            out_c.append(int(best))
-    return pd.DataFrame({"activity_round_id": pd.Series(out_a, dtype="int64"), "scorecard_round_id": pd.Series(out_c, dtype="int64")})
+            out.append((int(a_id), int(best)))
+    return out
+
+
+def _match_batches(batches, tolerance: float):
+    """Rows arrive clustered by group key and sorted; a group cut by a batch edge is carried over."""
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+            carry = None
+        if pdf.empty:
+            continue
+        keys = pdf["_gk"].to_numpy()
+        last_key = keys[-1]
+        tail = keys == last_key
+        carry = pdf[tail]
+        body = pdf[~tail]
+        yield _match_frame(body, tolerance)
+    if carry is not None and not carry.empty:
+        yield _match_frame(carry, tolerance)
+
+
+def _match_frame(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    pairs: list[tuple[int, int]] = []
+    if not pdf.empty:
+        keys = pdf["_gk"].to_numpy()
+        ids = pdf["round_id"].to_numpy()
+        acts = pdf["_is_activity"].to_numpy()
+        ts = pdf["_ts"].to_numpy(dtype="float64", na_value=float("nan"))
+        start = 0
+        n = len(pdf)
+        for i in range(1, n + 1):
+            if i == n or keys[i] != keys[start]:
+                cards = [(ids[j], ts[j]) for j in range(start, i) if not acts[j]]
+                activities = [(ids[j], ts[j]) for j in range(start, i) if acts[j]]
+                if cards and activities:
+                    pairs.extend(_greedy(cards, activities, tolerance))
+                start = i
+    return pd.DataFrame(
+        {
+            "activity_round_id": pd.Series([a for a, _ in pairs], dtype="int64"),
+            "scorecard_round_id": pd.Series([c for _, c in pairs], dtype="int64"),
+        }
+    )
 
 
 def match_pairs(rounds: DataFrame, tolerance_seconds: float = TOLERANCE_SECONDS) -> DataFrame:
-    """(activity_round_id, scorecard_round_id) for every matched activity."""
-    kinded = with_kind(rounds).filter(F.col("played_on").isNotNull())
+    """(activity_round_id, scorecard_round_id) for every matched activity.
+
+    Contested rows are hash-partitioned by (day, player) and sorted inside
+    each partition, so a group is contiguous; ``mapInPandas`` then walks
+    whole Arrow batches (one Python call per batch, not per group).
+    """
+    kinded = with_kind(rounds).filter(F.col("played_on").isNotNull() & F.col("round_id").isNotNull())
     counts = kinded.groupBy(*KEY).agg(
         F.max(F.col("_is_activity").cast("int")).alias("_has_act"),
         F.max((~F.col("_is_activity")).cast("int")).alias("_has_card"),
     )
     contested = counts.filter((F.col("_has_act") == 1) & (F.col("_has_card") == 1)).select(*KEY)
     rows = kinded.join(contested, on=[kinded[k].eqNullSafe(contested[k]) for k in KEY], how="left_semi").select(
+        F.xxhash64(*KEY).alias("_gk"),
         *KEY,
         "round_id",
         "_is_activity",
-        F.unix_micros(F.col("start_time").try_cast("timestamp")).cast("double").alias("_ts_us"),
+        (F.unix_micros(F.col("start_time").try_cast("timestamp")).cast("double") / 1e6).alias("_ts"),
+    )
+    ordered = rows.repartition(*KEY).sortWithinPartitions(
+        "_gk", *KEY, F.col("_ts").asc_nulls_last(), F.col("round_id").asc_nulls_last()
     )
-    rows = rows.withColumn("_ts", F.col("_ts_us") / 1e6).drop("_ts_us")
+    # a hash collision between two keys only merges their sort runs; split on the full key
+    ordered = ordered.withColumn("_gk", F.xxhash64(F.concat_ws("|", F.col("_gk").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in KEY])))
 
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(pdf, tolerance_seconds)
+    def per_partition(batches):
+        yield from _match_batches(batches, tolerance_seconds)
 
-    return rows.groupBy(*KEY).applyInPandas(per_group, schema=PAIR_SCHEMA)
+    return ordered.select("_gk", "round_id", "_is_activity", "_ts").mapInPandas(per_partition, schema=PAIR_SCHEMA)
 
 
 def canonical_rounds(rounds: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
