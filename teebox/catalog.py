@@ -228,9 +228,9 @@ def q_message_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normalized(spark: SparkSession, sf_dir: str) -> ex.Normalized:
     """Every round exported as a nested JSON document, then parsed back into tables."""
-    g = golf_tables(spark, sf_dir)
-    docs = ex.export_documents(g["rounds"], g["holes"], g["shots"]).withColumnRenamed("round_id", "doc_id")
-    return ex.normalize_documents(docs)
+    from teebox.sources.fixtures import materialized_export_documents
+
+    return ex.normalize_documents(materialized_export_documents(spark, sf_dir))
 
 
 def q_normalize_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

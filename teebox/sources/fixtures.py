@@ -177,6 +177,27 @@ def materialized_golf_tables(spark: SparkSession, sf_dir: str) -> dict[str, Data
     return {name: spark.read.schema(schemas[name]).parquet(f"{root}/{name}") for name in schemas}
 
 
+def materialized_export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every round as an export document, stored once as JSON Lines (the bronze layer).
+
+    Returns (doc_id, doc) read back from the text files, as an ingest would
+    see them.
+    """
+    from teebox.session import checkpoint_dir
+    from teebox.sources.exports import export_documents
+    from teebox.sources.tables import exists, fingerprint, mark_done
+
+    key = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCE_TABLES])
+    root = f"{checkpoint_dir(spark).rstrip('/')}/teebox-docs/{key}"
+    if not exists(spark, f"{root}/_TEEBOX_DONE"):
+        g = materialized_golf_tables(spark, sf_dir)
+        export_documents(g["rounds"], g["holes"], g["shots"]).select("doc").write.mode("overwrite").text(f"{root}/docs")
+        mark_done(spark, root)
+    raw = spark.read.text(f"{root}/docs")
+    doc_id = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.xxhash64("value").cast("string"))
+    return raw.select(doc_id.alias("doc_id"), F.col("value").alias("doc"))
+
+
 def two_source_rounds(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Rounds recorded twice: scorecards plus activity rows to reconcile.
 
