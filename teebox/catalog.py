@@ -304,6 +304,20 @@ def q_round_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.round_report(rounds, holes, shots)
 
 
+# The course and hole the scoped club query looks at.
+CLUB_COURSE = "1-URGENT"
+CLUB_HOLE = 1
+
+
+def q_club_context_course_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Club context limited to one course and one hole (the --course/--hole scope)."""
+    g = golf_tables(spark, sf_dir)
+    holes, _, resolved = sc.club_scope(
+        spark, g["rounds"], g["holes"], g["shots"], course=CLUB_COURSE, hole=CLUB_HOLE, overrides=CLUB_NAME_OVERRIDES
+    )
+    return sh.club_context(holes, resolved)
+
+
 QUERIES: dict[str, Query] = {
     "summary": q_summary,
     "round_stats": q_round_stats,
@@ -337,4 +351,5 @@ QUERIES: dict[str, Query] = {
     "course_report": q_course_report,
     "round_second_shots": q_round_second_shots,
     "round_report": q_round_report,
+    "club_context_course_hole": q_club_context_course_hole,
 }

@@ -405,15 +405,21 @@ def tee_shots_sql() -> str:
     return with_fixture(rows, *_outcome_sql("rows", keys, "tee_shots")) + _outcome_select(keys, "tee_shots")
 
 
-def _canon_scope_ctes() -> list[str]:
+def _canon_scope_ctes(course: str | None = None, hole: int | None = None) -> list[str]:
     """Club products: raw (typed, not renamed) shots of in-scope rounds, and all holes."""
+    rounds = "s_rounds" if course is None else (
+        f"(SELECT * FROM s_rounds WHERE (CASE WHEN trim(course_name) <> '' THEN course_name ELSE location_name END) = '{course}')"
+    )
+    hole_f = "" if hole is None else f" AND hole_number = {hole}"
     return [
-        "c_raw AS (SELECT * FROM t_shots WHERE round_id IN (SELECT round_id FROM s_rounds))",
-        "c_res AS (SELECT * FROM p_shots WHERE round_id IN (SELECT round_id FROM s_rounds))",
+        f"c_raw AS (SELECT * FROM t_shots WHERE round_id IN (SELECT round_id FROM {rounds}){hole_f})",
+        f"c_res AS (SELECT * FROM p_shots WHERE round_id IN (SELECT round_id FROM {rounds}){hole_f})",
+        f"c_holes AS (SELECT * FROM g_holes WHERE round_id IN (SELECT round_id FROM {rounds}){hole_f})"
+        if course is not None or hole is not None else "c_holes AS (SELECT * FROM g_holes)",
     ]
 
 
-def club_context_sql() -> str:
+def club_context_sql(course: str | None = None, hole: int | None = None) -> str:
     rows = f"""rows AS (
   SELECT round_id, club, lie, shot_type, distance_meters, to_par,
          CASE WHEN shot_type = 'PUTT' THEN 'putt'
@@ -429,7 +435,7 @@ def club_context_sql() -> str:
     SELECT s.round_id, CAST(s.shot_number AS BIGINT) AS shot_number, TRIM(COALESCE(s.club, 'Unknown')) AS club,
            TRIM(COALESCE(s.lie, 'Unknown')) AS lie, TRIM(COALESCE(s.shot_type, 'UNKNOWN')) AS shot_type,
            s.distance_meters, CAST(h.par AS BIGINT) AS par, {TO_PAR} AS to_par
-    FROM c_res s JOIN g_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
+    FROM c_res s JOIN c_holes h ON s.round_id = h.round_id AND s.hole_number = h.hole_number
   ) x
 )"""
     modes = """mt AS (
@@ -445,7 +451,7 @@ ml AS (
     keys = ["club", "context"]
     sel = _outcome_select(keys, "shots", ", COALESCE(mt.mode_type, 'Unknown') AS shot_type, COALESCE(ml.mode_lie, 'Unknown') AS lie")
     sel += " LEFT JOIN mt ON o.club = mt.club AND o.context = mt.context LEFT JOIN ml ON o.club = ml.club AND o.context = ml.context"
-    return with_fixture(*_canon_scope_ctes(), rows, modes, *_outcome_sql("rows", keys, "shots")) + sel
+    return with_fixture(*_canon_scope_ctes(course, hole), rows, modes, *_outcome_sql("rows", keys, "shots")) + sel
 
 
 def club_inventory_sql() -> str:
@@ -896,4 +902,5 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "incremental_ingest": normalize_rounds_sql(),
         "course_report": course_report_sql(),
         "round_second_shots": round_second_shots_sql(),
+        "club_context_course_hole": club_context_sql("1-URGENT", 1),
     }

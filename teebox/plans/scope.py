@@ -133,3 +133,37 @@ def filter_course(rounds: DataFrame, course: str) -> DataFrame:
 
 def filter_hole(frame: DataFrame, hole: int) -> DataFrame:
     return frame.filter(F.col("hole_number").cast("bigint") == F.lit(hole))
+
+
+def club_scope(
+    spark: SparkSession,
+    rounds: DataFrame,
+    holes: DataFrame,
+    shots: DataFrame,
+    *,
+    date_from: date | None = None,
+    date_to: date | None = None,
+    course: str | None = None,
+    hole: int | None = None,
+    overrides: Mapping[object, object] | None = None,
+    rounds_table_empty: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(holes, raw shots, resolved shots) for the club products.
+
+    Shots are limited to the rounds in the window (exclusions dropped); holes
+    are not date-filtered (the shot join narrows them).  A course limits both
+    to that course's rounds; a hole number limits both to that hole.  Raw
+    shots keep the recorded club names, resolved shots carry the overrides.
+    """
+    raw = with_shot_types(shots)
+    kept = with_display_course(filter_rounds(rounds, date_from, date_to))
+    if not rounds_table_empty:
+        raw = restrict(raw, kept)
+    if course is not None:
+        on_course = kept.filter(F.col("display_course_name") == F.lit(course))
+        raw = restrict(raw, on_course)
+        holes = restrict(holes, on_course)
+    if hole is not None:
+        raw = filter_hole(raw, hole)
+        holes = filter_hole(holes, hole)
+    return holes, raw, with_club_names(spark, raw, overrides)
