@@ -9,9 +9,10 @@ and the window values are sums of those components over two row frames:
 
 Window values are pooled (sum of hits over sum of tries; sum of per-18
 values over the number of 9/18-hole rounds), exactly as recomputing the
-summary over the window's rounds would give.  The window is partitioned by
-``by`` (the player): rounds are ordered per player, one row per round, so
-the sort works on round-sized data, not holes.
+summary over the window's rounds would give.  The frames run over round-sized
+rows (never holes).  By default they are computed over range partitions of
+the rounds sorted by (player, date, id) — see ``_frame_sums_distributed`` —
+so no player, however many rounds, is sorted inside one task.
 """
 
 from __future__ import annotations
@@ -58,11 +59,7 @@ def _value(num: Column, den: Column, metric: str) -> Column:
     return py_round(v * 100 if metric in PERCENT_METRICS else v, 2)
 
 
-def round_trends(rounds: DataFrame, holes: DataFrame, window: int = 5, by: Sequence[str] = ()) -> DataFrame:
-    """One row per round with round, window and delta values of six metrics."""
-    by = list(by)
-    if window <= 0:
-        return round_trends(rounds, holes, 1, by).limit(0)
+def _per_round(rounds: DataFrame, holes: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     comps = hole_components(holes, ["round_id"])
     base = rounds.select(
         *by,
@@ -74,41 +71,155 @@ def round_trends(rounds: DataFrame, holes: DataFrame, window: int = 5, by: Seque
         round_date("played_on").alias("_d"),
     ).join(comps, on="round_id", how="left")
     hc = F.col("hole_count")
-    parts = _parts(hc)
     cols: list[Column] = []
-    for metric, (num, den) in parts.items():
-        cols += [F.coalesce(num, F.lit(0.0)).alias(f"_n_{metric}"), F.coalesce(den, F.lit(0)).alias(f"_d_{metric}")]
-    base = base.select("*", *cols)
+    names: list[str] = []
+    for metric, (num, den) in _parts(hc).items():
+        cols += [F.coalesce(num, F.lit(0.0)).cast("double").alias(f"_n_{metric}"), F.coalesce(den, F.lit(0)).cast("double").alias(f"_d_{metric}")]
+        names += [f"_n_{metric}", f"_d_{metric}"]
+    base = base.select(*by, "round_id", "played_on", "course_name", "_d", F.coalesce(hc, F.lit(0)).cast("bigint").alias("hole_count"), *cols)
+    return base, names
+
 
+def _frame_sums_window(base: DataFrame, by: list[str], names: list[str], window: int) -> DataFrame:
     order = [F.col("_d").asc_nulls_last(), F.col("round_id").asc_nulls_last()]
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     cur = w.rowsBetween(-(window - 1), 0)
     prev = w.rowsBetween(-(2 * window - 1), -window)
+    out = [F.col(c) for c in base.columns]
+    out += [F.count("round_id").over(cur).cast("double").alias("_cnt_cur"), F.count("round_id").over(prev).cast("double").alias("_cnt_prev")]
+    for c in names:
+        out += [F.coalesce(F.sum(c).over(cur), F.lit(0.0)).alias(f"{c}_cur"), F.coalesce(F.sum(c).over(prev), F.lit(0.0)).alias(f"{c}_prev")]
+    return base.select(*out)
+
+
+def _frame_sums_distributed(base: DataFrame, by: list[str], names: list[str], window: int) -> DataFrame:
+    """Sliding-frame sums without putting a group in one task.
+
+    Rows are range-partitioned and sorted by (group, date, id), so a hot
+    group spans many partitions of similar size; the sorted data is
+    checkpointed (shared checkpoint folder) to fix partition boundaries.
+    Each partition then needs only the 2N-1 rows before it: the last 2N-1
+    rows of every partition are collected (partitions x 2N-1 rows, a bound
+    independent of the data size) and handed to a ``mapInPandas`` that
+    computes the frames with grouped cumulative sums.
+    """
+    import numpy as np
+    import pandas as pd
+
+    halo_n = 2 * window - 1
+    order = [*[F.col(c).asc_nulls_first() for c in by], F.col("_d").asc_nulls_last(), F.col("round_id").asc_nulls_last()]
+    ordered = base.withColumn("_has_id", F.col("round_id").isNotNull().cast("double")).orderBy(*order).checkpoint(eager=True)
+    tagged = ordered.withColumn("_pid", F.spark_partition_id())
+    value_cols = ["_has_id", *names]
+    key_cols = list(by)
+    small_schema = ", ".join(["_pid int", "_seq long", *[f"`{c}` {dict(tagged.dtypes)[c]}" for c in key_cols], *[f"`{c}` double" for c in value_cols]])
+
+    def tails(batches):
+        frames = [b for b in batches]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        if pdf.empty:
+            return
+        tail = pdf.tail(halo_n).copy()
+        tail["_seq"] = np.arange(len(pdf) - len(tail), len(pdf), dtype="int64")
+        yield tail[["_pid", "_seq", *key_cols, *value_cols]]
+
+    halos = tagged.mapInPandas(tails, schema=small_schema).toPandas()
+    halos = halos.sort_values(["_pid", "_seq"], kind="stable")
+    base_cols = list(base.columns)
+    out_fields = [*base_cols, "_cnt_cur", "_cnt_prev", *[f"{c}_{k}" for c in names for k in ("cur", "prev")]]
+    out_schema = ", ".join(
+        [f"`{c}` {dict(tagged.dtypes)[c]}" for c in base_cols] + [f"`{c}` double" for c in out_fields[len(base_cols):]]
+    )
+
+    def frames(batches):
+        batch_list = [b for b in batches]
+        if not batch_list:
+            return
+        part = pd.concat(batch_list, ignore_index=True)
+        if part.empty:
+            return
+        pid = int(part["_pid"].iloc[0])
+        before = halos[halos["_pid"] < pid].tail(halo_n)
+        ctx = before[[*key_cols, *value_cols]]
+        full = pd.concat([ctx, part[[*key_cols, *value_cols]]], ignore_index=True)
+        n = len(full)
+        idx = np.arange(n)
+        if key_cols:
+            keys = full[key_cols].astype(object).where(full[key_cols].notna(), "\x00null")
+            change = np.ones(n, dtype=bool)
+            change[1:] = (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)
+        else:
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+        gstart = np.maximum.accumulate(np.where(change, idx, 0))
+
+        def frame_sum(values: np.ndarray):
+            csum = np.concatenate([[0.0], np.cumsum(values)])  # csum[k] = sum of values[:k]
+            lo_cur = np.maximum(idx - window + 1, gstart)
+            cur = csum[idx + 1] - csum[lo_cur]
+            hi_prev = idx - window  # inclusive
+            lo_prev = np.maximum(idx - 2 * window + 1, gstart)
+            has = hi_prev >= lo_prev
+            prev = np.where(has, csum[np.maximum(hi_prev, 0) + 1] - csum[lo_prev], 0.0)
+            return cur, prev
+
+        res = {}
+        cnt_cur, cnt_prev = frame_sum(full["_has_id"].to_numpy(dtype="float64"))
+        res["_cnt_cur"], res["_cnt_prev"] = cnt_cur, cnt_prev
+        for c in names:
+            cur, prev = frame_sum(full[c].to_numpy(dtype="float64"))
+            res[f"{c}_cur"], res[f"{c}_prev"] = cur, prev
+        k = len(ctx)
+        out = part[base_cols].copy()
+        for name, arr in res.items():
+            out[name] = arr[k:]
+        yield out
+
+    return tagged.mapInPandas(frames, schema=out_schema)
+
+
+def round_trends(
+    rounds: DataFrame, holes: DataFrame, window: int = 5, by: Sequence[str] = (), *, method: str = "distributed"
+) -> DataFrame:
+    """One row per round with round, window and delta values of six metrics.
+
+    ``method="distributed"`` (default) computes the frames over range
+    partitions, so neither an empty ``by`` nor a player with a third of all
+    rounds lands in one task; ``method="window"`` is the plain window plan.
+    """
+    by = list(by)
+    if window <= 0:
+        return round_trends(rounds, holes, 1, by, method="window").limit(0)
+    base, names = _per_round(rounds, holes, by)
+    if method == "window":
+        sums = _frame_sums_window(base, by, names, window)
+    else:
+        sums = _frame_sums_distributed(base, by, names, window)
 
     out: list[Column] = [F.col(c) for c in by]
     out += [
         F.col("round_id"),
         F.col("played_on"),
         F.col("course_name"),
-        F.coalesce(hc, F.lit(0)).cast("bigint").alias("hole_count"),
+        F.col("hole_count"),
         F.lit(window).cast("bigint").alias("window"),
-        F.count("round_id").over(cur).alias("rounds_in_window"),
-        F.count("round_id").over(prev).alias("rounds_in_previous_window"),
+        F.col("_cnt_cur").cast("bigint").alias("rounds_in_window"),
+        F.col("_cnt_prev").cast("bigint").alias("rounds_in_previous_window"),
     ]
-    round_vals, window_vals, prev_vals = {}, {}, {}
-    for metric in parts:
-        n, d = F.col(f"_n_{metric}"), F.col(f"_d_{metric}")
-        round_vals[metric] = _value(n, d, metric)
-        window_vals[metric] = _value(F.sum(n).over(cur), F.sum(d).over(cur), metric)
-        prev_vals[metric] = _value(F.sum(n).over(prev), F.sum(d).over(prev), metric)
+    metrics = [m[0] for m in TREND_METRICS]
+    round_vals = {m: _value(F.col(f"_n_{m}"), F.col(f"_d_{m}"), m) for m in metrics}
+    window_vals = {m: _value(F.col(f"_n_{m}_cur"), F.col(f"_d_{m}_cur"), m) for m in metrics}
+    prev_vals = {m: _value(F.col(f"_n_{m}_prev"), F.col(f"_d_{m}_prev"), m) for m in metrics}
     for metric, rcol, _, _ in TREND_METRICS:
         out.append(round_vals[metric].alias(rcol))
     for metric, _, wcol, _ in TREND_METRICS:
         out.append(window_vals[metric].alias(wcol))
-    has_prev = F.count("round_id").over(prev) > 0
+    has_prev = F.col("_cnt_prev") > 0
     for metric, _, _, dcol in TREND_METRICS:
         out.append(F.when(has_prev, py_round(window_vals[metric] - prev_vals[metric], 2)).alias(dcol))
-    result = base.select(*out).filter(F.col("round_id").isNotNull())
+    result = sums.select(*out).filter(F.col("round_id").isNotNull())
     return result.orderBy(
         *[F.col(c).asc_nulls_last() for c in by],
         F.col("played_on").desc_nulls_last(),
@@ -116,8 +227,6 @@ def round_trends(rounds: DataFrame, holes: DataFrame, window: int = 5, by: Seque
     )
 
 
-
-
 def metric_trend_series(trends: DataFrame, metrics: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Long form: one row per (round, metric) with round, window and delta values."""
     known = {m[0]: m for m in TREND_METRICS}

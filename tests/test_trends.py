@@ -72,3 +72,25 @@ def test_metric_series_and_bad_window(mk):
 
     with pytest.raises(ValueError):
         metric_trend_series(t, ["nope"])
+
+
+def test_distributed_frames_equal_window_with_a_hot_player(spark, mk):
+    rows, hole_rows = [], []
+    rid = 0
+    for player, n in ((1, 60), (2, 3), (None, 4)):
+        for i in range(n):
+            rid += 1
+            day = f"2025-{1 + i // 28:02d}-{1 + i % 28:02d}" if i % 13 else None
+            rows.append({"round_id": rid, "player_profile_id": player, "played_on": day, "course_name": "C",
+                         "total_score": 80 + rid % 7, "total_par": 72})
+            nh = 9 if rid % 4 == 0 else 18
+            hole_rows += [{"round_id": rid, "hole_number": h, "par": 4, "strokes": 4 + (rid + h) % 3, "putts": 1 + (rid * h) % 3,
+                           "gir": (rid + h) % 2 == 0, "fairway_hit": (rid + h) % 3 == 0, "penalties": int((rid + h) % 5 == 0)}
+                          for h in range(1, nh + 1)]
+    rounds, holes = mk("rounds", rows), mk("holes", hole_rows)
+    for by in ([], ["player_profile_id"]):
+        for w in (1, 3, 5):
+            key = lambda t: tuple((v is None, str(v)) for v in t)
+            a = sorted(map(tuple, round_trends(rounds, holes, w, by, method="window").collect()), key=key)
+            b = sorted(map(tuple, round_trends(rounds, holes, w, by, method="distributed").collect()), key=key)
+            assert a == b
