@@ -180,18 +180,40 @@ def _frame_sums_distributed(base: DataFrame, by: list[str], names: list[str], wi
     return tagged.mapInPandas(frames, schema=out_schema)
 
 
+# The largest group (rounds of one player) sorted inside one task.
+MAX_ROUNDS_PER_TASK = 2_000_000
+
+
+def largest_group(rounds: DataFrame, by: Sequence[str]) -> int:
+    """Rounds in the biggest ``by`` group: one partial/final aggregate over the rounds."""
+    by = list(by)
+    counts = rounds.groupBy(*by).count() if by else rounds.groupBy().count()
+    row = counts.agg(F.max("count").alias("m")).collect()[0]
+    return int(row["m"] or 0)
+
+
 def round_trends(
-    rounds: DataFrame, holes: DataFrame, window: int = 5, by: Sequence[str] = (), *, method: str = "distributed"
+    rounds: DataFrame,
+    holes: DataFrame,
+    window: int = 5,
+    by: Sequence[str] = (),
+    *,
+    method: str = "auto",
+    max_rounds_per_task: int = MAX_ROUNDS_PER_TASK,
 ) -> DataFrame:
     """One row per round with round, window and delta values of six metrics.
 
-    ``method="distributed"`` (default) computes the frames over range
-    partitions, so neither an empty ``by`` nor a player with a third of all
-    rounds lands in one task; ``method="window"`` is the plain window plan.
+    ``method="window"`` is the plain window plan (one task sorts a whole
+    group); ``"distributed"`` computes the frames over range partitions, so
+    neither an empty ``by`` nor a player with a third of all rounds lands in
+    one task; ``"auto"`` checks the largest group first and takes the window
+    plan only when every group fits ``max_rounds_per_task``.
     """
     by = list(by)
     if window <= 0:
         return round_trends(rounds, holes, 1, by, method="window").limit(0)
+    if method == "auto":
+        method = "window" if by and largest_group(rounds, by) <= max_rounds_per_task else "distributed"
     base, names = _per_round(rounds, holes, by)
     if method == "window":
         sums = _frame_sums_window(base, by, names, window)
