@@ -265,15 +265,14 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from teebox.session import checkpoint_dir
+    from teebox.sources.fixtures import materialized_export_documents
     from teebox.sources.tables import read_table
     from teebox.streaming import ingest
 
     run = f"{checkpoint_dir(spark).rstrip('/')}/teebox-ingest-{uuid.uuid4().hex}"
-    g = golf_tables(spark, sf_dir)
-    docs = ex.export_documents(g["rounds"], g["holes"], g["shots"]).join(
-        g["rounds"].select("round_id", "played_on"), "round_id"
-    )
-    drops = [docs.filter(F.col("played_on") < F.lit(FIRST_DROP_BEFORE)), docs]
+    docs = materialized_export_documents(spark, sf_dir)
+    started = F.get_json_object("doc", "$.summary.scorecardSummaries[0].startTime")
+    drops = [docs.filter(started < F.lit(FIRST_DROP_BEFORE)), docs]
     for i, drop in enumerate(drops):
         staging = f"{run}/staging/{i}"
         drop.select("doc").write.text(staging)
@@ -285,7 +284,6 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "exclude_from_stats", "comment", "player_profile_id",
     )
 
-
 def q_course_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every course's report: course summary plus next-round focus lists."""
     s = _scoped(spark, sf_dir)
