@@ -131,6 +131,10 @@ def match_pairs(rounds: DataFrame, tolerance_seconds: float = TOLERANCE_SECONDS)
     # a hash collision between two keys only merges their sort runs; split on the full key
     ordered = ordered.withColumn("_gk", F.xxhash64(F.concat_ws("|", F.col("_gk").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in KEY])))
 
+    from teebox.session import ship_package
+
+    ship_package(rounds.sparkSession)
+
     def per_partition(batches):
         yield from _match_batches(batches, tolerance_seconds)
 

@@ -106,6 +106,10 @@ def _frame_sums_distributed(base: DataFrame, by: list[str], names: list[str], wi
     import numpy as np
     import pandas as pd
 
+    from teebox.session import ensure_checkpoint_dir, ship_package
+
+    ship_package(base.sparkSession)
+    ensure_checkpoint_dir(base.sparkSession)
     halo_n = 2 * window - 1
     order = [*[F.col(c).asc_nulls_first() for c in by], F.col("_d").asc_nulls_last(), F.col("round_id").asc_nulls_last()]
     ordered = base.withColumn("_has_id", F.col("round_id").isNotNull().cast("double")).orderBy(*order).checkpoint(eager=True)

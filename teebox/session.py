@@ -48,3 +48,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``teebox`` importable in Python workers (once per SparkContext).
+
+    Functions handed to ``mapInPandas`` are pickled by reference to this
+    package, so executors need it on their path: the package is zipped on the
+    driver and distributed with ``addPyFile``, as on any cluster.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_teebox_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="teebox-pyfile-"), "teebox.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    sc._teebox_shipped = True
