@@ -43,6 +43,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: on a cluster it must name a shared folder (a machine-local "
+                "temporary folder would be lost with its executor)."
+            )
         current = tempfile.mkdtemp(prefix="teebox-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
