@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teebox.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, scratch, warc
+from teebox.llm import bpe, decontaminate, exact_dedup, html_extract, langid, ngram_join, ngram_lm, scratch, secret_scan, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("secret")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -57,6 +74,10 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
