@@ -5,13 +5,13 @@ whole sequence; no words: empty and linked with nothing).  Two documents link wh
 ``100 * |A n B| >= 75 * |A u B|``.  The join is exact up to 64-bit shingle hashes:
 
 1. Equal sets fold into one class per 128-bit set digest, so copies cost one row each.
-2. A count sketch of fixed size (2^18 slots, summed over all documents) gives every shingle
-   a rarity level.  Shingles are ordered by (level, hash); two sets that link must share one
+2. A count sketch of fixed size (2^22 slots, summed over all documents) gives every shingle
+   a rarity level relative to the mean slot.  Shingles are ordered by (level, hash); two sets that link must share one
    of the first ``n - ceil(0.75 n) + 1`` shingles of that order, so these are the keys that
    bring documents together.  The order only affects speed, never which pairs meet.
 3. Keys held by one class fall away.  Of the rest every class is first checked against one
    document it shares most keys with; verified links are joined into components.
-4. Keys that still hold two or more components get an R-tree: shingles are hashed into 64
+4. Keys that still hold two or more components get an R-tree: shingles are hashed into 128
    groups, a set's group counts are a point, and the overlap of two subtrees (or points) is
    at most the sum of the coordinate-wise minima of their upper corners.  Subtrees whose
    bound misses ``3/7 (|A| + |B|)`` are cut; surviving pairs of different components are
@@ -37,10 +37,12 @@ from teebox.llm.text import mix64, shingle_sets, slices
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 SKETCH_PARTS = 16
-GROUPS = 64
+GROUPS = 128
 FANOUT = 16
+BLOOM_BITS = 25  # fixed-size filter of the ids whose whole sets are wanted
+FULL = 65535  # a group count that stands for any larger one
 _LEVEL_SHIFT = np.uint64(60)
 
 
@@ -52,7 +54,10 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def rarity(docs: DataFrame, words: int) -> np.ndarray:
-    """Level 0 to 15 of each sketch slot: how far its count lies above the mean slot's."""
+    """Level 0 to 15 of each sketch slot: quarter powers of two above the mean slot.
+
+    A task reports at most 255 per slot (levels only order the shingles).
+    """
     size = 1 << SKETCH_BITS
 
     def count(batches):
@@ -60,42 +65,42 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             for _, _, buf, offs in slices(batch.column(0)):
                 sets = list(shingle_sets(buf, offs, words))
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        parts = np.split(total.astype("<u4"), SKETCH_PARTS)
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+        parts = np.split(np.minimum(total, 255).astype(np.uint8), SKETCH_PARTS)
         yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint8).astype(np.uint32)
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.astype("<u4").tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
     rows = docs.mapInArrow(count, schema).repartition(SKETCH_PARTS, "part").mapInArrow(add, schema).collect()
     total = np.zeros(size, np.int64)
     for r in rows:
-        total.reshape(SKETCH_PARTS, -1)[r["part"]] += np.frombuffer(r["counts"], "<i8")
-    usual = 4 * total.sum() / size + 16
-    return np.clip(np.floor(np.log2(np.maximum(total / usual, 0.5))) + 1, 0, 15).astype(np.uint8)
+        total.reshape(SKETCH_PARTS, -1)[r["part"]] += np.frombuffer(r["counts"], "<u4")
+    mean = total.sum() / size + 1
+    return np.clip(np.ceil(4 * np.log2(np.maximum(total / mean, 0.5))), 0, 15).astype(np.uint8)
 
 
 # --- sets and keys ------------------------------------------------------------------------
 
 
 def _fingerprints(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, digest and prefix keys of every row."""
+    """doc_id, n, set digest, count vector and prefix keys of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         level = shared.value
         for batch in batches:
             for lo, hi, buf, offs in slices(batch.column(1)):
-                n, keys, d1, d2 = [], [], [], []
+                n, keys, d1, d2, vectors = [], [], [], [], []
                 for s in shingle_sets(buf, offs, words):
                     n.append(len(s))
+                    vectors.append(np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), FULL).astype("<u2").tobytes())
                     d1.append(int(np.bitwise_xor.reduce(mix64(s * np.uint64(3)))) if len(s) else 0)
                     d2.append(int(np.add.reduce(mix64(s + np.uint64(7)))) if len(s) else 0)
                     if len(s):
@@ -110,12 +115,13 @@ def _fingerprints(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
                         pa.array(n, pa.int64()),
                         pa.array(np.array(d1, np.uint64).view(np.int64)),
                         pa.array(np.array(d2, np.uint64).view(np.int64)),
+                        pa.array(vectors, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys))),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "keys"],
+                    names=["doc_id", "n", "d1", "d2", "vector", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, vector binary, keys array<long>")
 
 
 def _sorted_groups(batches) -> tuple[list[np.ndarray], np.ndarray] | None:
@@ -147,30 +153,68 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition(scratch.partitions(keys.sparkSession), "key").mapInArrow(run, "key long, doc_id long, pivot long")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, the whole sorted set and its count vector."""
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter (2^25 bits, two probes) of the ids, put together in Spark."""
+
+    def fill(batches):
+        seen = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+                seen[at] = True
+        parts = np.split(np.packbits(seen), SKETCH_PARTS)
+        yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "bits"])
+
+    def union(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                parts[part] = parts.get(part, 0) | np.frombuffer(bits, np.uint8)
+        if parts:
+            yield pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    schema = "part int, bits binary"
+    out = np.zeros((SKETCH_PARTS, (1 << BLOOM_BITS) // 8 // SKETCH_PARTS), np.uint8)
+    for r in ids.mapInArrow(fill, schema).repartition(SKETCH_PARTS, "part").mapInArrow(union, schema).collect():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles): whole sorted sets of the documents in ``pairs``, and of a few others.
+
+    The Bloom filter keeps other texts from being read into sets; a false hit only adds a row.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            wanted = np.ones(batch.num_rows, bool)
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+                wanted &= (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+            batch = batch.filter(pa.array(wanted))
             for lo, hi, buf, offs in slices(batch.column(1)):
-                sets = list(shingle_sets(buf, offs, words))
-                vectors = [np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(vectors, pa.binary())],
-                    names=["doc_id", "n", "shingles", "vector"],
-                )
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(buf, offs, words)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, shingles binary, vector binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
+    sets = scratch.written(_sets(docs, pairs, words), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches):
         for batch in batches:
-            a, b, sa, sb = (c.to_pylist() for c in batch.columns)
+            _, _, sa, sb = (c.to_pylist() for c in batch.columns)
             ok = []
             for x, y in zip(sa, sb):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -179,7 +223,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return scratch.written(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+
+
+def _points(vectors) -> np.ndarray:
+    out = np.stack([np.frombuffer(v, "<u2") for v in vectors]).astype(np.int32)
+    out[out == FULL] = 1 << 24
+    return out
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the summed coordinate minima do not exclude."""
+    one = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
+    two = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                bound = np.minimum(_points(part.column(4).to_pylist()), _points(part.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+                size = part.column(2).to_numpy() + part.column(3).to_numpy()
+                keep = pa.array((100 + percent) * bound >= percent * size)
+                yield pa.record_batch([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
 
 
 # --- R-tree -------------------------------------------------------------------------------
@@ -221,7 +288,7 @@ class CountTree:
             upper, least, most = self.levels[level]
             keep = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
             i, j = i[keep], j[keep]
-            bound = np.minimum(upper[i], upper[j]).sum(axis=1)
+            bound = np.minimum(upper[i], upper[j]).sum(axis=1, dtype=np.int64)
             keep = (100 + percent) * bound >= percent * (least[i] + least[j])
             i, j = i[keep], j[keep]
             if level == 0:
@@ -263,7 +330,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         (key, doc, label, n, vector), first = got
         found: set[tuple[int, int]] = set()
         for lo, hi in zip(first, np.append(first[1:], len(key))):
-            points = np.stack([np.frombuffer(v, "<u4") for v in vector[lo:hi]]).astype(np.int32)
+            points = _points(vector[lo:hi])
             tree = CountTree(points, n[lo:hi])
             for i, j in tree.pairs(percent):
                 i, j = i + lo, j + lo
@@ -301,7 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.explode("keys").alias("key"), "doc_id")
     )
     hits = scratch.written(_shared_keys(keys), "hits")
-    edges = _links(docs, hits, words, percent)
+    edges = _links(docs, hits, prints.select("doc_id", "n", "vector"), words, percent)
     labels = components(edges)
     return (
         prints.select("doc_id", "n", "d1", "d2")
@@ -311,23 +378,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _links(docs: DataFrame, hits: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, hits: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified edges (a, b) whose components are those of all links."""
-    wanted = hits.select("doc_id").distinct()
-    sets = scratch.written(_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
     star = (
         hits.filter("doc_id <> pivot")
         .groupBy("doc_id", "pivot")
         .agg(F.count(F.lit(1)).alias("shared"))
         .groupBy("doc_id")
-        .agg(F.max(F.struct("shared", "pivot")).alias("best"))
-        .select(F.col("best.pivot").alias("a"), F.col("doc_id").alias("b"))
+        .agg(F.max_by("pivot", "shared").alias("pivot"))
+        .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     )
-    first = scratch.written(_verified(star, sets, percent), "links")
+    first = _verified(docs, scratch.written(_bounded(star, points, percent), "pairs"), words, percent)
     labels = components(first)
     marked = hits.join(labels, hits["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    rows = _open_keys(marked).join(sets.select("doc_id", "n", "vector"), "doc_id").select("key", "doc_id", "label", "n", "vector")
-    second = scratch.written(_verified(_tree_pairs(rows, percent), sets, percent), "links")
+    rows = _open_keys(marked).join(points, "doc_id").select("key", "doc_id", "label", "n", "vector")
+    second = _verified(docs, scratch.written(_tree_pairs(rows, percent), "pairs"), words, percent)
     return first.unionByName(second)
 
 
