@@ -11,7 +11,7 @@ whole sequence; no words: empty and linked with nothing).  Two documents link wh
    bring documents together.  The order only affects speed, never which pairs meet.
 3. Keys held by one class fall away.  Of the rest every class is first checked against one
    document it shares most keys with; verified links are joined into components.
-4. Keys that still hold two or more components get an R-tree: shingles are hashed into 128
+4. Keys that still hold two or more components get an R-tree: shingles are hashed into 256
    groups, a set's group counts are a point, and the overlap of two subtrees (or points) is
    at most the sum of the coordinate-wise minima of their upper corners.  Subtrees whose
    bound misses ``3/7 (|A| + |B|)`` are cut; surviving pairs of different components are
@@ -39,10 +39,11 @@ WORDS = 5
 PERCENT = 75
 SKETCH_BITS = 22
 SKETCH_PARTS = 16
-GROUPS = 128
+GROUPS = 256
 FANOUT = 16
 BLOOM_BITS = 25  # fixed-size filter of the ids whose whole sets are wanted
-FULL = 65535  # a group count that stands for any larger one
+FULL = 255  # a group count that stands for any larger one
+UNIT_PAIRS = 200_000  # pairs verified together
 _LEVEL_SHIFT = np.uint64(60)
 
 
@@ -100,7 +101,7 @@ def _fingerprints(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
                 n, keys, d1, d2, vectors = [], [], [], [], []
                 for s in shingle_sets(buf, offs, words):
                     n.append(len(s))
-                    vectors.append(np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), FULL).astype("<u2").tobytes())
+                    vectors.append(np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8).tobytes())
                     d1.append(int(np.bitwise_xor.reduce(mix64(s * np.uint64(3)))) if len(s) else 0)
                     d2.append(int(np.add.reduce(mix64(s + np.uint64(7)))) if len(s) else 0)
                     if len(s):
@@ -207,27 +208,53 @@ def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """Edges (a, b) of ``pairs`` whose whole sets link, but for those that only close a circle.
+
+    Pairs that hang together are verified together, so a set travels once per unit and not once
+    per pair; a family with more than UNIT_PAIRS pairs is split into several units.
+    """
+    labels = components(pairs)
+    family = pairs.join(labels.select(F.col("node").alias("a"), "label"), "a")
+    size = family.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(UNIT_PAIRS)).alias("units"))
+    family = family.join(size, "label").select(F.xxhash64("label", F.pmod(F.xxhash64("a"), "units")).alias("unit"), "a", "b")
+    family = scratch.written(family, "units")
     sets = scratch.written(_sets(docs, pairs, words), "sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    wanted = family.select(F.col("unit").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id").select("at", "doc_id", "shingles")
 
-    def run(batches):
-        for batch in batches:
-            _, _, sa, sb = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for x, y in zip(sa, sb):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    def run(key: tuple[pa.Scalar, ...], todo: pa.Table, known: pa.Table) -> pa.Table:
+        have: dict[int, list[np.ndarray]] = {}
+        for doc, x in zip(known["doc_id"].to_pylist(), known["shingles"].to_pylist()):
+            have.setdefault(doc, []).append(np.frombuffer(x, np.uint64))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
 
-    return scratch.written(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+        out = []
+        for a, b in sorted(zip(todo["a"].to_pylist(), todo["b"].to_pylist())):
+            u, v = find(a), find(b)
+            if u != v and any(_links_exactly(x, y, percent) for x in have.get(a, ()) for y in have.get(b, ())):
+                root[max(u, v)] = min(u, v)
+                out.append((a, b))
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return scratch.written(family.groupBy("unit").cogroup(wanted.groupBy("at")).applyInArrow(run, "a long, b long"), "links")
+
+
+def _links_exactly(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _points(vectors) -> np.ndarray:
-    out = np.stack([np.frombuffer(v, "<u2") for v in vectors]).astype(np.int32)
+    out = np.stack([np.frombuffer(v, np.uint8) for v in vectors]).astype(np.int32)
     out[out == FULL] = 1 << 24
     return out
 
@@ -328,10 +355,23 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if got is None:
             return
         (key, doc, label, n, vector), first = got
+        size = np.diff(np.append(first, len(key)))
         found: set[tuple[int, int]] = set()
-        for lo, hi in zip(first, np.append(first[1:], len(key))):
-            points = _points(vector[lo:hi])
-            tree = CountTree(points, n[lo:hi])
+        # a group that fits one leaf is a tree of one node: all such groups' pairs at once
+        for g in range(2, FANOUT + 1):
+            at = first[size == g]
+            i, j = np.triu_indices(g, 1)
+            step = max(1, (1 << 15) // len(i))
+            for lo in range(0, len(at), step):
+                x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
+                keep = (label[x] != label[y]) & (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
+                x, y = x[keep], y[keep]
+                if len(x):
+                    bound = np.minimum(_points(vector[x]), _points(vector[y])).sum(axis=1, dtype=np.int64)
+                    keep = (100 + percent) * bound >= percent * (n[x] + n[y])
+                    found.update(zip(doc[x[keep]].tolist(), doc[y[keep]].tolist()))
+        for lo, hi in zip(first[size > FANOUT], (first + size)[size > FANOUT]):
+            tree = CountTree(_points(vector[lo:hi]), n[lo:hi])
             for i, j in tree.pairs(percent):
                 i, j = i + lo, j + lo
                 other = label[i] != label[j]
