@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from teebox.llm import blocks, scratch
 from teebox.llm.text import LOWER, mix64, slices, word_bounds, word_hashes
 
-FILTER_BITS = 1 << 29  # 64 MiB, whatever the corpus
+FILTER_BITS = 1 << 28  # 32 MiB, whatever the corpus
 PROBES = 3
 MU = 400.0
 CHUNK = 2_000_000  # tokens added up before parcels leave a task
