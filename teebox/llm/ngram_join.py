@@ -43,7 +43,7 @@ GROUPS = 256
 FANOUT = 16
 BLOOM_BITS = 25  # fixed-size filter of the ids whose whole sets are wanted
 FULL = 255  # a group count that stands for any larger one
-UNIT_PAIRS = 200_000  # pairs verified together
+UNIT_PAIRS = 50_000  # pairs verified together
 _LEVEL_SHIFT = np.uint64(60)
 
 
