@@ -132,7 +132,7 @@ def features(s: str, before: str, after: str, path: str, logp: np.ndarray, words
         float(any(w in NAMES for w in near)),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
-        float(any(w in PLACEHOLDERS for w in [*near[-2:], *here])),
+        float(any(w in PLACEHOLDERS for w in [*near[-2:], *here]) or any(w in s.lower() for w in PLACEHOLDERS if len(w) > 4)),
         float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None),
     ]
 
