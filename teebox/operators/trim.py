@@ -7,12 +7,9 @@ rows are never trimmed.
 
 Plan: a partial/final hash aggregate builds one statistics row per group,
 which is joined back to the rows.  No window: a window would sort every group
-inside one task, and one club can hold a third of all shots.  When the
-caller vouches that the keys come from a bounded vocabulary (clubs, shot
-types, pars, lies) the statistics are broadcast, so the rows are never
-shuffled; otherwise the join is left to the planner (AQE turns it into a
-broadcast at run time when the statistics turn out small, and splits skewed
-partitions when they do not).
+inside one task, and one club can hold a third of all shots.  The join is left
+to the planner: AQE turns it into a broadcast at run time when the statistics
+turn out small, and splits skewed partitions when they do not.
 """
 
 from __future__ import annotations
@@ -57,7 +54,6 @@ def trim_outliers(
     *,
     k: float = STDDEV_THRESHOLD,
     min_rows: int = MIN_GROUP_SIZE,
-    bounded_keys: bool = True,
 ) -> DataFrame:
     """Rows of ``df`` that survive the trim, with ``df``'s columns."""
     keys = list(keys)
@@ -68,6 +64,5 @@ def trim_outliers(
         joined = df.select("*", one).join(F.broadcast(stats.select("*", one)), on="_trim_all", how="inner")
     else:
         # Null keys must not match (the stats of a null group are not applied).
-        right = F.broadcast(stats) if bounded_keys else stats
-        joined = df.join(right, on=keys, how="left")
+        joined = df.join(stats, on=keys, how="left")
     return joined.filter(keep_condition(value, k, min_rows)).select(*df.columns)

@@ -5,7 +5,7 @@ Plan shape (``by`` empty, the single-player case):
   holes  --HashAggregate(round_id)--> components --HashAggregate--> 1 row
   rounds --join components.hole_count--> HashAggregate --> 1 row
   shots  --HashAggregate(round_id)--> counts --join hole_count--> 1 row
-  shots(TEE/PUTT) --trim (broadcast stats)--> HashAggregate --> 1 row
+  shots(TEE/PUTT) --trim--> HashAggregate --> 1 row
   shots --count breakdowns--> 1 row
 
 The one-row pieces are joined on a constant key.  With ``by`` (for example
@@ -173,9 +173,9 @@ def _main_aggs(with_shots: bool) -> list[Column]:
     return aggs
 
 
-def _distance_piece(shots: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+def _distance_piece(shots: DataFrame, keys: list[str]) -> DataFrame:
     typed = shots.filter(F.col("shot_type").isin("TEE", "PUTT")).select(*keys, "shot_type", "distance_meters")
-    kept = trim_outliers(typed, [*keys, "shot_type"], bounded_keys=bounded)
+    kept = trim_outliers(typed, [*keys, "shot_type"])
     d = F.col("distance_meters").try_cast("double")
     return kept.groupBy(*keys).agg(
         exact_mean(F.when(F.col("shot_type") == "TEE", d)).alias("average_tee_shot_distance_m"),
@@ -204,7 +204,7 @@ def summary_components(
     pieces = [main]
     if shots is not None:
         shots_k = attach(shots, rounds, by)
-        pieces.append(_distance_piece(shots_k, keys, bounded=not by))
+        pieces.append(_distance_piece(shots_k, keys))
         counts = shots_k.groupBy(*keys, "shot_type", "club").agg(F.count(F.lit(1)).alias("_n"))
         pieces.append(count_breakdown(counts, "shot_type", keys, out="shot_type_breakdown", weight="_n"))
         pieces.append(count_breakdown(counts, "club", keys, limit=5, out="club_usage_top5", weight="_n"))
