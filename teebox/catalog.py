@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from teebox.plans import courses as co
 from teebox.plans import scope as sc
@@ -138,14 +139,20 @@ TREND_WINDOW = 5
 TREND_BY = ["player_profile_id"]
 
 
-def q_round_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trends per player (the reference's single-player history, for every player)."""
+def _player_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scoped(spark, sf_dir)
     return tr.round_trends(s.rounds, s.holes, TREND_WINDOW, by=TREND_BY)
 
 
+def q_round_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends per player (the reference's single-player history, for every player), newest first."""
+    return _player_trends(spark, sf_dir).orderBy(
+        *[F.col(c).asc_nulls_last() for c in TREND_BY], F.col("played_on").desc_nulls_last(), F.col("round_id").desc_nulls_last()
+    )
+
+
 def q_metric_trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.metric_trend_series(q_round_trends(spark, sf_dir), by=TREND_BY)
+    return tr.metric_trend_series(_player_trends(spark, sf_dir), by=TREND_BY)
 
 
 def q_canonical_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +269,6 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     included) ingested by the streaming file source; returns the stored rounds."""
     import uuid
 
-    from pyspark.sql import functions as F
-
     from teebox.session import checkpoint_dir
     from teebox.sources.fixtures import materialized_export_documents
     from teebox.sources.tables import read_table

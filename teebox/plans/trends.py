@@ -10,9 +10,10 @@ and the window values are sums of those components over two row frames:
 Window values are pooled (sum of hits over sum of tries; sum of per-18
 values over the number of 9/18-hole rounds), exactly as recomputing the
 summary over the window's rounds would give.  The frames run over round-sized
-rows (never holes).  By default they are computed over range partitions of
-the rounds sorted by (player, date, id) — see ``_frame_sums_distributed`` —
-so no player, however many rounds, is sorted inside one task.
+rows (never holes).  Every round gets its place in its history; a history is
+cut into blocks of equal length by place, the last 2N-1 rounds of a block also
+go to the next one, and plain row frames run per block.  So no history, however
+long, is sorted inside one task, and nothing is run while the plan is built.
 """
 
 from __future__ import annotations
@@ -59,8 +60,19 @@ def _value(num: Column, den: Column, metric: str) -> Column:
     return py_round(v * 100 if metric in PERCENT_METRICS else v, 2)
 
 
-def _per_round(rounds: DataFrame, holes: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    comps = hole_components(holes, ["round_id"])
+#: Width of a round-id range in one calendar entry, and rounds in one block of a history.
+ID_RANGE = 1 << 20
+BLOCK_ROUNDS = 1 << 17
+
+
+def _numbered(rounds: DataFrame, by: list[str]) -> DataFrame:
+    """Rounds with ``_pos``, the 0-based place in their history (date, then id; missing ones last).
+
+    A calendar entry (history, day, id range) holds at most ``ID_RANGE`` distinct ids and is
+    numbered on its own.  The rounds before it come from a running sum over the calendar,
+    which holds one count an entry and never the rounds.
+    """
+    entry = [*by, "_d", "_range"]
     base = rounds.select(
         *by,
         "round_id",
@@ -69,131 +81,49 @@ def _per_round(rounds: DataFrame, holes: DataFrame, by: list[str]) -> tuple[Data
         "total_score",
         "total_par",
         round_date("played_on").alias("_d"),
-    ).join(comps, on="round_id", how="left")
+        F.floor(F.col("round_id") / F.lit(ID_RANGE)).cast("bigint").alias("_range"),
+    )
+    earlier = Window.partitionBy(*by).orderBy(F.col("_d").asc_nulls_last(), F.col("_range").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    calendar = (
+        base.groupBy(*entry)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*[F.col(c).alias(f"_k_{c}") for c in entry], F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(*entry).orderBy(*[F.col(c).asc_nulls_last() for c in ("round_id", "played_on", "course_name", "total_score", "total_par")])
+    placed = base.withColumn("_place", F.row_number().over(inside) - 1)
+    same = F.lit(True)
+    for c in entry:
+        same = same & placed[c].eqNullSafe(calendar[f"_k_{c}"])
+    return placed.join(calendar, same).select(*base.columns, (F.col("_before") + F.col("_place")).alias("_pos"))
+
+
+def _per_round(rounds: DataFrame, holes: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    base = _numbered(rounds, by).join(hole_components(holes, ["round_id"]), on="round_id", how="left")
     hc = F.col("hole_count")
     cols: list[Column] = []
     names: list[str] = []
     for metric, (num, den) in _parts(hc).items():
         cols += [F.coalesce(num, F.lit(0.0)).cast("double").alias(f"_n_{metric}"), F.coalesce(den, F.lit(0)).cast("double").alias(f"_d_{metric}")]
         names += [f"_n_{metric}", f"_d_{metric}"]
-    base = base.select(*by, "round_id", "played_on", "course_name", "_d", F.coalesce(hc, F.lit(0)).cast("bigint").alias("hole_count"), *cols)
+    base = base.select(*by, "round_id", "played_on", "course_name", "_pos", F.coalesce(hc, F.lit(0)).cast("bigint").alias("hole_count"), *cols)
     return base, names
 
 
-def _frame_sums_window(base: DataFrame, by: list[str], names: list[str], window: int) -> DataFrame:
-    order = [F.col("_d").asc_nulls_last(), F.col("round_id").asc_nulls_last()]
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+def _frame_sums(base: DataFrame, by: list[str], names: list[str], window: int, block_rounds: int) -> DataFrame:
+    """Both frames' sums, block by block: a block's rounds and the 2N-1 rounds before it."""
+    halo = 2 * window - 1
+    size = max(block_rounds, halo)
+    own = F.floor(F.col("_pos") / F.lit(size)).cast("bigint")
+    blocks = F.when(F.col("_pos") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = base.select("*", F.explode(blocks).alias("_block"))
+    w = Window.partitionBy(*by, "_block").orderBy("_pos")
     cur = w.rowsBetween(-(window - 1), 0)
-    prev = w.rowsBetween(-(2 * window - 1), -window)
-    out = [F.col(c) for c in base.columns]
-    out += [F.count("round_id").over(cur).cast("double").alias("_cnt_cur"), F.count("round_id").over(prev).cast("double").alias("_cnt_prev")]
+    prev = w.rowsBetween(-halo, -window)
+    out = [F.col(c) for c in dealt.columns]
+    out += [F.count("round_id").over(cur).alias("_cnt_cur"), F.count("round_id").over(prev).alias("_cnt_prev")]
     for c in names:
         out += [F.coalesce(F.sum(c).over(cur), F.lit(0.0)).alias(f"{c}_cur"), F.coalesce(F.sum(c).over(prev), F.lit(0.0)).alias(f"{c}_prev")]
-    return base.select(*out)
-
-
-def _frame_sums_distributed(base: DataFrame, by: list[str], names: list[str], window: int) -> DataFrame:
-    """Sliding-frame sums without putting a group in one task.
-
-    Rows are range-partitioned and sorted by (group, date, id), so a hot
-    group spans many partitions of similar size; the sorted data is
-    checkpointed (shared checkpoint folder) to fix partition boundaries.
-    Each partition then needs only the 2N-1 rows before it: the last 2N-1
-    rows of every partition are collected (partitions x 2N-1 rows, a bound
-    independent of the data size) and handed to a ``mapInPandas`` that
-    computes the frames with grouped cumulative sums.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from teebox.session import ensure_checkpoint_dir, ship_package
-
-    ship_package(base.sparkSession)
-    ensure_checkpoint_dir(base.sparkSession)
-    halo_n = 2 * window - 1
-    order = [*[F.col(c).asc_nulls_first() for c in by], F.col("_d").asc_nulls_last(), F.col("round_id").asc_nulls_last()]
-    ordered = base.withColumn("_has_id", F.col("round_id").isNotNull().cast("double")).orderBy(*order).checkpoint(eager=True)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id())
-    value_cols = ["_has_id", *names]
-    key_cols = list(by)
-    small_schema = ", ".join(["_pid int", "_seq long", *[f"`{c}` {dict(tagged.dtypes)[c]}" for c in key_cols], *[f"`{c}` double" for c in value_cols]])
-
-    def tails(batches):
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        tail = pdf.tail(halo_n).copy()
-        tail["_seq"] = np.arange(len(pdf) - len(tail), len(pdf), dtype="int64")
-        yield tail[["_pid", "_seq", *key_cols, *value_cols]]
-
-    halos = tagged.mapInPandas(tails, schema=small_schema).toPandas()
-    halos = halos.sort_values(["_pid", "_seq"], kind="stable")
-    base_cols = list(base.columns)
-    out_fields = [*base_cols, "_cnt_cur", "_cnt_prev", *[f"{c}_{k}" for c in names for k in ("cur", "prev")]]
-    out_schema = ", ".join(
-        [f"`{c}` {dict(tagged.dtypes)[c]}" for c in base_cols] + [f"`{c}` double" for c in out_fields[len(base_cols):]]
-    )
-
-    def frames(batches):
-        batch_list = [b for b in batches]
-        if not batch_list:
-            return
-        part = pd.concat(batch_list, ignore_index=True)
-        if part.empty:
-            return
-        pid = int(part["_pid"].iloc[0])
-        before = halos[halos["_pid"] < pid].tail(halo_n)
-        ctx = before[[*key_cols, *value_cols]]
-        full = pd.concat([ctx, part[[*key_cols, *value_cols]]], ignore_index=True)
-        n = len(full)
-        idx = np.arange(n)
-        if key_cols:
-            keys = full[key_cols].astype(object).where(full[key_cols].notna(), "\x00null")
-            change = np.ones(n, dtype=bool)
-            change[1:] = (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)
-        else:
-            change = np.zeros(n, dtype=bool)
-            change[0] = True
-        gstart = np.maximum.accumulate(np.where(change, idx, 0))
-
-        def frame_sum(values: np.ndarray):
-            csum = np.concatenate([[0.0], np.cumsum(values)])  # csum[k] = sum of values[:k]
-            lo_cur = np.maximum(idx - window + 1, gstart)
-            cur = csum[idx + 1] - csum[lo_cur]
-            hi_prev = idx - window  # inclusive
-            lo_prev = np.maximum(idx - 2 * window + 1, gstart)
-            has = hi_prev >= lo_prev
-            prev = np.where(has, csum[np.maximum(hi_prev, 0) + 1] - csum[lo_prev], 0.0)
-            return cur, prev
-
-        res = {}
-        cnt_cur, cnt_prev = frame_sum(full["_has_id"].to_numpy(dtype="float64"))
-        res["_cnt_cur"], res["_cnt_prev"] = cnt_cur, cnt_prev
-        for c in names:
-            cur, prev = frame_sum(full[c].to_numpy(dtype="float64"))
-            res[f"{c}_cur"], res[f"{c}_prev"] = cur, prev
-        k = len(ctx)
-        out = part[base_cols].copy()
-        for name, arr in res.items():
-            out[name] = arr[k:]
-        yield out
-
-    return tagged.mapInPandas(frames, schema=out_schema)
-
-
-# The largest group (rounds of one player) sorted inside one task.
-MAX_ROUNDS_PER_TASK = 2_000_000
-
-
-def largest_group(rounds: DataFrame, by: Sequence[str]) -> int:
-    """Rounds in the biggest ``by`` group: one partial/final aggregate over the rounds."""
-    by = list(by)
-    counts = rounds.groupBy(*by).count() if by else rounds.groupBy().count()
-    row = counts.agg(F.max("count").alias("m")).collect()[0]
-    return int(row["m"] or 0)
+    return dealt.select(*out).filter(F.col("_block") == own)
 
 
 def round_trends(
@@ -202,27 +132,18 @@ def round_trends(
     window: int = 5,
     by: Sequence[str] = (),
     *,
-    method: str = "auto",
-    max_rounds_per_task: int = MAX_ROUNDS_PER_TASK,
+    block_rounds: int = BLOCK_ROUNDS,
 ) -> DataFrame:
-    """One row per round with round, window and delta values of six metrics.
+    """One row per round with round, window and delta values of six metrics; unsorted.
 
-    ``method="window"`` is the plain window plan (one task sorts a whole
-    group); ``"distributed"`` computes the frames over range partitions, so
-    neither an empty ``by`` nor a player with a third of all rounds lands in
-    one task; ``"auto"`` checks the largest group first and takes the window
-    plan only when every group fits ``max_rounds_per_task``.
+    One plan at every size: ``block_rounds`` only says how many rounds of a
+    history one task sorts; it never changes a value.  A window of 0 or less gives no rows.
     """
     by = list(by)
     if window <= 0:
-        return round_trends(rounds, holes, 1, by, method="window").limit(0)
-    if method == "auto":
-        method = "window" if by and largest_group(rounds, by) <= max_rounds_per_task else "distributed"
+        return round_trends(rounds, holes, 1, by).limit(0)
     base, names = _per_round(rounds, holes, by)
-    if method == "window":
-        sums = _frame_sums_window(base, by, names, window)
-    else:
-        sums = _frame_sums_distributed(base, by, names, window)
+    sums = _frame_sums(base, by, names, window, block_rounds)
 
     out: list[Column] = [F.col(c) for c in by]
     out += [
@@ -245,12 +166,7 @@ def round_trends(
     has_prev = F.col("_cnt_prev") > 0
     for metric, _, _, dcol in TREND_METRICS:
         out.append(F.when(has_prev, py_round(window_vals[metric] - prev_vals[metric], 2)).alias(dcol))
-    result = sums.select(*out).filter(F.col("round_id").isNotNull())
-    return result.orderBy(
-        *[F.col(c).asc_nulls_last() for c in by],
-        F.col("played_on").desc_nulls_last(),
-        F.col("round_id").desc_nulls_last(),
-    )
+    return sums.select(*out).filter(F.col("round_id").isNotNull())
 
 
 def metric_trend_series(trends: DataFrame, metrics: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -35,7 +35,19 @@ def test_query_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_query_without_oracle_runs(spark, name):
     df = E.queries()[name](spark, SF)
-    assert df.count() >= 0
+    assert df.columns and df.count() > 0
+
+
+def test_reconciliation_loses_and_repeats_no_round(spark):
+    from teebox.operators.matching import match_pairs
+    from teebox.sources.fixtures import materialized_golf_tables, two_source_rounds
+
+    rounds = two_source_rounds(spark, SF, materialized_golf_tables(spark, SF)["rounds"])
+    pairs = match_pairs(rounds).collect()
+    cards, activities = {p.scorecard_round_id for p in pairs}, {p.activity_round_id for p in pairs}
+    assert pairs and len(cards) == len(activities) == len(pairs)
+    left = [r.round_id for r in E.queries()["canonical_rounds"](spark, SF).select("round_id").collect()]
+    assert sorted(left) == sorted({r.round_id for r in rounds.select("round_id").collect()} - activities)
 
 
 def test_entry(spark):
