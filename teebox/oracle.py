@@ -778,7 +778,7 @@ def upsert_sql() -> str:
          CASE WHEN round_id % 10 = 3 THEN 'activities' ELSE 'scorecard' END AS data_source, player_profile_id
   FROM g_rounds
   UNION ALL
-  SELECT round_id + 1000000, CAST(NULL AS BIGINT), round_id + 1000000, played_on, CAST(NULL AS VARCHAR),
+  SELECT -round_id, CAST(NULL AS BIGINT), -round_id, played_on, CAST(NULL AS VARCHAR),
          'Loc ' || course_name, FALSE, CAST(NULL AS VARCHAR), 'activities', player_profile_id
   FROM g_rounds WHERE round_id % 10 = 7
 )"""

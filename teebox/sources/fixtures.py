@@ -202,7 +202,7 @@ def two_source_rounds(spark: SparkSession, sf_dir: str, base: DataFrame | None =
     """Rounds recorded twice: scorecards plus activity rows to reconcile.
 
     round_id % 10 = 3: the round is known only as an activity.
-    round_id % 10 = 7: an activity twin (id + 1,000,000) one hour later,
+    round_id % 10 = 7: an activity twin (the id negated, so that ids never meet) one hour later,
     same player and date, with a location name.
     """
     base = golf_rounds(spark, sf_dir) if base is None else base
@@ -213,7 +213,7 @@ def two_source_rounds(spark: SparkSession, sf_dir: str, base: DataFrame | None =
     ).withColumn("data_source", F.when(lone, F.lit("activities")).otherwise(F.lit("scorecard")))
     twins = (
         base.filter(r % 10 == 7)
-        .withColumn("round_id", r + 1_000_000)
+        .withColumn("round_id", -r)
         .withColumn("scorecard_id", F.lit(None).cast("bigint"))
         .withColumn("activity_id", F.col("round_id"))
         .withColumn("location_name", F.concat(F.lit("Loc "), F.col("course_name")))
@@ -226,7 +226,7 @@ def two_source_rounds(spark: SparkSession, sf_dir: str, base: DataFrame | None =
                 F.concat(
                     F.col("played_on"),
                     F.lit("T"),
-                    F.lpad((7 + (r - 1_000_000) % 12).cast("string"), 2, "0"),
+                    F.lpad((7 + (-r) % 12).cast("string"), 2, "0"),
                     F.lit(":00:00"),
                 ),
             ),
