@@ -279,10 +279,8 @@ def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = F.get_json_object("doc", "$.summary.scorecardSummaries[0].startTime")
     drops = [docs.filter(started < F.lit(FIRST_DROP_BEFORE)), docs]
     for i, drop in enumerate(drops):
-        staging = f"{run}/staging/{i}"
-        drop.select("doc").write.text(staging)
-        ingest.publish_files(spark, staging, f"{run}/src")
-        q = ingest.start_ingest(spark, f"{run}/src", f"{run}/tables", f"{run}/checkpoint")
+        drop.select("doc").write.text(f"{run}/src/{i}")
+        q = ingest.start_ingest(spark, f"{run}/src/*", f"{run}/tables", f"{run}/checkpoint", force=True)
         q.awaitTermination()
     return read_table(spark, f"{run}/tables", "rounds").select(
         "round_id", "scorecard_id", "played_on", "start_time", "course_name", "total_score", "total_par",

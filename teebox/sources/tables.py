@@ -1,26 +1,34 @@
-"""Silver table storage: read by name, write a new version, never overwrite in place.
-
-A table is a directory ``<root>/<name>/`` holding versions ``v=<n>/`` and a
-``_CURRENT`` pointer file.  Writing goes to a new version and then moves the
-pointer, because a Spark read is lazy: overwriting the path a plan is still
-reading would lose data.  A missing table reads as an empty frame with the
-declared schema (never a column-less frame).
-
-Facts are hash-partitioned by ``round_id`` before the write so each file
-holds whole rounds; on a metastore-backed cluster the same call with
-``bucket_by`` writes a bucketed table, which removes the shuffle from every
-round-keyed join and aggregate downstream.
+"""Silver table storage: every write is a load of its own, and a table is read as its last rows.
+
+A load writes plain Parquet to ``<root>/<table>/load=<name>/`` and touches nothing else.  It
+becomes visible, in all tables at once, by its row in ``<root>/ingest_log/load=<name>/``, which is
+written last.  So a crash between steps leaves the tables as they were; running the load again
+overwrites its own folders only; and the cost of a load grows with the load.
+
+Reading keeps, of each key, the row of the latest load and, inside a load, of the latest document
+(``doc_id`` sorts by it).  ``replace_table`` is the overwrite: earlier loads of the table are no
+longer read (also the way to compact a table).  Annotations live in a table of their own and win
+over what a load brings.  A missing table reads as an empty frame with the declared schema.  One
+writer a root.
 """
 
 from __future__ import annotations
 
-import os
+import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from teebox.schemas import TABLES, conform, empty
+from teebox.schemas import KEYS, TABLES, conform, empty
 
-POINTER = "_CURRENT"
+S, L = T.StringType(), T.LongType()
+COUNTERS = ("documents", "scorecards", "skipped", "rounds", "holes", "shots", "quarantined")
+LOG = T.StructType([T.StructField(n, t) for n, t in (("loaded_at", L), ("replaces", S), *((c, L) for c in COUNTERS), ("load", S))])
+ANNOTATIONS = T.StructType(
+    [T.StructField(n, t) for n, t in (("round_id", L), ("exclude_from_stats", T.BooleanType()), ("comment", S), ("noted_at", L))]
+)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -29,64 +37,68 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, hpath, jvm = _fs(spark, path)
-    if not fs.exists(hpath):
-        return None
-    stream = fs.open(hpath)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
-    finally:
-        stream.close()
+def write_load(df: DataFrame, root: str, name: str, load: str) -> None:
+    """The rows of one load of a table; a repeated load overwrites its own folder."""
+    df.write.mode("overwrite").parquet(f"{root}/{name}/load={load}")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, hpath, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    fs.delete(hpath, False)
-    fs.rename(tmp, hpath)
+def commit_load(spark: SparkSession, root: str, load: str, counts: dict[str, int], replaces: str | None = None) -> None:
+    """The log row that makes a load visible."""
+    row = {f.name: counts.get(f.name) for f in LOG.fields if f.name != "load"} | {"loaded_at": time.time_ns(), "replaces": replaces}
+    schema = T.StructType([f for f in LOG.fields if f.name != "load"])
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{root}/ingest_log/load={load}")
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> str | None:
-    return _read_text(spark, f"{root}/{name}/{POINTER}")
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """One row a committed load: its time and counters."""
+    return spark.read.schema(LOG).parquet(f"{root}/ingest_log") if exists(spark, f"{root}/ingest_log") else empty(spark, LOG)
+
+
+def read_loads(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All rows of the committed loads of a table, with ``load``, ``loaded_at`` and ``doc_id``."""
+    schema = T.StructType([*TABLES[name].fields, T.StructField("doc_id", T.StringType()), T.StructField("load", T.StringType())])
+    log = read_log(spark, root)
+    since = F.max(F.when(F.col("replaces") == name, F.col("loaded_at"))).over(Window.partitionBy(F.lit(0)))
+    seen = log.withColumn("since", since).filter("since IS NULL OR loaded_at >= since").select("load", "loaded_at")
+    rows = spark.read.schema(schema).parquet(f"{root}/{name}") if exists(spark, f"{root}/{name}") else empty(spark, schema)
+    return rows.join(seen, "load")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = current_version(spark, root, name)
-    schema = TABLES.get(name)
-    if version is None:
-        if schema is None:
-            raise FileNotFoundError(f"table {name} has no version under {root}")
-        return empty(spark, schema)
-    df = spark.read.parquet(f"{root}/{name}/{version}")
-    return conform(df, schema) if schema is not None else df
-
-
-def write_table(
-    spark: SparkSession,
-    df: DataFrame,
-    root: str,
-    name: str,
-    *,
-    partitions: int | None = None,
-    cluster_by: str | None = "round_id",
-) -> str:
-    """Write ``df`` as the next version of ``name`` and make it current; returns the version."""
-    current = current_version(spark, root, name)
-    n = int(current.split("=")[1]) + 1 if current else 0
-    version = f"v={n}"
-    out = df
-    if cluster_by and cluster_by in df.columns:
-        out = out.repartition(partitions, cluster_by) if partitions else out.repartition(cluster_by)
-    out.write.mode("errorifexists").parquet(f"{root}/{name}/{version}")
-    _write_text(spark, f"{root}/{name}/{POINTER}", version)
-    return version
+    """One row a key: the last one loaded; rounds with their annotations."""
+    last = Window.partitionBy(*KEYS[name]).orderBy(F.col("loaded_at").desc(), F.col("doc_id").desc_nulls_last())
+    rows = read_loads(spark, root, name).withColumn("_nth", F.row_number().over(last)).filter("_nth = 1")
+    rows = conform(rows.drop("_nth", "load", "loaded_at", "doc_id"), TABLES[name])
+    return _annotated(spark, root, rows) if name == "rounds" else rows
+
+
+def replace_table(spark: SparkSession, df: DataFrame, root: str, name: str) -> str:
+    """Overwrite a table: ``df`` becomes its only visible load.  Returns the load's name."""
+    load = f"replace-{uuid.uuid4().hex}"
+    write_load(conform(df, TABLES[name], keep_extra=False).withColumn("doc_id", F.lit(None).cast("string")), root, name, load)
+    commit_load(spark, root, load, {}, replaces=name)
+    return load
+
+
+def save_annotations(annotations: DataFrame, root: str) -> None:
+    """Append (round_id, exclude_from_stats, comment): null keeps the value, an empty comment clears it."""
+    notes = conform(annotations.withColumn("noted_at", F.lit(time.time_ns())), ANNOTATIONS, keep_extra=False)
+    notes.write.mode("append").parquet(f"{root}/annotations")
+
+
+def _annotated(spark: SparkSession, root: str, rounds: DataFrame) -> DataFrame:
+    if not exists(spark, f"{root}/annotations"):
+        return rounds
+    notes = spark.read.schema(ANNOTATIONS).parquet(f"{root}/annotations")
+    at = F.col("noted_at")
+    latest = notes.groupBy("round_id").agg(
+        F.max_by("exclude_from_stats", F.when(F.col("exclude_from_stats").isNotNull(), at)).alias("_flag"),
+        F.max_by("comment", F.when(F.col("comment").isNotNull(), at)).alias("_comment"),
+    )
+    joined = rounds.join(latest, "round_id", "left")
+    joined = joined.withColumn("exclude_from_stats", F.coalesce("_flag", "exclude_from_stats"))
+    joined = joined.withColumn("comment", F.nullif(F.coalesce(F.col("_comment"), F.col("comment")), F.lit("")))
+    return joined.select(*rounds.columns)
 
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
@@ -111,8 +123,5 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def mark_done(spark: SparkSession, path: str) -> None:
-    _write_text(spark, f"{path}/_TEEBOX_DONE", "ok")
-
-
-def local_path(path: str) -> str:
-    return path if "://" in path else os.path.abspath(path)
+    fs, hpath, _ = _fs(spark, f"{path}/_TEEBOX_DONE")
+    fs.create(hpath, True).close()
