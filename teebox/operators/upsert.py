@@ -2,8 +2,8 @@
 
 Plan: ``existing UNION incoming`` tagged with a precedence (incoming after
 existing, then an optional in-batch order column), reduced per key with
-``max_by(row, precedence)`` in a hash aggregate: no sort, and a key holds a
-handful of versions.  Preserved columns (user annotations such as the
+``max_by(row, precedence)``, which Spark runs as a sort aggregate (the rows
+hold strings); a key holds a handful of versions.  Preserved columns (user annotations such as the
 exclusion flag and comment) are carried from the existing row when it has a
 non-null value, so a re-import never resets them; an existing ``false`` also
 beats an incoming ``true``.
