@@ -113,6 +113,8 @@ def match_pairs(rounds: DataFrame, tolerance_seconds: float = TOLERANCE_SECONDS)
     whole Arrow batches (one Python call per batch, not per group).
     """
     kinded = with_kind(rounds).filter(F.col("played_on").isNotNull() & F.col("round_id").isNotNull())
+    # a round with neither id stays in the list but is no candidate
+    kinded = kinded.filter(F.col("_is_activity") | F.col("scorecard_id").isNotNull())
     counts = kinded.groupBy(*KEY).agg(
         F.max(F.col("_is_activity").cast("int")).alias("_has_act"),
         F.max((~F.col("_is_activity")).cast("int")).alias("_has_card"),
