@@ -6,6 +6,10 @@ Byte pairs that never occur inside any vocabulary token mark certain cuts: no me
 cross them, so a pre-token is cut there, each fragment is merged on its own, and the
 fragments' ids are concatenated.  A bounded cache keeps the ids of recent pre-tokens.
 
+Words are split by the ``regex`` module.  Its Unicode tables and the library's differ in age, so a
+text with a character that Unicode 3.2 didn't have, or classed otherwise, is normalised and split
+by the library's own components; its words are then encoded like all others.
+
 Defined results: null text is empty (no ids, empty decoded text); special token strings
 inside a text become their special id, as the library does by default; texts of any
 length are encoded whole.  Ids are little-endian unsigned 32-bit integers in a binary column.
@@ -22,6 +26,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +53,8 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.steady = _Steady()
         vocab = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
@@ -138,7 +145,11 @@ class Bpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
+        if not text.isascii():
+            if not all(map(self.steady.__getitem__, set(text))):
+                text = self.library.normalizer.normalize_str(text)
+                return b"".join(self.cache[text[a:b]] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text))
+            text = unicodedata.normalize("NFC", text)
         low = text.replace("Σ", "σ").lower()  # characters one by one: no final-sigma rule
         return b"".join(map(self.cache.__getitem__, self.words(low)))
 
@@ -147,6 +158,14 @@ class Bpe:
         return " ".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+class _Steady(dict):
+    """Whether a character is of the same class in Unicode 3.2 and now."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = old = unicodedata.ucd_3_2_0.category(c) == unicodedata.category(c) != "Cn"
+        return old
+
+
 class _Cache(dict):
     """Ids of recent pre-tokens, in two generations of at most CACHE_WORDS each."""
 

@@ -168,7 +168,8 @@ def test_bpe_equals_the_library(docs, empty, rows):
     tok = Tokenizer.from_file(path)
     extra = "Don't <|endoftext|>ΣΑΣ 123 été\u0085!!###  " + "the" * 500
     b = bpe.Bpe(path)
-    for t in [extra, *(t or "" for _, t, *_ in rows)]:
+    odd = "Ab\u0378 1\u0378\U0001F600 \u1C90x \U0001E900Y \u10A0"  # classes that differ by Unicode version
+    for t in [extra, odd, *(t or "" for _, t, *_ in rows)]:
         ids = tok.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(b.encode(t), "<u4").tolist() == ids and b.decode(b.encode(t)) == tok.decode(ids, skip_special_tokens=False)
     assert bpe.encode_decode(docs, path).count() == len(rows) and bpe.encode_decode(empty, path).count() == 0
