@@ -64,9 +64,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, all columns unchanged."""
-    drop = verdicts(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]), "left_anti")
+    """The rows that stay, all columns unchanged; of rows that share an id but not the text, each stays or goes by itself."""
+    drop = verdicts(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]) & (F.sha2(content(docs[text_col]), 256) == drop["_drop_sha"]), "left_anti")
 
 
 ORACLE = r"""

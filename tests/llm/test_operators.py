@@ -65,6 +65,8 @@ def test_exact_dedup(docs, empty, rows):
 def test_exact_dedup_null_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "ab"), (3, "c"), (3, "c"), (-1, "c")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.verdicts(df).collect()), key=str)
+    other = spark.createDataFrame([(3, "c"), (3, "other"), (-1, "c")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.distinct_documents(other).collect())) == [(-1, "c"), (3, "other")]
     assert got == sorted([(None, None, 2, True), (None, None, 2, True), (3, -1, 3, False), (3, -1, 3, False), (-1, -1, 3, True)], key=str)
 
 
