@@ -100,7 +100,7 @@ class Model:
         """Code length of every text under every language."""
         keys_at, bits_at = self.table
         out = np.zeros((len(column), len(self.langs)))
-        for lo, hi, buf, offs in slices(_padded(column), 2 << 20):
+        for lo, hi, buf, offs in slices(_padded(column), 1 << 19):
             key = grams(buf, ORDER)
             slot = _slot(key)
             cost = bits_at[slot]

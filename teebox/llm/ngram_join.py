@@ -43,7 +43,9 @@ GROUPS = 256
 FANOUT = 16
 BLOOM_BITS = 25  # fixed-size filter of the ids whose whole sets are wanted
 FULL = 255  # a group count that stands for any larger one
-UNIT_PAIRS = 50_000  # pairs verified together
+UNIT_PAIRS = 1 << 14  # pairs verified together
+BLOCK = 1 << 12  # pairs of tree nodes looked at together
+FOUND = 1 << 16  # pairs that wait in a task to be sent
 _LEVEL_SHIFT = np.uint64(60)
 
 
@@ -62,11 +64,11 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     size = 1 << SKETCH_BITS
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for _, _, buf, offs in slices(batch.column(0)):
                 sets = list(shingle_sets(buf, offs, words))
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         parts = np.split(np.minimum(total, 255).astype(np.uint8), SKETCH_PARTS)
         yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
 
@@ -211,20 +213,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     """Edges (a, b) of ``pairs`` whose whole sets link, but for those that only close a circle.
 
     Pairs that hang together are verified together, so a set travels once per unit and not once
-    per pair; a family with more than UNIT_PAIRS pairs is split into several units.
+    per pair; a family with more than UNIT_PAIRS pairs is split by pair into units of about that
+    many, so one document's pairs are split too.
     """
     labels = components(pairs)
     family = pairs.join(labels.select(F.col("node").alias("a"), "label"), "a")
     size = family.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(UNIT_PAIRS)).alias("units"))
-    family = family.join(size, "label").select(F.xxhash64("label", F.pmod(F.xxhash64("a"), "units")).alias("unit"), "a", "b")
+    family = family.join(size, "label").select(F.xxhash64("label", F.pmod(F.xxhash64("a", "b"), "units")).alias("unit"), "a", "b")
     family = scratch.written(family, "units")
     sets = scratch.written(_sets(docs, pairs, words), "sets")
     wanted = family.select(F.col("unit").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id").select("at", "doc_id", "shingles")
 
     def run(key: tuple[pa.Scalar, ...], todo: pa.Table, known: pa.Table) -> pa.Table:
         have: dict[int, list[np.ndarray]] = {}
-        for doc, x in zip(known["doc_id"].to_pylist(), known["shingles"].to_pylist()):
-            have.setdefault(doc, []).append(np.frombuffer(x, np.uint64))
+        for part in known.to_batches():  # views, no copies
+            column = part.column(2).cast(pa.large_binary())
+            offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            for doc, lo, hi in zip(part.column(1).to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+                have.setdefault(doc, []).append(np.frombuffer(column.buffers()[2], np.uint64, (hi - lo) // 8, lo))
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -254,9 +260,13 @@ def _links_exactly(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _points(vectors) -> np.ndarray:
-    out = np.stack([np.frombuffer(v, np.uint8) for v in vectors]).astype(np.int32)
-    out[out == FULL] = 1 << 24
-    return out
+    return np.stack([np.frombuffer(v, np.uint8) for v in vectors])
+
+
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of points row by row; a FULL minimum counts as beyond any size."""
+    low = np.minimum(x, y)
+    return low.sum(axis=1, dtype=np.int64) + ((low == FULL).sum(axis=1, dtype=np.int64) << 24)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +278,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                bound = np.minimum(_points(part.column(4).to_pylist()), _points(part.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+                bound = _bound(_points(part.column(4).to_pylist()), _points(part.column(5).to_pylist()))
                 size = part.column(2).to_numpy() + part.column(3).to_numpy()
                 keep = pa.array((100 + percent) * bound >= percent * size)
                 yield pa.record_batch([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
@@ -284,7 +294,7 @@ class CountTree:
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         self.order = self._pack(vectors, sizes)
-        upper, least, most = vectors[self.order].astype(np.int32), sizes[self.order], sizes[self.order]
+        upper, least, most = vectors[self.order], sizes[self.order], sizes[self.order]
         self.levels = [(upper, least, most)]
         while len(upper) > 1:
             cut = np.arange(0, len(upper), FANOUT)
@@ -308,14 +318,14 @@ class CountTree:
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, i, j = todo.pop()
-            if len(i) > 1 << 15:
-                for part in range(0, len(i), 1 << 15):
-                    todo.append((level, i[part : part + (1 << 15)], j[part : part + (1 << 15)]))
+            if len(i) > BLOCK:
+                for part in range(0, len(i), BLOCK):
+                    todo.append((level, i[part : part + BLOCK], j[part : part + BLOCK]))
                 continue
             upper, least, most = self.levels[level]
             keep = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
             i, j = i[keep], j[keep]
-            bound = np.minimum(upper[i], upper[j]).sum(axis=1, dtype=np.int64)
+            bound = _bound(upper[i], upper[j])
             keep = (100 + percent) * bound >= percent * (least[i] + least[j])
             i, j = i[keep], j[keep]
             if level == 0:
@@ -361,15 +371,18 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         for g in range(2, FANOUT + 1):
             at = first[size == g]
             i, j = np.triu_indices(g, 1)
-            step = max(1, (1 << 15) // len(i))
+            step = max(1, BLOCK // len(i))
             for lo in range(0, len(at), step):
                 x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
                 keep = (label[x] != label[y]) & (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
                 x, y = x[keep], y[keep]
                 if len(x):
-                    bound = np.minimum(_points(vector[x]), _points(vector[y])).sum(axis=1, dtype=np.int64)
+                    bound = _bound(_points(vector[x]), _points(vector[y]))
                     keep = (100 + percent) * bound >= percent * (n[x] + n[y])
                     found.update(zip(doc[x[keep]].tolist(), doc[y[keep]].tolist()))
+                if len(found) >= FOUND:
+                    yield _pairs(found)
+                    found.clear()
         for lo, hi in zip(first[size > FANOUT], (first + size)[size > FANOUT]):
             tree = CountTree(_points(vector[lo:hi]), n[lo:hi])
             for i, j in tree.pairs(percent):
@@ -377,7 +390,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 other = label[i] != label[j]
                 a, b = np.minimum(doc[i], doc[j])[other], np.maximum(doc[i], doc[j])[other]
                 found.update(zip(a.tolist(), b.tolist()))
-                if len(found) >= 1 << 18:
+                if len(found) >= FOUND:
                     yield _pairs(found)
                     found.clear()
         if found:

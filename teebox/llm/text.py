@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 4 << 20  # text bytes handled at once; one longer document is handled whole
+SLICE_BYTES = 1 << 20  # text bytes handled at once; one longer document is handled whole
 LONG_WORD = 256  # bytes; longer words are hashed by xxhash
 
 IS_SPACE = np.zeros(256, dtype=bool)
