@@ -194,6 +194,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     """doc_id, n_tokens, ids (binary) and decoded (string) of every row."""
     scratch.ready(docs)
 
+    @scratch.tidy
     def run(batches):
         bpe = load(vocab_path)
         for batch in batches:

@@ -138,6 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     limits = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1.0, fit_docs / sizes[l]) * (1 << 30))])
     sample = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < limits[F.col("lang")])
 
+    @scratch.tidy
     def count(batches):
         for batch in batches:
             names = batch.column(1).to_pylist()
@@ -180,6 +181,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     schema = T.StructType([f for f in docs.schema.fields if f.name not in (lang_out, score_out)] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     keep = [f.name for f in schema.fields[:-2]]
 
+    @scratch.tidy
     def run(batches):
         m = shared.value
         for batch in batches:

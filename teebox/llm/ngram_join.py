@@ -63,6 +63,7 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     """
     size = 1 << SKETCH_BITS
 
+    @scratch.tidy
     def count(batches):
         total = np.zeros(size, np.uint32)
         for batch in batches:
@@ -72,6 +73,7 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
         parts = np.split(np.minimum(total, 255).astype(np.uint8), SKETCH_PARTS)
         yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
 
+    @scratch.tidy
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -96,6 +98,7 @@ def _fingerprints(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
     """doc_id, n, set digest, count vector and prefix keys of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    @scratch.tidy
     def run(batches):
         level = shared.value
         for batch in batches:
@@ -141,6 +144,7 @@ def _sorted_groups(batches) -> tuple[list[np.ndarray], np.ndarray] | None:
 def _shared_keys(keys: DataFrame) -> DataFrame:
     """(key, doc_id, pivot): rows of keys that two or more documents hold; pivot is the key's smallest id."""
 
+    @scratch.tidy
     def run(batches):
         got = _sorted_groups(batches)
         if got is None:
@@ -164,6 +168,7 @@ def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """Bloom filter (2^25 bits, two probes) of the ids, put together in Spark."""
 
+    @scratch.tidy
     def fill(batches):
         seen = np.zeros(1 << BLOOM_BITS, bool)
         for batch in batches:
@@ -172,6 +177,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
         parts = np.split(np.packbits(seen), SKETCH_PARTS)
         yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "bits"])
 
+    @scratch.tidy
     def union(batches):
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -195,6 +201,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
+    @scratch.tidy
     def run(batches):
         bits = shared.value
         for batch in batches:
@@ -274,6 +281,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     one = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
     two = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
 
+    @scratch.tidy
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
@@ -344,6 +352,7 @@ class CountTree:
 def _open_keys(hits: DataFrame) -> DataFrame:
     """Rows (key, doc_id, label) of keys whose documents lie in two or more components."""
 
+    @scratch.tidy
     def run(batches):
         got = _sorted_groups(batches)
         if got is None:
@@ -360,6 +369,7 @@ def _open_keys(hits: DataFrame) -> DataFrame:
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that some key's tree lets through."""
 
+    @scratch.tidy
     def run(batches):
         got = _sorted_groups(batches)
         if got is None:
