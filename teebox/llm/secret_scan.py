@@ -60,9 +60,11 @@ def transitions(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(28 * 28, np.int64)
         for batch in batches:
-            for _, _, buf, _ in slices(batch.column(0)):
+            for _, _, buf, offs in slices(batch.column(0)):
                 c = _CLASS[buf]
-                total += np.bincount(c[:-1] * 28 + c[1:], minlength=784)[:784]
+                inside = np.ones(max(0, len(c) - 1), bool)  # the step from one text to the next is none
+                inside[offs[(offs > 0) & (offs < len(c))] - 1] = False
+                total += np.bincount((c[:-1] * 28 + c[1:])[inside], minlength=784)[:784]
         yield pa.record_batch([pa.array(range(784), pa.int32()), pa.array(total)], names=["pair", "n"])
 
     rows = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
