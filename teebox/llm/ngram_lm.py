@@ -3,16 +3,16 @@
 Tokens are lower-cased (A-Z) words and one end token per text.  Training documents give
 token counts and bigram counts; both travel as packed parcels, pre-added per few million tokens.
 
-* Bigrams go into a log-frequency Bloom filter of a fixed size (``FILTER_BITS``): a bigram seen
-  c times is entered with levels 1 to 1 + floor(log2 c).  The filter is cut into one segment per
-  bucket of the hash, built where the bucket's counts meet, and broadcast to the workers.  A
-  segment that would be more than half full leaves out its rarest bigrams (the same rule at every
-  size: a fixed-size model prunes by count).
-* A bigram's count is read back by probing level after level until one is missing, and is
+* Bigrams go into a log-frequency Bloom filter of ``ENTRY_BITS`` per entry: a bigram seen
+  c times is entered with levels 1 to 1 + floor(log2 c), and none is left out.  The filter is cut
+  into one segment per bucket of the hash, built where the bucket's counts meet and kept in a table.
+* A bigram's count is read back by probing level after level until one is missing (a level that
+  was not entered is taken for entered about 16 times in 10,000), and is
   bounded by the counts of both its tokens.  The probability backs off smoothly:
   ``(c(v w) + MU * p(w)) / (c(v) + MU)`` with ``p(w) = (c(w) + 1) / (N + V + 1)``.
-* Token counts are exact at any size: blocks of documents ask the buckets for the counts of
-  their distinct tokens (see ``blocks``), nothing of the vocabulary is broadcast.
+* Token counts are exact at any size.  Blocks of documents ask the buckets for the counts of
+  their distinct tokens and bigrams (see ``blocks``); neither the vocabulary nor the filter is
+  broadcast, and there are more buckets the more text there is (``BUCKET_BYTES``), so what a task holds is bounded.
 
 Defined results: null and empty texts have one token (the end); a null id is a training row;
 no training rows: N = 0 and every probability is 1; rows that repeat an id are scored each.
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from teebox.llm import blocks, scratch
 from teebox.llm.text import LOWER, mix64, slices, word_bounds, word_hashes
 
-FILTER_BITS = 1 << 28  # 32 MiB, whatever the corpus
+ENTRY_BITS = 24  # filter bits per bigram and level
 PROBES = 3
+BUCKET_BYTES = 1 << 24  # text per bucket
 MU = 400.0
 CHUNK = 2_000_000  # tokens added up before parcels leave a task
 END = np.uint64(0xA0761D6478BD642F)
@@ -111,13 +112,13 @@ def _positions(low40: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     return [(a + np.uint64(i) * b) % np.uint64(bits) for i in range(PROBES)]
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log2(counts)).astype(np.int64)
+
+
 def segment(low40: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """Filter segment of a bucket's bigrams; the rarest are left out if it would pass half full."""
-    levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
-    least = 1
-    while levels[counts >= least].sum() * PROBES > 0.693 * bits:
-        least += 1
-    low40, levels = low40[counts >= least], levels[counts >= least]
+    """Filter segment of a bucket's bigrams."""
+    levels = _levels(counts)
     out = np.zeros(bits, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for at in _positions(low40[levels >= level], level, bits):
@@ -148,11 +149,13 @@ class Filter:
         return out
 
 
-def fit(texts: DataFrame) -> tuple[DataFrame, Filter, int, int]:
-    """Token counts by bucket (a written table), the bigram filter, N and V."""
-    spark = texts.sparkSession
-    buckets = scratch.partitions(spark)
-    bits = max(8, FILTER_BITS // buckets // 8 * 8)
+def bucket_count(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(scratch.partitions(texts.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def fit(texts: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
+    """Token counts (kind 1) and filter segments (kind 2) by bucket, a written table; N and V."""
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
@@ -162,39 +165,50 @@ def fit(texts: DataFrame) -> tuple[DataFrame, Filter, int, int]:
             row = (1, bucket, names.tobytes(), c.astype("<i8").tobytes(), int(c.sum()), len(names))
         else:
             low = [a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) for a, b in zip(blocks.unpacked(table["hashes"], "<u4"), blocks.unpacked(table["high"], "u1"))]
-            row = (2, bucket, segment(*_added(low, counts), bits).tobytes(), b"", 0, 0)
+            names, c = _added(low, counts)
+            bits = -(-int(_levels(c).sum()) * ENTRY_BITS // 8) * 8
+            row = (2, bucket, segment(names, c, bits).tobytes(), b"", 0, 0)
         return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["kind", "bucket", "data", "counts", "n", "v"])
 
     merged = scratch.written(_count(texts, buckets).groupBy("kind", "bucket").applyInArrow(merge, "kind long, bucket long, data binary, counts binary, n long, v long"), "counts")
     n, v = merged.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    rows = np.zeros((buckets, bits // 8), np.uint8)
-    for r in merged.filter("kind = 2").select("bucket", "data").toLocalIterator():
-        rows[r["bucket"]] = np.frombuffer(r["data"], np.uint8)
-    return merged.filter("kind = 1").select("bucket", "data", "counts"), Filter(rows), n, v
+    return merged.select("kind", "bucket", "data", "counts"), n, v
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = scratch.ready(docs)
+    scratch.ready(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table_, filter_, n_train, v_train = fit(docs.filter(~held_out(F.col("doc_id"))).select("text"))
-    shared = spark.sparkContext.broadcast(filter_)
-    buckets = scratch.partitions(spark)
+    buckets = bucket_count(docs)
+    table_, n_train, v_train = fit(docs.filter(~held_out(F.col("doc_id"))).select("text"), buckets)
     dealt = blocks.blocked(docs.withColumn("held_out", held_out(F.col("doc_id"))))
-    ask = pa.schema([("bucket", pa.int64()), ("blk", pa.int64()), ("hashes", pa.binary())])
-    reply = pa.schema([("blk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    ask = pa.schema([("kind", pa.int64()), ("bucket", pa.int64()), ("blk", pa.int64()), ("hashes", pa.binary()), ("high", pa.binary())])
+    reply = pa.schema([("blk", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
 
     def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return blocks.as_table(blocks.parcels(key[0].as_py(), buckets, np.unique(tokens(table["text"])[0])), ask)
+        blk, tok = key[0].as_py(), tokens(table["text"])[0]
+        rows = [(1, b, blk, h, b"") for b, _, h in blocks.parcels(blk, buckets, np.unique(tok))]
+        for b, _, h in blocks.parcels(blk, buckets, np.unique(bigrams(tok))):
+            h = np.frombuffer(h, "<u8")
+            rows.append((2, b, blk, h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("u1").tobytes()))
+        return blocks.as_table(rows, ask)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
+        kind, bucket = key[0].as_py(), key[1].as_py()
         if not asked.num_rows or not known.num_rows:
             return blocks.as_table([], reply)
+        if kind == 2:  # a level for every bigram asked for, in the order asked
+            part = Filter(np.frombuffer(known["data"][0].as_buffer(), np.uint8)[None, :])
+            rows = []
+            for blk, low, high in zip(asked["blk"].to_pylist(), blocks.unpacked(asked["hashes"], "<u4"), blocks.unpacked(asked["high"], "u1")):
+                c = part.counts(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+                rows.append((blk, bucket, b"", b"", np.where(c > 0, _levels(np.maximum(c, 1)), 0).astype("u1").tobytes()))
+            return blocks.as_table(rows, reply)
         names, counts = blocks.unpacked(known["data"])[0], blocks.unpacked(known["counts"], "<i8")[0]
         rows = []
         for blk, h in zip(asked["blk"].to_pylist(), blocks.unpacked(asked["hashes"])):
             hit = blocks.among(h, names)
-            rows.append((blk, h[hit].tobytes(), counts[np.searchsorted(names, h[hit])].tobytes()))
+            rows.append((blk, bucket, h[hit].tobytes(), counts[np.searchsorted(names, h[hit])].tobytes(), b""))
         return blocks.as_table(rows, reply)
 
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
@@ -212,9 +226,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
             c, end = np.zeros(len(tok), np.int64), 0
         before = np.concatenate([[end], c[:-1]])
         p = (c + 1) / (n_train + v_train + 1)
-        pair = np.zeros(len(tok), np.int64)
-        ask_for = np.flatnonzero((c > 0) & (before > 0))
-        pair[ask_for] = np.minimum(shared.value.counts(bigrams(tok)[ask_for]), np.minimum(c, before)[ask_for])
+        asked, inverse = np.unique(bigrams(tok), return_inverse=True)
+        level = np.zeros(len(asked), np.int64)
+        which = blocks.bucket_of(asked, buckets)
+        for bucket, found in zip(known["bucket"].to_pylist(), blocks.unpacked(known["levels"], "u1")):
+            if len(found):
+                lo = np.searchsorted(which, bucket)
+                level[lo : lo + len(found)] = found
+        pair = np.minimum(np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)[inverse], np.minimum(c, before))
         model = (pair + mu * p) / (before + mu)
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]  # noqa: E731  every text has a token
         return pa.table(
@@ -230,6 +249,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    asked = dealt.groupBy("blk").applyInArrow(distinct, "bucket long, blk long, hashes binary")
-    answers = asked.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInArrow(answer, "blk long, hashes binary, counts binary")
+    asked = dealt.groupBy("blk").applyInArrow(distinct, "kind long, bucket long, blk long, hashes binary, high binary")
+    answers = asked.groupBy("kind", "bucket").cogroup(table_.groupBy("kind", "bucket")).applyInArrow(answer, "blk long, bucket long, hashes binary, counts binary, levels binary")
     return dealt.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -140,6 +140,24 @@ def test_lm_base_score_and_model(docs, empty, rows):
     assert ngram_lm.score(empty).count() == 0
 
 
+def test_lm_score_keeps_rare_bigrams(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "FILTER_BITS", 1 << 12, raising=False)  # no fixed size may prune the model
+    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 1 << 10, raising=False)
+    toks = {i: [*WORD.findall(low(t or "")), None] for i, t, *_ in rows}
+    train = {i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2}
+    c = collections.Counter(w for i in train for w in toks[i])
+    pairs = collections.Counter(p for i in train for p in zip([None, *toks[i]], toks[i]))
+    n, v, off = sum(c.values()), len(c), 0
+    for r in ngram_lm.score(docs).collect():
+        want = 0.0
+        for a, b in zip([None, *toks[r.doc_id]], toks[r.doc_id]):
+            seen = 1 << pairs[a, b].bit_length() - 1 if pairs[a, b] else 0
+            want += math.log10((seen + ngram_lm.MU * (c[b] + 1) / (n + v + 1)) / (c[a] + ngram_lm.MU))
+        off += not math.isclose(r.score, want, rel_tol=1e-9)
+        assert r.score >= want - 1e-9 * abs(want)  # errors of the filter are one-sided
+    assert off <= 0.1 * len(rows)
+
+
 def test_log_frequency_filter():
     h = np.random.default_rng(3).integers(0, 1 << 63, 2000, dtype=np.uint64)
     counts = np.arange(1, 2001)
