@@ -182,57 +182,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     buckets = bucket_count(docs)
     table_, n_train, v_train = fit(docs.filter(~held_out(F.col("doc_id"))).select("text"), buckets)
     dealt = blocks.blocked(docs.withColumn("held_out", held_out(F.col("doc_id"))))
-    ask = pa.schema([("kind", pa.int64()), ("bucket", pa.int64()), ("blk", pa.int64()), ("hashes", pa.binary()), ("high", pa.binary())])
-    reply = pa.schema([("blk", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
+    ask = pa.schema([("bucket", pa.int64()), ("blk", pa.int64()), ("hashes", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    reply = pa.schema([("blk", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("levels", pa.binary())])
 
     def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         blk, tok = key[0].as_py(), tokens(table["text"])[0]
-        rows = [(1, b, blk, h, b"") for b, _, h in blocks.parcels(blk, buckets, np.unique(tok))]
+        rows = {b: (b, blk, h, b"", b"") for b, _, h in blocks.parcels(blk, buckets, np.unique(tok))}
         for b, _, h in blocks.parcels(blk, buckets, np.unique(bigrams(tok))):
             h = np.frombuffer(h, "<u8")
-            rows.append((2, b, blk, h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("u1").tobytes()))
-        return blocks.as_table(rows, ask)
+            rows[b] = (*rows.get(b, (b, blk, b""))[:3], h.astype("<u4").tobytes(), (h >> np.uint64(32)).astype("u1").tobytes())
+        return blocks.as_table(list(rows.values()), ask)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
-        kind, bucket = key[0].as_py(), key[1].as_py()
+        """Counts of the tokens and levels of the bigrams, in the order asked."""
         if not asked.num_rows or not known.num_rows:
             return blocks.as_table([], reply)
-        if kind == 2:  # a level for every bigram asked for, in the order asked
-            part = Filter(np.frombuffer(known["data"][0].as_buffer(), np.uint8)[None, :])
-            rows = []
-            for blk, low, high in zip(asked["blk"].to_pylist(), blocks.unpacked(asked["hashes"], "<u4"), blocks.unpacked(asked["high"], "u1")):
-                c = part.counts(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-                rows.append((blk, bucket, b"", b"", np.where(c > 0, _levels(np.maximum(c, 1)), 0).astype("u1").tobytes()))
-            return blocks.as_table(rows, reply)
-        names, counts = blocks.unpacked(known["data"])[0], blocks.unpacked(known["counts"], "<i8")[0]
+        names, counts, part = np.zeros(1, np.uint64), np.zeros(1, np.int64), None
+        for kind, data, n in zip(known["kind"].to_pylist(), blocks.unpacked(known["data"], "u1"), blocks.unpacked(known["counts"], "<i8")):
+            if kind == 1:
+                names, counts = data.view("<u8"), n
+            else:
+                part = Filter(data[None, :])
         rows = []
-        for blk, h in zip(asked["blk"].to_pylist(), blocks.unpacked(asked["hashes"])):
-            hit = blocks.among(h, names)
-            rows.append((blk, bucket, h[hit].tobytes(), counts[np.searchsorted(names, h[hit])].tobytes(), b""))
+        for blk, h, low, high in zip(asked["blk"].to_pylist(), blocks.unpacked(asked["hashes"]), blocks.unpacked(asked["low"], "<u4"), blocks.unpacked(asked["high"], "u1")):
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            n = np.where(names[at] == h, counts[at], 0)
+            seen = part.counts(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)) if part else np.zeros(len(low), np.int64)
+            levels = np.where(seen > 0, _levels(np.maximum(seen, 1)), 0)
+            rows.append((blk, key[0].as_py(), n.astype("<i8").tobytes(), levels.astype("u1").tobytes()))
         return blocks.as_table(rows, reply)
 
+    def told(hashes: np.ndarray, known: pa.Table, column: str, dtype: str) -> np.ndarray:
+        """What the buckets answered for each of the block's sorted distinct hashes; 0 without an answer."""
+        out, which = np.zeros(len(hashes), np.int64), blocks.bucket_of(hashes, buckets)
+        for bucket, found in zip(known["bucket"].to_pylist(), blocks.unpacked(known[column], dtype)):
+            lo = np.searchsorted(which, bucket)
+            out[lo : lo + len(found)] = found
+        return out
+
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
         tok, first = tokens(table["text"])
-        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if known.num_rows:
-            names, counts = np.concatenate(blocks.unpacked(known["hashes"])), np.concatenate(blocks.unpacked(known["counts"], "<i8"))
-            order = np.argsort(names)
-            names, counts = names[order], counts[order]
-        if len(names):
-            at = np.minimum(np.searchsorted(names, tok), len(names) - 1)
-            c = np.where(names[at] == tok, counts[at], 0)
-            end = counts[np.minimum(np.searchsorted(names, END), len(names) - 1)]
-        else:
-            c, end = np.zeros(len(tok), np.int64), 0
+        names, inverse = np.unique(tok, return_inverse=True)
+        counts = told(names, known, "counts", "<i8")
+        c, end = counts[inverse], counts[names == END].sum()
         before = np.concatenate([[end], c[:-1]])
         p = (c + 1) / (n_train + v_train + 1)
         asked, inverse = np.unique(bigrams(tok), return_inverse=True)
-        level = np.zeros(len(asked), np.int64)
-        which = blocks.bucket_of(asked, buckets)
-        for bucket, found in zip(known["bucket"].to_pylist(), blocks.unpacked(known["levels"], "u1")):
-            if len(found):
-                lo = np.searchsorted(which, bucket)
-                level[lo : lo + len(found)] = found
+        level = told(asked, known, "levels", "u1")
         pair = np.minimum(np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)[inverse], np.minimum(c, before))
         model = (pair + mu * p) / (before + mu)
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]  # noqa: E731  every text has a token
@@ -249,6 +245,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    asked = dealt.groupBy("blk").applyInArrow(distinct, "kind long, bucket long, blk long, hashes binary, high binary")
-    answers = asked.groupBy("kind", "bucket").cogroup(table_.groupBy("kind", "bucket")).applyInArrow(answer, "blk long, bucket long, hashes binary, counts binary, levels binary")
+    asked = dealt.groupBy("blk").applyInArrow(distinct, "bucket long, blk long, hashes binary, low binary, high binary")
+    answers = asked.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInArrow(answer, "blk long, bucket long, counts binary, levels binary")
     return dealt.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
