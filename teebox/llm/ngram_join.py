@@ -15,7 +15,9 @@ whole sequence; no words: empty and linked with nothing).  Two documents link wh
    groups, a set's group counts are a point, and the overlap of two subtrees (or points) is
    at most the sum of the coordinate-wise minima of their upper corners.  Subtrees whose
    bound misses ``3/7 (|A| + |B|)`` are cut; surviving pairs of different components are
-   verified on their whole sets and joined.  Pairs inside a component are never emitted.
+   verified on their whole sets and joined.  Subtrees of one component are cut too, so pairs inside
+   a component are never listed.  The rows of a hot key are split into blocks of bounded size, and
+   the tasks take pairs of blocks.
 
 Defined results: null and empty texts have no set and are their own component; a row
 without an id is a component only with rows of the same set and is never verified against
@@ -45,6 +47,8 @@ BLOOM_BITS = 25  # fixed-size filter of the ids whose whole sets are wanted
 FULL = 255  # a group count that stands for any larger one
 UNIT_PAIRS = 1 << 14  # pairs verified together
 BLOCK = 1 << 12  # pairs of tree nodes looked at together
+GROUP_ROWS = 1 << 12  # rows of a key that are searched in one group
+TASK_ROWS = 1 << 17  # rows a search task holds, on average at most
 FOUND = 1 << 16  # pairs that wait in a task to be sent
 _LEVEL_SHIFT = np.uint64(60)
 
@@ -143,21 +147,8 @@ def _sorted_groups(batches) -> tuple[list[np.ndarray], np.ndarray] | None:
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
     """(key, doc_id, pivot): rows of keys that two or more documents hold; pivot is the key's smallest id."""
-
-    @scratch.tidy
-    def run(batches):
-        got = _sorted_groups(batches)
-        if got is None:
-            return
-        (key, doc), first = got
-        size = np.diff(np.append(first, len(key)))
-        keep = np.repeat(size > 1, size)
-        pivot = np.repeat(doc[first], size)
-        for lo in range(0, int(keep.sum()), 1 << 16):
-            cut = slice(lo, lo + (1 << 16))
-            yield pa.record_batch([pa.array(x[keep][cut]) for x in (key, doc, pivot)], names=["key", "doc_id", "pivot"])
-
-    return keys.repartition(scratch.partitions(keys.sparkSession), "key").mapInArrow(run, "key long, doc_id long, pivot long")
+    held = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
+    return keys.join(held.select("key", "pivot"), "key").select("key", "doc_id", "pivot")
 
 
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,16 +289,24 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 class CountTree:
-    """Packed R-tree over count vectors; a node keeps its upper corner and its smallest size."""
+    """Packed R-tree over count vectors; a node keeps its upper corner and its smallest and largest size.
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    ``marks`` are further columns of the points (component, side), of which a node keeps the range:
+    points that are alike in one of them are no pair.
+    """
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, *marks: np.ndarray):
         self.order = self._pack(vectors, sizes)
         upper, least, most = vectors[self.order], sizes[self.order], sizes[self.order]
         self.levels = [(upper, least, most)]
+        spans = [(m[self.order], m[self.order]) for m in marks]
+        self.spans = [spans]
         while len(upper) > 1:
             cut = np.arange(0, len(upper), FANOUT)
             upper, least, most = np.maximum.reduceat(upper, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
             self.levels.append((upper, least, most))
+            spans = [(np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)) for low, high in spans]
+            self.spans.append(spans)
 
     @staticmethod
     def _pack(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -332,6 +331,8 @@ class CountTree:
                 continue
             upper, least, most = self.levels[level]
             keep = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
+            for low, high in self.spans[level]:
+                keep &= (low[i] != high[i]) | (low[j] != high[j]) | (low[i] != low[j])
             i, j = i[keep], j[keep]
             bound = _bound(upper[i], upper[j])
             keep = (100 + percent) * bound >= percent * (least[i] + least[j])
@@ -351,31 +352,60 @@ class CountTree:
 
 def _open_keys(hits: DataFrame) -> DataFrame:
     """Rows (key, doc_id, label) of keys whose documents lie in two or more components."""
+    mixed = hits.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return hits.join(mixed.select("key"), "key", "left_semi").select("key", "doc_id", "label")
 
-    @scratch.tidy
-    def run(batches):
-        got = _sorted_groups(batches)
-        if got is None:
-            return
-        (key, doc, label), first = got
-        size = np.diff(np.append(first, len(key)))
-        keep = np.repeat(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first), size)
-        if keep.any():
-            yield pa.record_batch([pa.array(x[keep]) for x in (key, doc, label)], names=["key", "doc_id", "label"])
 
-    return hits.repartition(scratch.partitions(hits.sparkSession), "key").mapInArrow(run, "key long, doc_id long, label long")
+def _grouped(rows: DataFrame) -> DataFrame:
+    """(grp, side, doc_id, label): the rows of every key in groups whose pairs of unlike side are to be looked at.
+
+    A key of at most GROUP_ROWS rows is a group in which every row is a side.  The rows of a larger key
+    fall into blocks of about GROUP_ROWS rows: a component above that size into blocks of its own, the
+    others into mixed ones.  Groups are then the mixed blocks, and two blocks, each a side, unless
+    both belong to one component.
+    """
+    own = F.col("c") > GROUP_ROWS
+    plan = (
+        rows.groupBy("key", "label")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("key")
+        .agg(F.sum("c").alias("size"), F.sum(F.when(own, 0).otherwise(F.col("c"))).alias("rest"), F.collect_list(F.when(own, F.struct("label", "c"))).alias("own"))
+        .filter(F.col("size") > GROUP_ROWS)
+        .withColumn("rest", F.ceil(F.col("rest") / F.lit(GROUP_ROWS)))
+        .withColumn("own", F.expr(f"transform(own, o -> struct(o.label AS label, ceil(o.c / {GROUP_ROWS}) AS n))"))
+        .withColumn("own", F.expr("map_from_entries(own)"))
+        .withColumn(
+            "blocks",
+            F.expr(
+                "concat(flatten(transform(map_entries(own), o -> transform(sequence(1L, o.value), k -> struct(o.key AS label, k AS k)))),"
+                " if(rest > 0, transform(sequence(1L, rest), k -> struct(CAST(NULL AS long) AS label, k AS k)), array()))"
+            ),
+        )
+    )
+    return (
+        rows.join(plan, "key", "left")
+        .withColumn("n_own", F.expr("own[label]"))
+        .withColumn("mine", F.expr("struct(if(n_own IS NULL, NULL, label) AS label, 1 + pmod(xxhash64(doc_id, key), coalesce(n_own, rest)) AS k)"))
+        .withColumn("other", F.explode(F.expr("if(size IS NULL, array(NULL), filter(blocks, b -> b.label IS NULL OR mine.label IS NULL OR b.label <> mine.label))")))
+        .select(
+            F.expr("if(size IS NULL, key, xxhash64(key, least(mine, other), greatest(mine, other)))").alias("grp"),
+            F.expr("if(size IS NULL OR mine <=> other, doc_id, xxhash64(mine))").alias("side"),
+            "doc_id",
+            "label",
+        )
+    )
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that some key's tree lets through."""
+def _tree_pairs(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that some group's tree lets through."""
 
     @scratch.tidy
     def run(batches):
         got = _sorted_groups(batches)
         if got is None:
             return
-        (key, doc, label, n, vector), first = got
-        size = np.diff(np.append(first, len(key)))
+        (group, doc, side, label, n, vector), first = got
+        size = np.diff(np.append(first, len(group)))
         found: set[tuple[int, int]] = set()
         # a group that fits one leaf is a tree of one node: all such groups' pairs at once
         for g in range(2, FANOUT + 1):
@@ -384,7 +414,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
             step = max(1, BLOCK // len(i))
             for lo in range(0, len(at), step):
                 x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
-                keep = (label[x] != label[y]) & (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
+                keep = (label[x] != label[y]) & (side[x] != side[y]) & (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
                 x, y = x[keep], y[keep]
                 if len(x):
                     bound = _bound(_points(vector[x]), _points(vector[y]))
@@ -394,11 +424,9 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     yield _pairs(found)
                     found.clear()
         for lo, hi in zip(first[size > FANOUT], (first + size)[size > FANOUT]):
-            tree = CountTree(_points(vector[lo:hi]), n[lo:hi])
+            tree = CountTree(_points(vector[lo:hi]), n[lo:hi], label[lo:hi], side[lo:hi])
             for i, j in tree.pairs(percent):
-                i, j = i + lo, j + lo
-                other = label[i] != label[j]
-                a, b = np.minimum(doc[i], doc[j])[other], np.maximum(doc[i], doc[j])[other]
+                a, b = np.minimum(doc[i + lo], doc[j + lo]), np.maximum(doc[i + lo], doc[j + lo])
                 found.update(zip(a.tolist(), b.tolist()))
                 if len(found) >= FOUND:
                     yield _pairs(found)
@@ -406,7 +434,10 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    return rows.repartition(scratch.partitions(rows.sparkSession), "key").mapInArrow(run, "a long, b long").distinct()
+    rows = scratch.written(_grouped(rows), "groups")
+    parts = max(scratch.partitions(rows.sparkSession), -(-rows.count() // TASK_ROWS))
+    dealt = rows.join(points, "doc_id").select("grp", "doc_id", "side", "label", "n", "vector").repartition(parts, "grp")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -454,8 +485,8 @@ def _links(docs: DataFrame, hits: DataFrame, points: DataFrame, words: int, perc
     first = _verified(docs, scratch.written(_bounded(star, points, percent), "pairs"), words, percent)
     labels = components(first)
     marked = hits.join(labels, hits["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    rows = _open_keys(marked).join(points, "doc_id").select("key", "doc_id", "label", "n", "vector")
-    second = _verified(docs, scratch.written(_tree_pairs(rows, percent), "pairs"), words, percent)
+    rows = scratch.written(_open_keys(marked), "open")
+    second = _verified(docs, scratch.written(_tree_pairs(rows, points, percent), "pairs"), words, percent)
     return first.unionByName(second)
 
 

@@ -101,6 +101,29 @@ def test_count_tree_loses_no_pair():
     assert got == want
 
 
+def test_hot_key_is_split_and_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 20, raising=False)
+    rng = np.random.default_rng(4)
+    label = [1] * 130 + [2] * 45 + list(range(1000, 1030)) + [1, 2, 3]
+    key = [7] * 205 + [8] * 3
+    n = rng.integers(40, 60, len(label)).tolist()
+    v = [np.bincount(rng.integers(0, 12, x), minlength=ngram_join.GROUPS).astype(np.uint8) for x in n]
+    rows = spark.createDataFrame([(k, i, x) for i, (k, x) in enumerate(zip(key, label))], "key long, doc_id long, label long")
+    points = spark.createDataFrame([(i, x, y.tobytes()) for i, (x, y) in enumerate(zip(n, v))], "doc_id long, n long, vector binary")
+    groups = ngram_join._grouped(rows).collect()
+    assert max(collections.Counter(r.grp for r in groups).values()) < 4 * 20
+    got = {(r.a, r.b) for r in ngram_join._tree_pairs(rows, points, 75).collect()}
+    want = {
+        (i, j)
+        for i in range(len(n))
+        for j in range(i + 1, len(n))
+        if key[i] == key[j] and label[i] != label[j] and 175 * np.minimum(v[i], v[j]).sum() >= 75 * (n[i] + n[j]) and 100 * n[i] >= 75 * n[j] and 100 * n[j] >= 75 * n[i]
+    }
+    assert got == want and want
+    one = ngram_join.CountTree(np.stack(v[:130]), np.array(n[:130]), np.ones(130, np.int64))
+    assert not list(one.pairs())  # one component: nothing is listed
+
+
 def test_substring_dedup(docs, empty, rows):
     words = {i: WORD.findall(t or "") for i, t, *_ in rows}
     seen = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
