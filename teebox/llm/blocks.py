@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teebox.llm import scratch
@@ -19,6 +19,11 @@ from teebox.llm import scratch
 ROWS = 2000  # documents per block, on average
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A row's id and the SHA-256 of its text; rows without an id or with a repeated one are told apart by their text."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def blocked(docs: DataFrame) -> DataFrame:
     """``docs`` with a block number ``blk``, dealt out by it."""
     parts = scratch.partitions(docs.sparkSession)

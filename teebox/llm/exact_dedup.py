@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from teebox.llm import scratch
+
 SPACES = " \t\n\x0b\x0c\r"
 _ID_SPAN = "100000000000000000000"  # 10^20, above any 64-bit id
 _MAX_ID = "9223372036854775807"
@@ -64,9 +66,19 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, all columns unchanged; of rows that share an id but not the text, each stays or goes by itself."""
+    """The rows that stay, all columns unchanged; of rows that share an id but not the text, each stays or goes by itself.
+
+    An id names one document, so rows equal in id and text stay or go together; of equal rows without
+    an id one stays.
+    """
+    sha = F.sha2(content(F.col(text_col)), 256)
     drop = verdicts(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]) & (F.sha2(content(docs[text_col]), 256) == drop["_drop_sha"]), "left_anti")
+    drop = scratch.written(drop, "drop")
+    left = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_drop")) & (sha == F.col("_drop_sha")), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    best = F.struct(F.coalesce(F.char_length(text_col), F.lit(-1)), F.sha2(text_col, 256))  # the longest text, as above
+    unnamed = left.filter(F.col(id_col).isNull()).groupBy(sha.alias("_sha")).agg(F.max_by(whole, best).alias("_row"))
+    return left.filter(F.col(id_col).isNotNull()).unionByName(unnamed.select("_row.*"))
 
 
 ORACLE = r"""

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teebox.llm import scratch
+from teebox.llm.blocks import row_key
 from teebox.llm.graph import components
 from teebox.llm.text import mix64, shingle_sets, slices
 
@@ -491,8 +492,17 @@ def _links(docs: DataFrame, hits: DataFrame, points: DataFrame, words: int, perc
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    found = near_duplicates(docs, id_col, text_col)
-    drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")
+    """The rows of ``docs`` whose id is the smallest of its component; an unknown id comes last.
 
+    Rows are joined by a number made from id and text, so rows without an id and rows that share
+    one are verified on their own texts; rows equal in both are one document.
+    """
+    key = F.xxhash64(row_key(docs[id_col], docs[text_col]))
+    keyed = docs.select(key.alias("_key"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("text"))
+    found = near_duplicates(keyed, "_key", "text").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
+    groups = found.filter("_key <> _group").select("_group").distinct()
+    members = scratch.written(found.join(groups, "_group", "left_semi").join(keyed.select("_key", "_id").distinct(), "_key"), "members")
+    order = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    kept = members.groupBy("_group").agg(F.min(order)["key"].alias("_kept"))
+    drop = members.join(kept, "_group").filter("_key <> _kept").select(F.col("_key").alias("_drop")).distinct()
+    return docs.join(drop, key == drop["_drop"], "left_anti")
