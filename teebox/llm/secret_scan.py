@@ -19,6 +19,7 @@ rows that repeat an id are scanned each.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -45,7 +46,8 @@ PLACEHOLDERS = frozenset("example sample dummy placeholder changeme test fake yo
 TEST_PATHS = re.compile(r"test|example|sample|fixture|mock|doc|demo", re.I)
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(?:live|test)_[0-9a-zA-Z]{24,}|xox[baprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)$")
 
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{{{LONG},}}={{0,2}}|(?i:\b(?:[a-z_]*(?:key|token|secret|passw(?:or)?d|pwd))[\"']?\s*[:=]\s*[\"']?)([^\s\"',;]{{8,}})")
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{{{LONG},}}={{0,2}}")
+_NAMED = re.compile(r"(?i:\b(?:[a-z_]*(?:key|token|secret|passw(?:or)?d|pwd))[\"']?\s*[:=]\s*[\"']?)([^\s\"',;]{8,})")
 _WORD = re.compile(r"[A-Za-z]+")
 FEATURES = ["length", "digits", "upper", "symbols", "switches", "distinct", "entropy", "transition", "dictionary", "test_path", "named", "assigned", "quoted", "placeholder", "hex"]
 
@@ -113,6 +115,22 @@ def coverage(s: str, words: frozenset[str]) -> float:
     return hit / max(1, len(low))
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Candidates in order: key-like runs and values assigned to a name, each searched by itself; what overlaps is one span."""
+    values = [m.span(1) for m in _NAMED.finditer(text)]
+    starts = [a for a, _ in values]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*values, *(m.span() for m in _RUN.finditer(text))]):
+        k = bisect.bisect_right(starts, a)
+        if k < len(starts) and a < starts[k] < b:  # a name with its sign: the value stays a span of its own
+            b = starts[k]
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def features(s: str, before: str, after: str, path: str, logp: np.ndarray, words: frozenset[str]) -> list[float]:
     n = len(s)
     kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in s]
@@ -166,8 +184,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
         for batch in batches:
             rows = []
             for doc_id, text, where in zip(*(c.to_pylist() for c in batch.columns)):
-                for m in _CANDIDATE.finditer(text or ""):
-                    a, b = m.span(1) if m[1] else m.span()
+                for a, b in spans(text or ""):
                     s = text[a:b]
                     f = features(s, text[max(0, a - 60) : a], text[b : b + 2], where, logp, words)
                     rows.append((doc_id, a, s, rule_label(s, dict(zip(FEATURES, f))), *f))

@@ -309,3 +309,9 @@ def test_secret_scan(spark, empty):
     assert all(got[i].is_secret and got[i].secret == s for i, s in enumerate(secret))
     assert not any(r.is_secret for i, r in got.items() if i >= 100) and 300 not in got
     assert secret_scan.scan(empty).count() == 0
+
+
+def test_secret_scan_finds_values_after_long_names(spark):
+    texts = [(1, "POSTGRES_ADMIN_PASSWORD=S3cr3tPass!"), (2, "A_VERY_LONG_NAME_OF_TOKEN==abcd1234 and more"), (3, 'token = "0123456789abcdef0123456789"')]
+    got = {(r.doc_id, r.secret) for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {(1, "S3cr3tPass!"), (2, "=abcd1234"), (3, "0123456789abcdef0123456789")} <= got
