@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teebox.llm import bpe, decontaminate, exact_dedup, html_extract, langid, ngram_join, ngram_lm, scratch, secret_scan, substring_dedup, warc
+from teebox.llm import bpe, centroids, decontaminate, exact_dedup, html_extract, langid, ngram_join, ngram_lm, ranked_search, scratch, secret_scan, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_digests(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -80,6 +92,13 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_token_counts": op13_token_counts,
 }
 
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {
+    "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_centroid_clustering": centroids.ORACLE,
+}
