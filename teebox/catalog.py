@@ -24,7 +24,7 @@ from teebox.operators import upsert as up
 from teebox.plans import messages as msg
 from teebox.plans import reports as rp
 from teebox.sources import exports as ex
-from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, two_source_rounds
+from teebox.sources.fixtures import CLUB_NAME_OVERRIDES, device_messages, two_source_rounds, two_source_tables
 from teebox.sources.fixtures import materialized_golf_tables as golf_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,17 +156,68 @@ def q_metric_trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_canonical_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.canonical_rounds(two_source_rounds(spark, sf_dir, golf_tables(spark, sf_dir)["rounds"]))
+    return mt.canonical_rounds(two_source_tables(spark, sf_dir)["rounds"])
 
 
 def q_round_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.match_pairs(two_source_rounds(spark, sf_dir, golf_tables(spark, sf_dir)["rounds"]))
+    return mt.match_pairs(two_source_tables(spark, sf_dir)["rounds"])
 
 
 def q_last_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest round of every player (the selector behind a "last round" report)."""
-    rounds, _, _ = _tables(spark, sf_dir)
-    return mt.last_round(rounds, by=["player_profile_id"])
+    """Latest canonical round of every player, whole (the selector behind a "last round" report)."""
+    return mt.last_round(mt.canonical_rounds(two_source_tables(spark, sf_dir)["rounds"]), by=["player_profile_id"])
+
+
+def _reconciled(spark: SparkSession, sf_dir: str, include_excluded: bool = False) -> sc.Reconciled:
+    """Both sources in scope, reconciled, with the configured club names."""
+    t = two_source_tables(spark, sf_dir)
+    return sc.reconciled_tables(t["rounds"], t["holes"], sc.prepared_shots(spark, t["shots"], CLUB_NAME_OVERRIDES), include_excluded=include_excluded)
+
+
+def q_reconciled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts canonical rounds; holes and shots of every round in scope, matched activities included."""
+    r = _reconciled(spark, sf_dir)
+    return sm.summary(r.rounds, r.holes, r.shots)
+
+
+def q_reconciled_practice_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _reconciled(spark, sf_dir)
+    return sm.practice_focus(r.rounds, r.holes, r.shots)
+
+
+def q_reconciled_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _reconciled(spark, sf_dir).canonical
+    return tr.round_trends(s.rounds, s.holes, TREND_WINDOW, by=TREND_BY)
+
+
+def q_reconciled_rounds_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.rounds_list(_reconciled(spark, sf_dir, include_excluded=True).rounds)
+
+
+def q_reconciled_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.courses(_reconciled(spark, sf_dir).rounds)
+
+
+def _reconciled_clubs(spark: SparkSession, sf_dir: str):
+    """Club products: shots of canonical rounds under recorded and configured names; holes unfiltered."""
+    t = two_source_tables(spark, sf_dir)
+    rounds = sc.reconciled_tables(t["rounds"], t["holes"], t["shots"]).rounds
+    return sc.club_scope(spark, rounds, t["holes"], t["shots"], overrides=CLUB_NAME_OVERRIDES)
+
+
+def q_reconciled_club_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holes, _, resolved = _reconciled_clubs(spark, sf_dir)
+    return sh.club_context(holes, resolved)
+
+
+def q_reconciled_club_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, raw, resolved = _reconciled_clubs(spark, sf_dir)
+    return sh.club_inventory(raw, resolved)
+
+
+def q_reconciled_course_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _reconciled(spark, sf_dir).canonical
+    return rp.course_report_flat(s.rounds, s.holes, s.shots)
 
 
 # The scope query's window is the named period "last-year" seen from this day.
@@ -339,6 +390,14 @@ QUERIES: dict[str, Query] = {
     "round_trends": q_round_trends,
     "metric_trend_series": q_metric_trend_series,
     "canonical_rounds": q_canonical_rounds,
+    "reconciled_summary": q_reconciled_summary,
+    "reconciled_practice_focus": q_reconciled_practice_focus,
+    "reconciled_trends": q_reconciled_trends,
+    "reconciled_rounds_list": q_reconciled_rounds_list,
+    "reconciled_courses": q_reconciled_courses,
+    "reconciled_club_context": q_reconciled_club_context,
+    "reconciled_club_inventory": q_reconciled_club_inventory,
+    "reconciled_course_report": q_reconciled_course_report,
     "round_aliases": q_round_aliases,
     "last_round": q_last_round,
     "scoped_tables": q_scoped_tables,

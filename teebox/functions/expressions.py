@@ -195,3 +195,24 @@ def table_round(c: str | Column, digits: int) -> Column:
     """Round like a columnar engine's ``round``: scale, round half away from zero, unscale."""
     m = float(10**digits)
     return F.round(col(c) * F.lit(m), 0) / F.lit(m)
+
+
+# The ISO forms a start time may have; a zone is an offset or Z.
+START_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+START_ZONE = r":.*(Z|[+-]\d{2}:?\d{2})$"
+
+
+def wall_micros(start: str, zone: str | None = None) -> Column:
+    """Microseconds of a start time's wall clock, null if it is none.
+
+    A time with an offset is first moved to ``zone`` (None: the session's time zone); one
+    without is taken as it is, so no daylight-saving rule of the session touches it.
+    """
+    text = strip(F.col(start))
+    moved = text.try_cast("timestamp").cast("timestamp_ntz")
+    if zone is not None:
+        moved = F.convert_timezone(None, F.lit(zone), moved)
+    wall = F.when(text.rlike(START_TIME), F.when(text.rlike(START_ZONE), moved).otherwise(text.try_cast("timestamp_ntz")))
+    days = F.unix_date(wall.cast("date")).cast("long") * 86_400_000_000
+    clock = (F.hour(wall) * 60 + F.minute(wall)).cast("long") * 60_000_000
+    return days + clock + (F.date_part(F.lit("SECOND"), wall) * 1_000_000).cast("long")

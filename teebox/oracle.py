@@ -8,6 +8,8 @@ correctness oracle only; it is never run on Spark.
 
 from __future__ import annotations
 
+import re
+
 # ------------------------------------------------------------------ fixture
 FIXTURE = """
 g_rounds_base AS (
@@ -742,14 +744,6 @@ def metric_trend_series_sql(window: int = 5, key: str = "player_profile_id") ->
 
 
 # ------------------------------------------------------------------- scope
-def last_round_sql() -> str:
-    return with_fixture() + """SELECT player_profile_id, round_id, played_on FROM (
-  SELECT player_profile_id, round_id, played_on,
-         ROW_NUMBER() OVER (PARTITION BY player_profile_id
-                            ORDER BY played_on DESC NULLS LAST, start_time DESC NULLS LAST, round_id DESC NULLS LAST) AS rk
-  FROM g_rounds) WHERE rk = 1"""
-
-
 def scoped_tables_sql() -> str:
     return with_fixture(
         """w_rounds AS (
@@ -830,6 +824,104 @@ def message_inventory_sql() -> str:
 FROM (SELECT DISTINCT file_id FROM msgs) f"""
 
 
+# ----------------------------------------------------------- reconciliation
+ROUND_COLS = ["round_id", "scorecard_id", "activity_id", "played_on", "start_time", "course_name", "location_name", "total_score",
+              "total_par", "exclude_from_stats", "comment", "player_profile_id", "data_source"]
+ROUND_NULLS = [("tee_name", "VARCHAR"), ("strokes_gained_handicap", "DOUBLE"), ("summary_json", "VARCHAR"), ("scorecard_json", "VARCHAR")]
+
+
+def on_two_sources(sql: str, pooled: bool = False, include_excluded: bool = False) -> str:
+    """A product's SQL over both sources, reconciled: s_rounds are the canonical rounds.
+
+    Holes and shots in scope are those of all rounds in scope (``pooled``), or of the canonical ones.
+    """
+    scope = "" if include_excluded else "WHERE NOT COALESCE(exclude_from_stats, FALSE)"
+    one = re.sub(r"\b(g_rounds|g_holes|g_shots|t_shots|p_shots)\b", r"\1_one", FIXTURE.strip().split("s_rounds AS")[0].rstrip().rstrip(","))
+    twice = [f"{t} AS (SELECT * FROM {t}_one UNION ALL SELECT * REPLACE (-round_id AS round_id) FROM {t}_one WHERE round_id % 20 = 7)" for t in ("g_holes", "t_shots", "p_shots")]
+    pick = """CASE WHEN len(near) > 0 THEN list_sort(list_transform(near, lambda x: {'d': abs(x.t - a.t), 't': x.t, 'i': x.id}))[1].i
+                WHEN len(pool) = 1 THEN pool[1].id END"""
+    group = "list({'id': round_id, 'p': player_profile_id, 't': t} ORDER BY t NULLS LAST, round_id)"
+    merged = []
+    for c in ROUND_COLS:
+        if c == "activity_id":
+            merged.append("COALESCE(c.activity_id, CASE WHEN p.act IS NOT NULL THEN a.activity_id END) AS activity_id")
+        elif c == "location_name":
+            merged.append("CASE WHEN p.act IS NOT NULL AND COALESCE(c.location_name, '') = '' THEN a.location_name ELSE c.location_name END AS location_name")
+        elif c == "data_source":
+            merged.append("CASE WHEN p.act IS NOT NULL THEN 'scorecard+activity' ELSE c.data_source END AS data_source")
+        else:
+            merged.append(f"c.{c}")
+    ids = "k_scope" if pooled else "k_rounds"
+    ctes = [
+        one,
+        *twice,
+        """g_rounds AS (
+  SELECT round_id, CASE WHEN round_id % 10 = 3 THEN NULL ELSE round_id END AS scorecard_id,
+         CASE WHEN round_id % 10 = 3 THEN round_id END AS activity_id, played_on, start_time, course_name, location_name,
+         total_score, total_par, exclude_from_stats, comment, CASE WHEN round_id % 50 <> 1 THEN player_profile_id END AS player_profile_id,
+         CASE WHEN round_id % 10 = 3 THEN 'activities' ELSE 'scorecard' END AS data_source
+  FROM g_rounds_one
+  UNION ALL
+  SELECT -round_id, NULL, -round_id, played_on,
+         played_on || 'T' || lpad(CAST(7 + round_id % 12 AS VARCHAR), 2, '0') || ':00:00', NULL, 'Loc ' || course_name,
+         total_score, total_par, exclude_from_stats, comment, CASE WHEN round_id % 30 <> 7 THEN player_profile_id END, 'activities'
+  FROM g_rounds_one WHERE round_id % 10 = 7
+)""",
+        f"""k_scope AS (
+  SELECT *, epoch(TRY_CAST(start_time AS TIMESTAMP)) AS t, scorecard_id IS NULL AND activity_id IS NOT NULL AS act FROM g_rounds {scope}
+)""",
+        f"k_cards AS (SELECT played_on, {group} AS cards FROM k_scope WHERE NOT act AND scorecard_id IS NOT NULL AND played_on IS NOT NULL GROUP BY played_on)",
+        f"k_acts AS (SELECT played_on, {group} AS acts FROM k_scope WHERE act AND played_on IS NOT NULL GROUP BY played_on)",
+        f"""k_steps AS (
+  SELECT played_on, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS act, CAST(NULL AS BIGINT) AS card
+  FROM k_acts JOIN k_cards USING (played_on)
+  UNION ALL
+  SELECT played_on, k + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, a.id, pick
+  FROM (
+    SELECT played_on, k, used, a, {pick} AS pick FROM (
+      SELECT played_on, k, used, a, pool, list_filter(pool, lambda x: abs(x.t - a.t) <= 7200) AS near FROM (
+        SELECT played_on, k, used, a, CASE WHEN len(same) > 0 THEN same ELSE cand END AS pool FROM (
+          SELECT played_on, k, used, a, cand, list_filter(cand, lambda x: x.p IS NULL OR a.p IS NULL OR x.p = a.p) AS same FROM (
+            SELECT s.played_on, s.k, s.used, acts[s.k + 1] AS a, list_filter(cards, lambda x: NOT list_contains(s.used, x.id)) AS cand
+            FROM k_steps s JOIN k_acts USING (played_on) JOIN k_cards USING (played_on) WHERE s.k < len(acts)))))
+  )
+)""",
+        "k_pairs AS (SELECT act, card FROM k_steps WHERE card IS NOT NULL)",
+        f"""k_rounds AS (
+  SELECT {", ".join(merged)} FROM k_scope c LEFT JOIN k_pairs p ON c.round_id = p.card LEFT JOIN k_scope a ON p.act = a.round_id WHERE NOT c.act
+  UNION ALL
+  SELECT {", ".join(ROUND_COLS)} FROM k_scope WHERE act AND round_id NOT IN (SELECT act FROM k_pairs)
+)""",
+        "s_rounds AS (SELECT * FROM k_rounds)",
+        f"s_holes AS (SELECT * FROM g_holes WHERE round_id IN (SELECT round_id FROM {ids}))",
+        f"s_shots AS (SELECT * FROM p_shots WHERE round_id IN (SELECT round_id FROM {ids}))",
+    ]
+    return sql.replace("WITH " + FIXTURE.strip(), "WITH RECURSIVE " + ",\n".join(ctes))
+
+
+_DISPLAY = "CASE WHEN trim(course_name) <> '' THEN course_name ELSE location_name END AS display_course_name"
+_WHOLE_ROUND = ", ".join(ROUND_COLS + [f"CAST(NULL AS {t}) AS {c}" for c, t in ROUND_NULLS])
+
+
+def canonical_rounds_sql() -> str:
+    return on_two_sources(with_fixture() + f"SELECT {_WHOLE_ROUND} FROM s_rounds", include_excluded=True)
+
+
+def round_aliases_sql() -> str:
+    return on_two_sources(with_fixture() + "SELECT act AS activity_round_id, card AS scorecard_round_id FROM k_pairs", include_excluded=True)
+
+
+def last_round_sql() -> str:
+    last = f"""SELECT {_WHOLE_ROUND}, {_DISPLAY} FROM s_rounds
+QUALIFY ROW_NUMBER() OVER (PARTITION BY player_profile_id ORDER BY played_on DESC NULLS LAST, start_time DESC NULLS LAST, round_id DESC NULLS LAST) = 1"""
+    return on_two_sources(with_fixture() + last, include_excluded=True)
+
+
+def reconciled_rounds_list_sql() -> str:
+    rows = f"SELECT round_id, played_on, {_DISPLAY}, COALESCE(exclude_from_stats, FALSE) AS exclude_from_stats, comment FROM s_rounds"
+    return on_two_sources(with_fixture() + rows, include_excluded=True)
+
+
 # ------------------------------------------------------------------- ingest
 def normalize_rounds_sql() -> str:
     return with_fixture() + """SELECT round_id, round_id AS scorecard_id, played_on, start_time, course_name,
@@ -900,6 +992,16 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "normalize_holes": normalize_holes_sql(),
         "normalize_shots": normalize_shots_sql(),
         "incremental_ingest": normalize_rounds_sql(),
+        "canonical_rounds": canonical_rounds_sql(),
+        "round_aliases": round_aliases_sql(),
+        "reconciled_summary": on_two_sources(summary_sql(), pooled=True),
+        "reconciled_practice_focus": on_two_sources(practice_focus_sql(), pooled=True),
+        "reconciled_trends": on_two_sources(round_trends_sql()),
+        "reconciled_rounds_list": reconciled_rounds_list_sql(),
+        "reconciled_courses": on_two_sources(courses_sql()),
+        "reconciled_club_context": on_two_sources(club_context_sql()),
+        "reconciled_club_inventory": on_two_sources(club_inventory_sql()),
+        "reconciled_course_report": on_two_sources(course_report_sql()),
         "course_report": course_report_sql(),
         "round_second_shots": round_second_shots_sql(),
         "club_context_course_hole": club_context_sql("1-URGENT", 1),

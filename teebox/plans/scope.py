@@ -9,7 +9,7 @@ share one partitioning.
 from __future__ import annotations
 
 import calendar
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teebox.functions.expressions import display_course_name, normalized_shot_type, override_rows, round_date
+from teebox.operators.matching import canonical_rounds, match_pairs
 
 
 # ------------------------------------------------------------- date windows
@@ -123,6 +124,46 @@ def scoped_tables(
     return Scope(kept, restrict(holes, kept), restrict(shots, kept))
 
 
+@dataclass(frozen=True)
+class Reconciled:
+    """A scope after reconciliation, with its two sets of round ids.
+
+    ``rounds`` are the canonical rounds, with their display course name: what is counted.
+    ``holes`` and ``shots`` are those of every round in scope, matched activities included: what the
+    season's products pool.  ``canonical`` narrows them to the canonical rounds, as the trends,
+    course and club products do.  ``aliases`` lead from a matched activity's id to its scorecard's.
+    """
+
+    rounds: DataFrame
+    holes: DataFrame
+    shots: DataFrame
+    aliases: DataFrame
+
+    @property
+    def canonical(self) -> Scope:
+        return Scope(self.rounds, restrict(self.holes, self.rounds), restrict(self.shots, self.rounds))
+
+
+def reconciled_tables(
+    rounds: DataFrame,
+    holes: DataFrame,
+    shots: DataFrame,
+    *,
+    date_from: date | None = None,
+    date_to: date | None = None,
+    include_excluded: bool = False,
+    by: Sequence[str] = (),
+    zone: str | None = None,
+) -> Reconciled:
+    """The scope of ``scoped_tables``, its rounds reconciled (``operators.matching``) once for all products.
+
+    The pairs are a written table, so whatever reads the canonical rounds joins them and matches nothing anew.
+    """
+    kept = filter_rounds(rounds, date_from, date_to, include_excluded)
+    pairs = match_pairs(kept, by=by, zone=zone)
+    return Reconciled(with_display_course(canonical_rounds(kept, pairs)), restrict(holes, kept), restrict(shots, kept), pairs)
+
+
 def with_display_course(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("display_course_name", display_course_name())
 

@@ -235,6 +235,21 @@ def two_source_rounds(spark: SparkSession, sf_dir: str, base: DataFrame | None =
     return conform(main.unionByName(twins), ROUNDS)
 
 
+def two_source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two-source rounds, some of an unknown player, with the holes and shots of both sources.
+
+    The player is unknown on activity twins of round_id % 30 = 7 and on rounds of round_id % 50 = 1.
+    Twins of round_id % 20 = 7 have holes and shots of their own, equal to their scorecard's.
+    """
+    g = materialized_golf_tables(spark, sf_dir)
+    rounds = two_source_rounds(spark, sf_dir, g["rounds"])
+    r = F.col("round_id")
+    unknown = F.when(r < 0, -r % 30 == 7).otherwise(r % 50 == 1)
+    rounds = rounds.withColumn("player_profile_id", F.when(~unknown, F.col("player_profile_id")))
+    twice = {t: g[t].unionByName(g[t].filter(r % 20 == 7).withColumn("round_id", -r)) for t in ("holes", "shots")}
+    return {"rounds": rounds, **twice}
+
+
 def device_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded device messages (file_id, seq, name, fields) from ``events``."""
     ev = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")

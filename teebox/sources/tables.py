@@ -125,3 +125,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def mark_done(spark: SparkSession, path: str) -> None:
     fs, hpath, _ = _fs(spark, f"{path}/_TEEBOX_DONE")
     fs.create(hpath, True).close()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

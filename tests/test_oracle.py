@@ -43,9 +43,9 @@ def test_query_without_oracle_runs(spark, name):
 
 def test_reconciliation_loses_and_repeats_no_round(spark):
     from teebox.operators.matching import match_pairs
-    from teebox.sources.fixtures import materialized_golf_tables, two_source_rounds
+    from teebox.sources.fixtures import two_source_tables
 
-    rounds = two_source_rounds(spark, SF, materialized_golf_tables(spark, SF)["rounds"])
+    rounds = two_source_tables(spark, SF)["rounds"]
     pairs = match_pairs(rounds).collect()
     cards, activities = {p.scorecard_round_id for p in pairs}, {p.activity_round_id for p in pairs}
     assert pairs and len(cards) == len(activities) == len(pairs)
