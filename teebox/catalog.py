@@ -74,10 +74,7 @@ def q_putting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _club_scope(spark: SparkSession, sf_dir: str):
     """Club products: shots of the rounds in scope; holes unfiltered (the join narrows them)."""
     g = golf_tables(spark, sf_dir)
-    kept = sc.filter_rounds(g["rounds"])
-    raw = sc.restrict(sc.with_shot_types(g["shots"]), kept)
-    resolved = sc.with_club_names(spark, raw, CLUB_NAME_OVERRIDES)
-    return g["holes"], raw, resolved
+    return sc.club_scope(spark, g["rounds"], g["holes"], g["shots"], overrides=CLUB_NAME_OVERRIDES)
 
 
 def q_club_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +165,13 @@ def q_last_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.last_round(mt.canonical_rounds(two_source_tables(spark, sf_dir)["rounds"]), by=["player_profile_id"])
 
 
+def q_last_round_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of the last canonical round of both sources, with its flag and comment."""
+    t = two_source_tables(spark, sf_dir)
+    rounds, holes, shots = rp.one_round(t["rounds"], t["holes"], t["shots"], last_round=True)
+    return sm.round_stats(rounds, holes, sc.prepared_shots(spark, shots, CLUB_NAME_OVERRIDES))
+
+
 def _reconciled(spark: SparkSession, sf_dir: str, include_excluded: bool = False) -> sc.Reconciled:
     """Both sources in scope, reconciled, with the configured club names."""
     t = two_source_tables(spark, sf_dir)
@@ -390,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "round_trends": q_round_trends,
     "metric_trend_series": q_metric_trend_series,
     "canonical_rounds": q_canonical_rounds,
+    "last_round_stats": q_last_round_stats,
     "reconciled_summary": q_reconciled_summary,
     "reconciled_practice_focus": q_reconciled_practice_focus,
     "reconciled_trends": q_reconciled_trends,

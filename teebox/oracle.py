@@ -917,6 +917,14 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY player_profile_id ORDER BY played_on DES
     return on_two_sources(with_fixture() + last, include_excluded=True)
 
 
+def last_round_stats_sql() -> str:
+    last = "SELECT round_id FROM s_rounds ORDER BY played_on DESC NULLS LAST, start_time DESC NULLS LAST, round_id DESC LIMIT 1"
+    narrow = [f"{new} AS (SELECT * FROM {old} WHERE round_id = ({last}))" for old, new in (("s_rounds", "l_rounds"), ("g_holes", "l_holes"), ("p_shots", "l_shots"))]
+    meta = with_fixture() + f"SELECT round_id, COALESCE(exclude_from_stats, FALSE) AS exclude_from_stats, COALESCE(comment, '') AS comment FROM s_rounds WHERE round_id = ({last})"
+    body = summary_sql("l_rounds", "l_holes", "l_shots", key="round_id", extra_ctes=tuple(narrow))
+    return on_two_sources(f"SELECT q.*, m.exclude_from_stats, m.comment FROM ({body}) q JOIN ({meta}) m ON q.round_id = m.round_id", include_excluded=True)
+
+
 def reconciled_rounds_list_sql() -> str:
     rows = f"SELECT round_id, played_on, {_DISPLAY}, COALESCE(exclude_from_stats, FALSE) AS exclude_from_stats, comment FROM s_rounds"
     return on_two_sources(with_fixture() + rows, include_excluded=True)
@@ -994,6 +1002,7 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "incremental_ingest": normalize_rounds_sql(),
         "canonical_rounds": canonical_rounds_sql(),
         "round_aliases": round_aliases_sql(),
+        "last_round_stats": last_round_stats_sql(),
         "reconciled_summary": on_two_sources(summary_sql(), pooled=True),
         "reconciled_practice_focus": on_two_sources(practice_focus_sql(), pooled=True),
         "reconciled_trends": on_two_sources(round_trends_sql()),

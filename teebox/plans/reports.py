@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from teebox.plans import courses as co
 from teebox.plans import shots as sh
 from teebox.plans import summary as sm
-from teebox.plans.scope import with_display_course
+from teebox.plans.scope import filter_course, resolve_round, restrict, with_display_course
 
 COURSE = "display_course_name"
 
@@ -66,3 +66,19 @@ def round_report(rounds: DataFrame, holes: DataFrame, shots: DataFrame) -> DataF
     for part in (hole_rows, club_rows, shot_rows, second):
         out = out.join(part, on=key, how="left")
     return out
+
+
+def one_round(rounds: DataFrame, holes: DataFrame, shots: DataFrame, round_id: int | None = None, last_round: bool = False):
+    """(canonical row, holes, shots) of one selected round: by its id, a matched activity's id, or the last one.
+
+    The flag that excludes a round does not apply to a single round.
+    """
+    selected, row = resolve_round(rounds, round_id, last_round)
+    mine = F.col("round_id") == F.lit(selected)
+    return row, holes.filter(mine), shots.filter(mine)
+
+
+def course_reports(rounds: DataFrame, holes: DataFrame, shots: DataFrame, course: str) -> DataFrame:
+    """The nested report of one course; an unknown name fails with it."""
+    of_course = filter_course(rounds, course)
+    return course_report(of_course, restrict(holes, of_course), restrict(shots, of_course))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from teebox.functions.expressions import display_course_name, normalized_shot_type, override_rows, round_date
 from teebox.operators.matching import canonical_rounds, match_pairs
+from teebox.operators.matching import last_round as latest
 
 
 # ------------------------------------------------------------- date windows
@@ -168,8 +169,51 @@ def with_display_course(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("display_course_name", display_course_name())
 
 
+def known(frame: DataFrame, message: str) -> DataFrame:
+    """``frame`` unchanged, in a plan that fails with ``message`` if it is empty: a part of the plan, no job of its own."""
+    count = frame.agg(F.count(F.lit(1)).alias("_n"))
+    nothing = F.when(F.col("_n") == 0, F.raise_error(F.lit(message)).cast("bigint"))
+    return frame.unionByName(count.select(nothing.alias("round_id")).filter(F.col("round_id").isNotNull()), allowMissingColumns=True)
+
+
 def filter_course(rounds: DataFrame, course: str) -> DataFrame:
-    return with_display_course(rounds).filter(F.col("display_course_name") == F.lit(course))
+    """Rounds on the course of that display name; an unknown name fails with it."""
+    return known(with_display_course(rounds).filter(F.col("display_course_name") == F.lit(course)), f"Course not found: {course}.")
+
+
+def filter_round(rounds: DataFrame, round_id: int) -> DataFrame:
+    """The round of that id; an unknown one fails with it."""
+    return known(rounds.filter(F.col("round_id") == F.lit(round_id)), f"Round not found: {round_id}.")
+
+
+def resolve_round(rounds: DataFrame, round_id: int | None = None, last_round: bool = False, zone: str | None = None) -> tuple[int, DataFrame]:
+    """(id, canonical row) of the round that an id, a matched activity's id or "the last one" selects.
+
+    Rounds of other days cannot change what a day's rounds become, so one day is read and
+    matched; the id is then a literal that prunes the files of holes and shots.
+    """
+    if (round_id is None) == (not last_round):
+        raise ValueError("Give either a round id or last_round.")
+    if last_round:
+        day = rounds.agg(F.max("played_on")).first()[0]
+    else:
+        found = rounds.filter(F.col("round_id") == F.lit(round_id)).select("played_on").first()
+        if found is None:
+            raise ValueError(f"Round not found: {round_id}.")
+        day = found[0]
+    # undated rounds are never matched
+    of_day = rounds.filter(F.col("played_on") == F.lit(day)) if day is not None else rounds.filter(F.col("played_on").isNull())
+    pairs = match_pairs(of_day, zone=zone)
+    canonical = with_display_course(canonical_rounds(of_day, pairs))
+    if last_round:
+        row = latest(canonical).select("round_id").first()
+        if row is None:
+            raise ValueError("No rounds are available.")
+        round_id = row[0]
+    else:
+        alias = pairs.filter(F.col("activity_round_id") == F.lit(round_id)).first()
+        round_id = alias.scorecard_round_id if alias else round_id
+    return round_id, filter_round(canonical, round_id)
 
 
 def filter_hole(frame: DataFrame, hole: int) -> DataFrame:
@@ -201,7 +245,7 @@ def club_scope(
     if not rounds_table_empty:
         raw = restrict(raw, kept)
     if course is not None:
-        on_course = kept.filter(F.col("display_course_name") == F.lit(course))
+        on_course = filter_course(kept, course)
         raw = restrict(raw, on_course)
         holes = restrict(holes, on_course)
     if hole is not None:

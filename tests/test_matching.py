@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from teebox.operators.matching import CARD, _candidates, _sessions, canonical_rounds, last_round, match_pairs
-from teebox.plans.scope import reconciled_tables
+from teebox.plans.reports import course_reports, one_round, round_report
+from teebox.plans.scope import filter_round, reconciled_tables
 
 
 def start(row):
@@ -130,3 +131,51 @@ def test_last_round_is_a_whole_canonical_row(mk):
     row = last_round(canonical_rounds(rounds)).collect()[0]
     assert (row.round_id, row.activity_id, row.location_name, row.display_course_name, row.data_source) == (1, 2, "Village", "Moor", "scorecard+activity")
     assert last_round(rounds.limit(0)).count() == 0
+
+
+@pytest.fixture()
+def two_days(mk):
+    rounds = mk("rounds", [
+        {"round_id": 10, "scorecard_id": 10, "played_on": "2024-02-01", "start_time": "2024-02-01T09:00:00", "course_name": "Dunes", "exclude_from_stats": True, "comment": "wet"},
+        {"round_id": 20, "activity_id": 20, "played_on": "2024-02-01", "start_time": "2024-02-01T09:40:00"},
+        {"round_id": 30, "scorecard_id": 30, "played_on": "2024-01-09", "course_name": "Heath"},
+        {"round_id": 40, "scorecard_id": 40, "played_on": None, "course_name": "Heath"},
+    ])
+    holes = mk("holes", [{"round_id": r, "hole_number": h, "par": 4, "strokes": 4 + r // 10} for r in (10, 20, 30, 40) for h in range(1, 10)])
+    shots = mk("shots", [{"round_id": r, "hole_number": 1, "shot_number": n, "club": "Iron", "shot_type": "CHIP"} for r in (10, 20, 30, 40) for n in (1, 2)])
+    return rounds, holes, shots
+
+
+def test_alias_own_id_and_last_select_the_same_report(two_days):
+    reports = []
+    for choice in ({"round_id": 10}, {"round_id": 20}, {"last_round": True}):
+        reports.append([r.asDict(recursive=True) for r in round_report(*one_round(*two_days, **choice)).collect()])
+    assert reports[0] == reports[1] == reports[2] and len(reports[0]) == 1
+    report = reports[0][0]
+    assert report["round_id"] == 10 and report["summary"]["comment"] == "wet" and report["summary"]["exclude_from_stats"] is True
+    assert report["summary"]["average_hole_score"] == 5.0 and len(report["holes"]) == 9 and len(report["shots"]) == 2
+    undated = round_report(*one_round(*two_days, round_id=40)).collect()
+    assert [r.round_id for r in undated] == [40]
+
+
+def test_selected_id_reaches_the_scan(two_days, tmp_path, spark):
+    rounds, holes, shots = two_days
+    holes.write.parquet(f"{tmp_path}/holes")
+    _, mine, _ = one_round(rounds, spark.read.parquet(f"{tmp_path}/holes"), shots, round_id=20)
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(round_id,10)" in plan
+
+
+def test_unknown_course_or_round_fails_with_its_name(two_days, mk):
+    with pytest.raises(ValueError, match="Round not found: 99"):
+        one_round(*two_days, round_id=99)
+    with pytest.raises(ValueError, match="No rounds"):
+        one_round(mk("rounds", []), *two_days[1:], last_round=True)
+    with pytest.raises(ValueError, match="either"):
+        one_round(*two_days, round_id=10, last_round=True)
+    with pytest.raises(Exception, match="Course not found: Nowhere"):
+        course_reports(*two_days, "Nowhere").collect()
+    with pytest.raises(Exception, match="Round not found: 99"):
+        filter_round(two_days[0], 99).count()
+    report = course_reports(*two_days, "Heath").collect()
+    assert [(r.display_course_name, r.summary.rounds_played, len(r.holes)) for r in report] == [("Heath", 2, 9)]
