@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teebox.llm import blocks, scratch
-from teebox.llm.text import slices, windows, word_bounds, word_hashes
+from teebox.llm.text import mix64, slices, windows, word_bounds, word_hashes
 
 LENGTH = 35
 GRAM = 8
@@ -87,12 +87,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask_anchors(key, table):
         h, first = block_words(table["text"])
-        return blocks.ask_repeated(key[0].as_py(), buckets, window_anchors(h, first, length, gram)[2])
+        # anchors are small hashes: mixed, they spread over all buckets
+        return blocks.ask_repeated(key[0].as_py(), buckets, mix64(window_anchors(h, first, length, gram)[2]))
 
     def ask_windows(key, table, known):
         h, first = block_words(table["text"])
         start, low, _ = window_anchors(h, first, length, gram)
-        start = start[blocks.among(low, blocks.replies(known))]
+        start = start[blocks.among(mix64(low), blocks.replies(known))]
         return blocks.ask_repeated(key[0].as_py(), buckets, windows(h, length)[start] if len(start) else np.zeros(0, np.uint64))
 
     def remove(key, table, known):
