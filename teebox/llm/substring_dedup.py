@@ -34,6 +34,7 @@ from teebox.llm.text import mix64, slices, windows, word_bounds, word_hashes
 
 LENGTH = 35
 GRAM = 8
+BUCKET_BYTES = 16 << 20  # bytes of text that one bucket of hashes stands for
 SHARD_WORDS = 100_000
 
 
@@ -81,9 +82,11 @@ def window_anchors(h: np.ndarray, first: np.ndarray, length: int, gram: int) ->
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text of every row."""
-    spark = scratch.ready(docs)
-    dealt = blocks.blocked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    buckets = scratch.partitions(spark)
+    scratch.ready(docs)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # a bucket answers for the hashes of so much text, however many partitions there are
+    buckets = -(-(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1) // BUCKET_BYTES)
+    dealt = blocks.blocked(texts)
 
     def ask_anchors(key, table):
         h, first = block_words(table["text"])
