@@ -253,11 +253,8 @@ UPSERT_COLUMNS = [
 ]
 
 
-def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-import of every round (renamed courses, reset flags) plus activity rows,
-    upserted into the stored rounds with the user's annotations preserved."""
-    from pyspark.sql import functions as F
-
+def _reimport(spark: SparkSession, sf_dir: str, preserve: list[str]) -> DataFrame:
+    """Re-import of every round (renamed courses, reset flags) plus activity rows, upserted into the stored rounds."""
     existing, _, _ = _tables(spark, sf_dir)
     incoming = (
         two_source_rounds(spark, sf_dir, golf_tables(spark, sf_dir)["rounds"])
@@ -265,8 +262,17 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("exclude_from_stats", F.lit(False))
         .withColumn("comment", F.lit(None).cast("string"))
     )
-    merged = up.upsert(existing, incoming, ["round_id"], preserve=["exclude_from_stats", "comment"])
-    return merged.select(*UPSERT_COLUMNS)
+    return up.upsert(existing, incoming, ["round_id"], preserve=preserve).select(*UPSERT_COLUMNS)
+
+
+def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A re-import that keeps the user's annotations."""
+    return _reimport(spark, sf_dir, ["exclude_from_stats", "comment"])
+
+
+def q_upsert_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A re-import that replaces rows whole."""
+    return _reimport(spark, sf_dir, [])
 
 
 # Rounds this far over par get flagged, with this comment.
@@ -407,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "last_round": q_last_round,
     "scoped_tables": q_scoped_tables,
     "upsert": q_upsert,
+    "upsert_whole_rows": q_upsert_whole_rows,
     "annotate": q_annotate,
     "message_inventory": q_message_inventory,
     "normalize_rounds": q_normalize_rounds,

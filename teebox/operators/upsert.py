@@ -46,8 +46,8 @@ def upsert(
     """Merged table: one row per key, incoming rows replacing existing ones.
 
     ``order`` names an incoming column that orders duplicates inside the
-    batch (highest wins); without it duplicates inside one batch resolve to
-    any one of them.
+    batch (highest wins); of duplicates it doesn't tell apart, the same one
+    always wins: that of the largest hash of its values.
     """
     keys = list(keys)
     if preserve:
@@ -57,7 +57,7 @@ def upsert(
     b = incoming.withColumn(SRC, F.lit(1)).withColumn(SEQ, seq_in)
     both = a.unionByName(b, allowMissingColumns=True)
     value_cols = [c for c in both.columns if c not in keys and c not in (SRC, SEQ)]
-    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*value_cols), F.struct(SRC, SEQ)).alias("_row"))
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*value_cols), F.struct(F.col(SRC), F.col(SEQ), F.xxhash64(*value_cols))).alias("_row"))
     ordered = [c for c in existing.columns if c not in (SRC, SEQ)] + [
         c for c in incoming.columns if c not in existing.columns and c not in (SRC, SEQ)
     ]
@@ -68,8 +68,9 @@ def annotate(rounds: DataFrame, annotations: DataFrame) -> DataFrame:
     """Apply (round_id, exclude_from_stats, comment) annotations as whole-row upserts.
 
     A null flag or comment in an annotation keeps the round's current value
-    (a round never flagged counts as included); nothing is preserved from
-    the stored row beyond that, as for a one-round edit.
+    (a round never flagged counts as included) and an empty comment clears
+    it; nothing is preserved from the stored row beyond that, as for a
+    one-round edit.
     """
     ann = annotations.select(
         "round_id",
@@ -82,7 +83,7 @@ def annotate(rounds: DataFrame, annotations: DataFrame) -> DataFrame:
             "exclude_from_stats",
             F.coalesce(F.col("_new_flag"), F.col("exclude_from_stats").cast("boolean"), F.lit(False)),
         )
-        .withColumn("comment", F.coalesce(F.col("_new_comment"), F.col("comment")))
+        .withColumn("comment", F.nullif(F.coalesce(F.col("_new_comment"), F.col("comment")), F.lit("")))
         .select(*rounds.columns)
     )
     return upsert(rounds, updated, ["round_id"])

@@ -763,7 +763,7 @@ UPSERT_COLS = ["round_id", "scorecard_id", "activity_id", "played_on", "course_n
                "exclude_from_stats", "comment", "data_source", "player_profile_id"]
 
 
-def upsert_sql() -> str:
+def upsert_sql(preserve: bool = True) -> str:
     inc = """inc AS (
   SELECT round_id, CASE WHEN round_id % 10 = 3 THEN NULL ELSE round_id END AS scorecard_id,
          CASE WHEN round_id % 10 = 3 THEN round_id END AS activity_id, played_on,
@@ -784,7 +784,7 @@ def upsert_sql() -> str:
     for c in UPSERT_COLS:
         if c == "round_id":
             cols.append("COALESCE(i.round_id, e.round_id) AS round_id")
-        elif c in ("exclude_from_stats", "comment"):
+        elif preserve and c in ("exclude_from_stats", "comment"):
             cols.append(f"CASE WHEN i.round_id IS NOT NULL THEN COALESCE(e.{c}, i.{c}) ELSE e.{c} END AS {c}")
         else:
             cols.append(f"CASE WHEN i.round_id IS NOT NULL THEN i.{c} ELSE e.{c} END AS {c}")
@@ -994,6 +994,7 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "last_round": last_round_sql(),
         "scoped_tables": scoped_tables_sql(),
         "upsert": upsert_sql(),
+        "upsert_whole_rows": upsert_sql(preserve=False),
         "annotate": annotate_sql(),
         "message_inventory": message_inventory_sql(),
         "normalize_rounds": normalize_rounds_sql(),

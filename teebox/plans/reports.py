@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from teebox.operators.upsert import annotate, upsert
 from teebox.plans import courses as co
 from teebox.plans import shots as sh
 from teebox.plans import summary as sm
@@ -82,3 +83,16 @@ def course_reports(rounds: DataFrame, holes: DataFrame, shots: DataFrame, course
     """The nested report of one course; an unknown name fails with it."""
     of_course = filter_course(rounds, course)
     return course_report(of_course, restrict(holes, of_course), restrict(shots, of_course))
+
+
+def annotate_round(
+    rounds: DataFrame, round_id: int | None = None, last_round: bool = False, exclude: bool | None = None, comment: str | None = None
+) -> DataFrame:
+    """The rounds table with one selected round's flag or comment set; an empty comment clears it.
+
+    The selector resolves as for a report, and the canonical row replaces the stored one whole.
+    """
+    _, row = resolve_round(rounds, round_id, last_round)
+    row = row.select(*rounds.columns)
+    note = row.select("round_id", F.lit(exclude).cast("boolean").alias("exclude_from_stats"), F.lit(comment).cast("string").alias("comment"))
+    return upsert(rounds, annotate(row, note), ["round_id"])

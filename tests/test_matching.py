@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from teebox.operators.matching import CARD, _candidates, _sessions, canonical_rounds, last_round, match_pairs
-from teebox.plans.reports import course_reports, one_round, round_report
+from teebox.operators.upsert import upsert
+from teebox.plans.reports import annotate_round, course_reports, one_round, round_report
 from teebox.plans.scope import filter_round, reconciled_tables
 
 
@@ -179,3 +180,21 @@ def test_unknown_course_or_round_fails_with_its_name(two_days, mk):
         filter_round(two_days[0], 99).count()
     report = course_reports(*two_days, "Heath").collect()
     assert [(r.display_course_name, r.summary.rounds_played, len(r.holes)) for r in report] == [("Heath", 2, 9)]
+
+
+def test_annotation_follows_the_selector_and_clears(two_days):
+    rounds = two_days[0]
+    by_id = lambda df: {r.round_id: r for r in df.collect()}
+    noted = by_id(annotate_round(rounds, round_id=20, exclude=False, comment="dry"))
+    assert set(noted) == {10, 20, 30, 40}
+    # the alias leads to the scorecard, whose canonical row (with the activity's id) is stored whole
+    assert (noted[10].exclude_from_stats, noted[10].comment, noted[10].activity_id) == (False, "dry", 20)
+    assert noted[20].comment is None and noted[30].exclude_from_stats is None
+    cleared = by_id(annotate_round(rounds, last_round=True, comment=""))
+    assert cleared[10].comment is None and cleared[10].exclude_from_stats is True
+
+
+def test_duplicates_of_a_batch_resolve_alike(mk):
+    incoming = mk("rounds", [{"round_id": 1, "course_name": c} for c in "abcdef"])
+    won = {upsert(mk("rounds", []), incoming.repartition(n), ["round_id"]).collect()[0].course_name for n in (1, 3, 5)}
+    assert len(won) == 1
