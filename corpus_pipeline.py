@@ -20,8 +20,17 @@ from teebox.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, quer
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; null texts and texts without letters go."""
     model = langid.fit(docs)
-    named = langid.annotate(docs, model, lang_out="_lang_pred", score_out="_lang_score")
-    return named.filter(F.col("_lang_pred") != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = _free("_lang_pred", docs), _free("_lang_score", docs)
+    named = langid.annotate(docs, model, lang_out=lang, score_out=score)
+    return named.filter(F.col(lang) != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +61,7 @@ STAGES = [
     ("bpe", encoding),
 ]
 
-#: Language models, R-trees, latent search and BPE are not SQL; the tests hold run() against brute force.
+#: Language models, R-trees, latent search and BPE are not SQL.
 ORACLE_SQL = None
 
 

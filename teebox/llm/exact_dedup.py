@@ -71,10 +71,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An id names one document, so rows equal in id and text stay or go together; of equal rows without
     an id one stays.
     """
-    sha = F.sha2(content(F.col(text_col)), 256)
+    sha = F.sha2(content(docs[text_col]), 256)
     drop = verdicts(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
     drop = scratch.written(drop, "drop")
-    left = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_drop")) & (sha == F.col("_drop_sha")), "left_anti")
+    left = docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]) & (sha == drop["_drop_sha"]), "left_anti")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     best = F.struct(F.coalesce(F.char_length(text_col), F.lit(-1)), F.sha2(text_col, 256))  # the longest text, as above
     unnamed = left.filter(F.col(id_col).isNull()).groupBy(sha.alias("_sha")).agg(F.max_by(whole, best).alias("_row"))

@@ -241,3 +241,17 @@ def test_registered_queries(spark, tmp_path, rows, items):
     got = {r.doc_id: r.n_tokens for r in queries.op13_token_counts(spark, d).collect()}
     library = tokenizers.Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
     assert all(got[i] == len(library.encode(t or "", add_special_tokens=False)) for i, t in rows if i not in (3, None))
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Input columns named like a stage's own pass through unchanged."""
+    import corpus_pipeline
+    from teebox.llm import exact_dedup
+
+    german = "der die das und ist nicht ein eine mit auf für von dem den des wir sie haben werden kann "
+    rows = [(1, german * 3, "de", 5, "kept", 0.5), (2, german * 3, "de", 6, "gone", 0.5), (3, "12 34 ..", None, 7, "gone", 0.5), (4, german * 2, "de", 8, "kept", 0.5), (None, german, "de", 9, "kept", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _drop long, _lang_pred string, _lang_score double")
+    left = exact_dedup.distinct_documents(docs)
+    assert left.columns == docs.columns and sorted((r._drop, r._lang_pred) for r in left.collect()) == [(5, "kept"), (7, "gone"), (8, "kept"), (9, "kept")]
+    named = corpus_pipeline.language_id(spark, docs, "")
+    assert named.columns == docs.columns and sorted((r._drop, r._lang_pred, r._lang_score) for r in named.collect()) == [(5, "kept", 0.5), (6, "gone", 0.5), (8, "kept", 0.5), (9, "kept", 0.5)]
