@@ -9,15 +9,17 @@ whole sequence; no words: empty and linked with nothing).  Two documents link wh
    a rarity level relative to the mean slot.  Shingles are ordered by (level, hash); two sets that link must share one
    of the first ``n - ceil(0.75 n) + 1`` shingles of that order, so these are the keys that
    bring documents together.  The order only affects speed, never which pairs meet.
-3. Keys held by one class fall away.  Of the rest every class is first checked against one
-   document it shares most keys with; verified links are joined into components.
+3. Keys held by one class fall away, and keys that the same documents hold count as one key
+   (near copies share many), whose weight is their number.  Every class is first checked against
+   one document it shares most keys with; verified links are joined into components.
 4. Keys that still hold two or more components get an R-tree: shingles are hashed into 256
    groups, a set's group counts are a point, and the overlap of two subtrees (or points) is
    at most the sum of the coordinate-wise minima of their upper corners.  Subtrees whose
    bound misses ``3/7 (|A| + |B|)`` are cut; surviving pairs of different components are
    verified on their whole sets and joined.  Subtrees of one component are cut too, so pairs inside
    a component are never listed.  The rows of a hot key are split into blocks of bounded size, and
-   the tasks take pairs of blocks.
+   the tasks take pairs of blocks.  Keys of one family go to the same tasks, as far as these stay
+   bounded, so that a pair is sent once and not once per key.
 
 Defined results: null and empty texts have no set and are their own component; a row
 without an id is a component only with rows of the same set and is never verified against
@@ -46,11 +48,14 @@ GROUPS = 256
 FANOUT = 16
 BLOOM_BITS = 25  # fixed-size filter of the ids whose whole sets are wanted
 FULL = 255  # a group count that stands for any larger one
-UNIT_PAIRS = 1 << 14  # pairs verified together
+UNIT_BYTES = 1 << 26  # bytes of sets verified together, each pair's two sets counted
 BLOCK = 1 << 12  # pairs of tree nodes looked at together
 GROUP_ROWS = 1 << 12  # rows of a key that are searched in one group
 TASK_ROWS = 1 << 17  # rows a search task holds, on average at most
-FOUND = 1 << 16  # pairs that wait in a task to be sent
+DEAL_ROWS = 1 << 14  # rows of a family that are dealt to a task together
+FOUND = 1 << 14  # pairs that wait in a task to be sent
+SENT = 1 << 20  # pairs a task remembers to have sent, at most; the others may be sent again
+PAIRS = "a long, b long, n long"
 _LEVEL_SHIFT = np.uint64(60)
 
 
@@ -136,20 +141,35 @@ def _fingerprints(docs: DataFrame, levels: np.ndarray, words: int, percent: int)
 
 
 def _sorted_groups(batches) -> tuple[list[np.ndarray], np.ndarray] | None:
-    """A partition's columns sorted by the first, and where its groups begin."""
+    """A partition's columns sorted by the first two, and where its groups begin; a group is alike in both."""
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return None
     cols = [np.concatenate(c) for c in zip(*parts)]
     order = np.lexsort((cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    return cols, np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+    return cols, np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, doc_id, pivot): rows of keys that two or more documents hold; pivot is the key's smallest id."""
-    held = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
-    return keys.join(held.select("key", "pivot"), "key").select("key", "doc_id", "pivot")
+    """(key, doc_id, pivot, weight): rows of keys that two or more documents hold; pivot is the key's smallest id.
+
+    Keys with the same holders meet the same pairs, so only the smallest of them is kept, with their
+    number as weight.  Holders are told apart by their smallest and largest id, their number and the sums
+    of two halves of a 64-bit hash, which add up however often an id occurs.
+    """
+    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    raw = scratch.written(keys.join(held.select("key"), "key").select("key", "doc_id"), "raw-hits")
+    h = F.xxhash64("doc_id")
+    holders = raw.groupBy("key").agg(
+        F.min("doc_id").alias("pivot"),
+        F.max("doc_id").alias("last"),
+        F.count(F.lit(1)).alias("c"),
+        F.sum(F.shiftright(h, 32)).alias("high"),
+        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+    )
+    kept = holders.filter("pivot < last").groupBy("pivot", "last", "c", "high", "low").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    return raw.join(kept.select("key", "pivot", "weight"), "key").select("key", "doc_id", "pivot", "weight")
 
 
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +229,15 @@ def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of ``pairs`` whose whole sets link, but for those that only close a circle.
+    """Edges (a, b) of ``pairs`` (a, b, n: both sets' size) whose whole sets link, but for those that only close a circle.
 
     Pairs that hang together are verified together, so a set travels once per unit and not once
-    per pair; a family with more than UNIT_PAIRS pairs is split by pair into units of about that
-    many, so one document's pairs are split too.
+    per pair; a family whose pairs hold more than UNIT_BYTES is split by pair into units of about
+    that size, so one document's pairs are split too.
     """
     labels = components(pairs)
     family = pairs.join(labels.select(F.col("node").alias("a"), "label"), "a")
-    size = family.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(UNIT_PAIRS)).alias("units"))
+    size = family.groupBy("label").agg(F.ceil(F.sum("n") * 8 / F.lit(UNIT_BYTES)).alias("units"))
     family = family.join(size, "label").select(F.xxhash64("label", F.pmod(F.xxhash64("a", "b"), "units")).alias("unit"), "a", "b")
     family = scratch.written(family, "units")
     sets = scratch.written(_sets(docs, pairs, words), "sets")
@@ -269,7 +289,7 @@ def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the summed coordinate minima do not exclude."""
+    """The pairs (a, b, n) that the summed coordinate minima do not exclude; n is both sets' size."""
     one = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
     two = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
 
@@ -281,9 +301,9 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 bound = _bound(_points(part.column(4).to_pylist()), _points(part.column(5).to_pylist()))
                 size = part.column(2).to_numpy() + part.column(3).to_numpy()
                 keep = pa.array((100 + percent) * bound >= percent * size)
-                yield pa.record_batch([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+                yield pa.record_batch([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(size).filter(keep)], names=["a", "b", "n"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, PAIRS)
 
 
 # --- R-tree -------------------------------------------------------------------------------
@@ -352,18 +372,19 @@ class CountTree:
 
 
 def _open_keys(hits: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, label) of keys whose documents lie in two or more components."""
+    """Rows (key, doc_id, pivot, label) of keys whose documents lie in two or more components."""
     mixed = hits.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return hits.join(mixed.select("key"), "key", "left_semi").select("key", "doc_id", "label")
+    return hits.join(mixed.select("key"), "key", "left_semi").select("key", "doc_id", "pivot", "label")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(grp, side, doc_id, label): the rows of every key in groups whose pairs of unlike side are to be looked at.
+    """(grp, deal, side, doc_id, label): the rows of every key in groups whose pairs of unlike side are to be looked at.
 
     A key of at most GROUP_ROWS rows is a group in which every row is a side.  The rows of a larger key
     fall into blocks of about GROUP_ROWS rows: a component above that size into blocks of its own, the
     others into mixed ones.  Groups are then the mixed blocks, and two blocks, each a side, unless
-    both belong to one component.
+    both belong to one component.  Groups of one deal are searched by one task: keys with the same smallest
+    id, in shares of about DEAL_ROWS rows; a group of a large key is a deal of its own.
     """
     own = F.col("c") > GROUP_ROWS
     plan = (
@@ -383,13 +404,16 @@ def _grouped(rows: DataFrame) -> DataFrame:
             ),
         )
     )
+    shares = rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(DEAL_ROWS)).alias("shares"))
     return (
         rows.join(plan, "key", "left")
+        .join(shares, "pivot")
         .withColumn("n_own", F.expr("own[label]"))
         .withColumn("mine", F.expr("struct(if(n_own IS NULL, NULL, label) AS label, 1 + pmod(xxhash64(doc_id, key), coalesce(n_own, rest)) AS k)"))
         .withColumn("other", F.explode(F.expr("if(size IS NULL, array(NULL), filter(blocks, b -> b.label IS NULL OR mine.label IS NULL OR b.label <> mine.label))")))
         .select(
             F.expr("if(size IS NULL, key, xxhash64(key, least(mine, other), greatest(mine, other)))").alias("grp"),
+            F.expr("if(size IS NULL, xxhash64(pivot, pmod(xxhash64(key), shares)), xxhash64(key, least(mine, other), greatest(mine, other)))").alias("deal"),
             F.expr("if(size IS NULL OR mine <=> other, doc_id, xxhash64(mine))").alias("side"),
             "doc_id",
             "label",
@@ -398,16 +422,31 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _tree_pairs(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that some group's tree lets through."""
+    """Pairs (a, b, n) of different components that some group's tree lets through; n is both sets' size."""
 
     @scratch.tidy
     def run(batches):
         got = _sorted_groups(batches)
         if got is None:
             return
-        (group, doc, side, label, n, vector), first = got
+        (deal, group, doc, side, label, n, vector), first = got
         size = np.diff(np.append(first, len(group)))
-        found: set[tuple[int, int]] = set()
+        sent: set[tuple[int, int]] = set()
+        fresh: list[tuple[int, int, int]] = []
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            for pair in zip(np.minimum(doc[x], doc[y]).tolist(), np.maximum(doc[x], doc[y]).tolist(), (n[x] + n[y]).tolist()):
+                if pair[:2] not in sent:
+                    sent.add(pair[:2])
+                    fresh.append(pair)
+
+        def ready():
+            if len(fresh) >= FOUND:
+                yield _pairs(fresh)
+                fresh.clear()
+                if len(sent) >= SENT:
+                    sent.clear()
+
         # a group that fits one leaf is a tree of one node: all such groups' pairs at once
         for g in range(2, FANOUT + 1):
             at = first[size == g]
@@ -420,30 +459,24 @@ def _tree_pairs(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 if len(x):
                     bound = _bound(_points(vector[x]), _points(vector[y]))
                     keep = (100 + percent) * bound >= percent * (n[x] + n[y])
-                    found.update(zip(doc[x[keep]].tolist(), doc[y[keep]].tolist()))
-                if len(found) >= FOUND:
-                    yield _pairs(found)
-                    found.clear()
+                    add(x[keep], y[keep])
+                yield from ready()
         for lo, hi in zip(first[size > FANOUT], (first + size)[size > FANOUT]):
             tree = CountTree(_points(vector[lo:hi]), n[lo:hi], label[lo:hi], side[lo:hi])
             for i, j in tree.pairs(percent):
-                a, b = np.minimum(doc[i + lo], doc[j + lo]), np.maximum(doc[i + lo], doc[j + lo])
-                found.update(zip(a.tolist(), b.tolist()))
-                if len(found) >= FOUND:
-                    yield _pairs(found)
-                    found.clear()
-        if found:
-            yield _pairs(found)
+                add(i + lo, j + lo)
+                yield from ready()
+        if fresh:
+            yield _pairs(fresh)
 
     rows = scratch.written(_grouped(rows), "groups")
     parts = max(scratch.partitions(rows.sparkSession), -(-rows.count() // TASK_ROWS))
-    dealt = rows.join(points, "doc_id").select("grp", "doc_id", "side", "label", "n", "vector").repartition(parts, "grp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.join(points, "doc_id").select("deal", "grp", "doc_id", "side", "label", "n", "vector").repartition(parts, "deal")
+    return dealt.mapInArrow(run, PAIRS).distinct()
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b", "n"])
 
 
 # --- the join -----------------------------------------------------------------------------
@@ -478,14 +511,14 @@ def _links(docs: DataFrame, hits: DataFrame, points: DataFrame, words: int, perc
     star = (
         hits.filter("doc_id <> pivot")
         .groupBy("doc_id", "pivot")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.sum("weight").alias("shared"))
         .groupBy("doc_id")
         .agg(F.max_by("pivot", "shared").alias("pivot"))
         .select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     )
     first = _verified(docs, scratch.written(_bounded(star, points, percent), "pairs"), words, percent)
     labels = components(first)
-    marked = hits.join(labels, hits["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    marked = hits.join(labels, hits["doc_id"] == labels["node"], "left").select("key", "doc_id", "pivot", F.coalesce("label", "doc_id").alias("label"))
     rows = scratch.written(_open_keys(marked), "open")
     second = _verified(docs, scratch.written(_tree_pairs(rows, points, percent), "pairs"), words, percent)
     return first.unionByName(second)

@@ -108,7 +108,7 @@ def test_hot_key_is_split_and_loses_no_pair(spark, monkeypatch):
     key = [7] * 205 + [8] * 3
     n = rng.integers(40, 60, len(label)).tolist()
     v = [np.bincount(rng.integers(0, 12, x), minlength=ngram_join.GROUPS).astype(np.uint8) for x in n]
-    rows = spark.createDataFrame([(k, i, x) for i, (k, x) in enumerate(zip(key, label))], "key long, doc_id long, label long")
+    rows = spark.createDataFrame([(k, i, 0 if k == 7 else 205, x) for i, (k, x) in enumerate(zip(key, label))], "key long, doc_id long, pivot long, label long")
     points = spark.createDataFrame([(i, x, y.tobytes()) for i, (x, y) in enumerate(zip(n, v))], "doc_id long, n long, vector binary")
     groups = ngram_join._grouped(rows).collect()
     assert max(collections.Counter(r.grp for r in groups).values()) < 4 * 20
@@ -124,6 +124,44 @@ def test_hot_key_is_split_and_loses_no_pair(spark, monkeypatch):
     assert not list(one.pairs())  # one component: nothing is listed
 
 
+def test_families_about_the_threshold_and_long_texts(spark):
+    rng = np.random.default_rng(11)
+
+    def edited(words, edits, tag):
+        words = list(words)
+        for at in rng.choice(len(words), edits, replace=False):
+            words[at] = f"{tag}x{at}"
+        return words
+
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    long = [f"l{i}" for i in rng.integers(0, 10**6, 20_000)]
+    texts = [edited(base, int(e), f"e{k}") for k, e in enumerate(rng.integers(5, 9, 60))]
+    texts += [long, edited(long, 500, "near"), edited(long, 800, "far"), edited(long, 10, "copy"), texts[3], base[:2]]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    under = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            union = len(sets[i] | sets[j])
+            under += 70 * union <= 100 * both < 75 * union
+            if 100 * both >= 75 * union:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert under > 30 and len(set(root)) > 5
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+
+
+def test_keys_of_the_same_holders_count_as_one(spark):
+    held = {1: [5, 6, 7], 2: [5, 6, 7], 3: [5, 6], 4: [6, 7], 8: [5, 6], 9: [5], 10: [5, 6, 6]}
+    keys = spark.createDataFrame([(k, d) for k, docs in held.items() for d in docs], "key long, doc_id long")
+    got = collections.defaultdict(list)
+    for r in ngram_join._shared_keys(keys).collect():
+        got[r.key, r.pivot, r.weight].append(r.doc_id)
+    assert {k: sorted(v) for k, v in got.items()} == {(1, 5, 2): [5, 6, 7], (3, 5, 2): [5, 6], (4, 6, 1): [6, 7], (10, 5, 1): [5, 6, 6]}
+
+
 def test_substring_dedup(docs, empty, rows):
     words = {i: WORD.findall(t or "") for i, t, *_ in rows}
     seen = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
