@@ -66,19 +66,25 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, all columns unchanged; of rows that share an id but not the text, each stays or goes by itself.
+    """One row of each group of equal texts, all columns unchanged; rows that share an id are judged on their own texts.
 
-    An id names one document, so rows equal in id and text stay or go together; of equal rows without
-    an id one stays.
+    Of the rows that share the id and the text of the one that stays (or have no id) the longest
+    original text stays, then the greatest row as JSON.
     """
     sha = F.sha2(content(docs[text_col]), 256)
-    drop = verdicts(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
-    drop = scratch.written(drop, "drop")
-    left = docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]) & (sha == drop["_drop_sha"]), "left_anti")
+    found = scratch.written(verdicts(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "verdicts")
+    drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_drop_sha")).distinct()
+    twice = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_twice"), F.col("text_sha256").alias("_twice_sha"))
+
+    def of(rows: DataFrame, names: str):
+        return docs[id_col].cast("long").eqNullSafe(rows[names]) & (sha == rows[f"{names}_sha"])
+
+    left = docs.join(drop, of(drop, "_drop"), "left_anti")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    best = F.struct(F.coalesce(F.char_length(text_col), F.lit(-1)), F.sha2(text_col, 256))  # the longest text, as above
-    unnamed = left.filter(F.col(id_col).isNull()).groupBy(sha.alias("_sha")).agg(F.max_by(whole, best).alias("_row"))
-    return left.filter(F.col(id_col).isNotNull()).unionByName(unnamed.select("_row.*"))
+    best = F.struct(F.coalesce(F.char_length(F.col(text_col)), F.lit(-1)), F.sha2(F.col(text_col), 256), F.to_json(whole))
+    again = left.join(twice, of(twice, "_twice"), "left_semi")
+    folded = again.groupBy(F.col(id_col).alias("_id"), F.sha2(content(F.col(text_col)), 256).alias("_sha")).agg(F.max_by(whole, best).alias("_row"))
+    return left.join(twice, of(twice, "_twice"), "left_anti").unionByName(folded.select("_row.*"))
 
 
 ORACLE = r"""

@@ -528,7 +528,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` whose id is the smallest of its component; an unknown id comes last.
 
     Rows are joined by a number made from id and text, so rows without an id and rows that share
-    one are verified on their own texts; rows equal in both are one document.
+    one are verified on their own texts; rows equal in both are one document, of which the greatest
+    row as JSON stays.
     """
     key = F.xxhash64(row_key(docs[id_col], docs[text_col]))
     keyed = docs.select(key.alias("_key"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("text"))
@@ -538,4 +539,10 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_key").alias("key"))
     kept = members.groupBy("_group").agg(F.min(order)["key"].alias("_kept"))
     drop = members.join(kept, "_group").filter("_key <> _kept").select(F.col("_key").alias("_drop")).distinct()
-    return docs.join(drop, key == drop["_drop"], "left_anti")
+    twice = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("_key").alias("_twice"))
+    twice = scratch.written(twice, "twice")
+    left = docs.join(drop, key == drop["_drop"], "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.join(twice, key == twice["_twice"], "left_semi")
+    folded = again.groupBy(F.xxhash64(row_key(F.col(id_col), F.col(text_col))).alias("_key")).agg(F.max_by(whole, F.to_json(whole)).alias("_row"))
+    return left.join(twice, key == twice["_twice"], "left_anti").unionByName(folded.select("_row.*"))
