@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from teebox.llm import bpe, decontaminate, exact_dedup, html_extract, langid, ngram_join, ngram_lm, queries, secret_scan, substring_dedup, warc
 
@@ -296,6 +297,61 @@ def test_html_template_and_markup(spark):
     assert (got[21], got[22], got[23]) == ("", "plain < text", "in")
 
 
+def test_boxes_that_only_counting_finds(spark):
+    schema = "page_id long, url string, html string"
+    word = lambda i: "".join(chr(97 + (i * k) % 26) for k in (3, 5, 7, 11))
+    story = lambda i: f"<h1>{word(i)} {i}</h1><p>tale {i} of {word(i)}</p><table><tr><td>0</td><td>{i}</td></tr></table><ul><li>yes</li><li>item {i} of {i}</li></ul>"
+    box = "<div class=x7><p>Our <b>shop</b> sells maps</p><ul><li>one</li></ul></div>"
+    inside = lambda i, extra: f"<body><article>{story(i)}{extra}<p>end {i}</p></article></body>"
+    beside = lambda i, extra: f"<body>{extra}<div>{story(i)}</div></body>"
+    clean = lambda i: f"{word(i)} {i}\ntale {i} of {word(i)}\n0\n{i}\nyes\nitem {i} of {i}"
+    boxed = "Our shop sells maps\none"
+    rows, want = [], {}
+
+    def put(host, i, html, text):
+        key = len(rows)
+        rows.append((key, f"https://{host}/{i}", html))
+        want[key] = text
+
+    for i in range(40):  # half of a host's pages, inside a marked article
+        put("half", i, inside(i, box if i % 2 else ""), f"{clean(i)}\nend {i}")
+    for i in range(5):  # a small host, no article marked
+        put("small", i, beside(i, box), clean(i))
+    for i in range(3):  # too few bodies to tell
+        put("few", i, beside(i, box), f"{boxed}\n{clean(i)}")
+    for _ in range(30):  # one article copied: one body, so nothing recurs
+        put("copies", 1, inside(1, box), f"{clean(1)}\n{boxed}\nend 1")
+    for i in range(12):  # an opening line that a third of the articles share stays, one that all share goes
+        line = "<h2>Same words on top</h2><p>Same words on top again</p>" if i % 3 == 0 else ""
+        put("lines", i, inside(i, line + "<p>Read by everyone here</p>"), f"{clean(i)}\n" + ("Same words on top\nSame words on top again\n" if line else "") + f"end {i}")
+    for i in range(8):  # named on some pages, unnamed on others
+        put("named", i, beside(i, f"<div class={'promo' if i < 6 else 'q1'}>Buy two for one</div>"), clean(i))
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, schema).repartition(5)).collect()}
+    assert got == want
+    assert html_extract.main_text(spark.createDataFrame([], schema)).collect() == []
+    long = "<p>" + "word &amp; " * 200_000
+    only = html_extract.main_text(spark.createDataFrame([(1, None, long), (1, None, long)], schema)).collect()
+    assert [r.text for r in only] == [("word & " * 200_000).strip()] * 2
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_registered_html_query_equals_plain_counting(spark, folder):
+    """Template counts with Python sets, over all pages, equal what the query counts in Spark."""
+    pages = queries.table(spark, f"/root/testdata/{folder}", "pages").select("page_id", "url", "html", html_extract.host(F.col("url")).alias("host")).collect()
+    parsed = [html_extract.Page(r.html or "") for r in pages]
+    seen, bodies = {}, {}
+    for r, page in zip(pages, parsed):
+        bodies.setdefault(r.host, set()).add(page.body())
+        for x in page.subtrees():
+            seen.setdefault((r.host, x), set()).add(page.body())
+    template = {k for k, v in seen.items() if len(v) >= 4 and len(v) >= len(bodies[k[0]]) / 4}
+    frequent = {k for k in template if len(seen[k]) >= 0.6 * len(bodies[k[0]])}
+    want = {r.page_id: page.text({x for h, x in template if h == r.host}, {x for h, x in frequent if h == r.host}) for r, page in zip(pages, parsed)}
+    got = queries.QUERIES["op5_html_extraction"](spark, f"/root/testdata/{folder}").collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(pages)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_decontamination(spark, docs, empty, rows):
     rng = random.Random(9)
     items = [" ".join("".join(rng.choice("klmnopqrst") for _ in range(5)) for _ in range(n)) for n in (18, 30, 70)]
