@@ -321,6 +321,48 @@ def q_normalize_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# So many rounds are listed in one summary payload.
+LISTED = 50
+
+
+def q_export_scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary payloads of 50 rounds each, details and shot payloads put together to one document a scorecard.
+
+    Returns what each document holds, read from its JSON.
+    """
+    from teebox.sources.fixtures import materialized_export_documents
+
+    v = F.explode(F.array(F.parse_json("doc")))
+    docs = materialized_export_documents(spark, sf_dir).select(v.alias("v"))
+    text = lambda path: F.to_json(F.try_variant_get("v", path, "variant"))
+    sid = F.try_variant_get("v", "$.summary.scorecardSummaries[0].id", "bigint")
+    details = docs.select(sid.alias("scorecard_id"), text("$.details[0]").alias("detail"))
+    shots = docs.select(sid.alias("scorecard_id"), text("$.shots[0].payload").alias("payload"))
+    rounds, _, _ = _tables(spark, sf_dir)
+    row = F.struct(F.col("round_id").alias("id"), F.col("start_time").alias("startTime"), F.col("course_name").alias("courseName"))
+    page = F.floor(F.col("round_id") / LISTED).alias("pageNumber")
+    pages = rounds.groupBy(page).agg(F.collect_list(row).alias("scorecardSummaries"), F.count(F.lit(1)).alias("totalRows"))
+    summaries = pages.select(F.to_json(F.struct("pageNumber", "totalRows", "scorecardSummaries")).alias("summary"))
+    out = ex.export_scorecards(summaries, details, shots, "teebox-export", "2025-06-02T00:00:00+00:00")
+    d = F.col("d")
+    get = lambda path, kind: F.try_variant_get(d, path, kind)
+    holes = get("$.shots[0].payload.holeShots", "array<struct<holeNumber:bigint,shots:array<variant>>>")
+    return out.select("scorecard_id", F.explode(F.array(F.parse_json("doc"))).alias("d")).select(
+        "scorecard_id",
+        get("$.exportedAt", "string").alias("exported_at"),
+        get("$.source", "string").alias("source"),
+        get("$.summary.pageNumber", "bigint").alias("page_number"),
+        get("$.summary.totalRows", "bigint").alias("total_rows"),
+        F.size(get("$.summary.scorecardSummaries", "array<variant>")).cast("bigint").alias("listed"),
+        get("$.summary.scorecardSummaries[0].id", "bigint").alias("listed_id"),
+        get("$.summary.scorecardSummaries[0].courseName", "string").alias("course_name"),
+        F.size(get("$.details", "array<variant>")).cast("bigint").alias("details"),
+        F.coalesce(F.size(get("$.details[0].scorecardDetails[0].scorecard.holes", "array<variant>")), F.lit(0)).cast("bigint").alias("holes"),
+        get("$.shots[0].scorecardId", "bigint").alias("shots_id"),
+        F.aggregate(holes, F.lit(0).cast("bigint"), lambda n, h: n + F.size(h["shots"])).alias("shots"),
+    )
+
+
 # The first drop of export files holds rounds played before this day.
 FIRST_DROP_BEFORE = "1998-01-01"
 
@@ -419,6 +461,7 @@ QUERIES: dict[str, Query] = {
     "normalize_rounds": q_normalize_rounds,
     "normalize_holes": q_normalize_holes,
     "normalize_shots": q_normalize_shots,
+    "export_scorecards": q_export_scorecards,
     "incremental_ingest": q_incremental_ingest,
     "course_report": q_course_report,
     "round_second_shots": q_round_second_shots,

@@ -949,6 +949,18 @@ def normalize_shots_sql() -> str:
 FROM g_shots"""
 
 
+def export_scorecards_sql() -> str:
+    return with_fixture() + """SELECT r.round_id AS scorecard_id, '2025-06-02T00:00:00+00:00' AS exported_at, 'teebox-export' AS source,
+       CAST(floor(r.round_id / 50.0) AS BIGINT) AS page_number,
+       count(*) OVER (PARTITION BY floor(r.round_id / 50.0)) AS total_rows,
+       1 AS listed, r.round_id AS listed_id, r.course_name, 1 AS details,
+       COALESCE(h.n, 0) AS holes, r.round_id AS shots_id, s.n AS shots
+FROM g_rounds r
+LEFT JOIN (SELECT round_id, count(*) AS n FROM g_holes GROUP BY round_id) h ON h.round_id = r.round_id
+LEFT JOIN (SELECT round_id, count(*) AS n FROM g_shots GROUP BY round_id) s ON s.round_id = r.round_id
+QUALIFY s.n IS NOT NULL"""
+
+
 # ------------------------------------------------------------------ reports
 def course_report_sql() -> str:
     ctes = (
@@ -1000,6 +1012,7 @@ def ORACLE_SQL() -> dict[str, str]:  # noqa: N802
         "normalize_rounds": normalize_rounds_sql(),
         "normalize_holes": normalize_holes_sql(),
         "normalize_shots": normalize_shots_sql(),
+        "export_scorecards": export_scorecards_sql(),
         "incremental_ingest": normalize_rounds_sql(),
         "canonical_rounds": canonical_rounds_sql(),
         "round_aliases": round_aliases_sql(),
