@@ -4,7 +4,7 @@ A word-end BPE vocabulary (``tokenizers`` JSON: lower case, white space dropped,
 ``</w>`` at word ends) is read from a path that is a parameter; each worker loads it once.
 Byte pairs that never occur inside any vocabulary token mark certain cuts: no merge can
 cross them, so a pre-token is cut there, each fragment is merged on its own, and the
-fragments' ids are concatenated.  A bounded cache keeps the ids of recent pre-tokens.
+fragments' ids are concatenated.  A bounded cache keeps the ids of a task's recent pre-tokens.
 
 Words are split by the ``regex`` module.  Its Unicode tables and the library's differ in age, so a
 text with a character that Unicode 3.2 didn't have, or classed otherwise, is normalised and split
@@ -197,19 +197,22 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     @scratch.tidy
     def run(batches):
         bpe = load(vocab_path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.record_batch(
-                    [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                        pa.array([bpe.decode(x) for x in ids], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, rows):
+                    part = batch.slice(lo, rows)
+                    ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                    yield pa.record_batch(
+                        [
+                            part.column(0),
+                            pa.array([len(x) // 4 for x in ids], pa.int64()),
+                            pa.array(ids, pa.binary()),
+                            pa.array([bpe.decode(x) for x in ids], pa.string()),
+                        ],
+                        names=["doc_id", "n_tokens", "ids", "decoded"],
+                    )
+        finally:  # the worker lives on: its next tasks are other stages'
+            bpe.cache.clear()
 
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
