@@ -365,8 +365,8 @@ def canonical_rounds(rounds: DataFrame, pairs: DataFrame | None = None) -> DataF
         F.col("location_name").alias("_a_location_name"),
     )
     merged = (
-        cards.join(pairs, cards["round_id"] == pairs["scorecard_round_id"], "left")
-        .join(act_side, F.col("activity_round_id") == F.col("_a_round_id"), "left")
+        cards.join(pairs.hint("merge"), cards["round_id"] == pairs["scorecard_round_id"], "left")
+        .join(act_side.hint("merge"), F.col("activity_round_id") == F.col("_a_round_id"), "left")
     )
     matched = F.col("_a_round_id").isNotNull()
     loc = F.col("location_name")
@@ -384,7 +384,7 @@ def canonical_rounds(rounds: DataFrame, pairs: DataFrame | None = None) -> DataF
             for c in cols
         ]
     )
-    unmatched = acts.join(pairs, acts["round_id"] == pairs["activity_round_id"], "left_anti").select(*cols)
+    unmatched = acts.join(pairs.hint("merge"), acts["round_id"] == pairs["activity_round_id"], "left_anti").select(*cols)
     return merged.unionByName(unmatched)
 
 

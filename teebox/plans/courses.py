@@ -31,9 +31,9 @@ def course_hole_stats(rounds: DataFrame, holes: DataFrame, by: Sequence[str] = (
     """
     by = list(by)
     if by:
-        joined = holes.join(rounds.select("round_id", *by), on="round_id", how="inner")
+        joined = holes.join(rounds.select("round_id", *by).hint("merge"), on="round_id", how="inner")
     else:
-        joined = holes.join(rounds.select("round_id"), on="round_id", how="left_semi")
+        joined = holes.join(rounds.select("round_id").hint("merge"), on="round_id", how="left_semi")
     tp = X.to_par()
     keys = [*by, "hole_number"]
     table = joined.groupBy(*keys).agg(

@@ -98,7 +98,7 @@ def _numbered(rounds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _per_round(rounds: DataFrame, holes: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    base = _numbered(rounds, by).join(hole_components(holes, ["round_id"]), on="round_id", how="left")
+    base = _numbered(rounds, by).join(hole_components(holes, ["round_id"]).hint("merge"), on="round_id", how="left")
     hc = F.col("hole_count")
     cols: list[Column] = []
     names: list[str] = []
