@@ -2,11 +2,9 @@
 
 Words are lower-cased runs of letters and digits, hashed to 2^15 features with idf weights
 from the word counts of all documents.  A randomised SVD of TF-IDF passages is
-computed in Spark: tasks add up ``A^T (A R)`` for a random test matrix R over the fit passages,
-the driver orthonormalises that small matrix (features x rank), tasks add up the projected
-Gram matrix, and its eigenvectors give the latent basis.  The fit takes at most about
-``FIT_DOCS`` documents, taken by a hash of their id, and the benchmark's own passages; every
-document is then searched.
+computed in Spark: tasks add up ``Y = A^T (A R)`` for a random test matrix R over the passages of
+every document and of the benchmark, and the driver takes the latent basis from that small
+matrix (features x rank).  Every document is then searched.
 
 Every document is cut into overlapping windows of a few lengths.  A window whose latent
 vector has a cosine of at least ``COSINE`` with a benchmark passage of like length is a
@@ -37,7 +35,6 @@ from teebox.llm.text import slices, word_bounds, word_hashes
 
 FEATURE_BITS = 15
 RANK = 32
-FIT_DOCS = 2048
 FIT_WINDOW = 32
 WINDOWS = (16, 24, 32, 48, 64)  # lengths in words
 COSINE = 0.4
@@ -127,8 +124,11 @@ def _window_sums(x: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Features x rank basis of the passages' TF-IDF matrix, already scaled by idf."""
-    spark = passages.sparkSession
+    """Features x rank basis of the TF-IDF matrix A of the texts' passages, already scaled by idf.
+
+    Passages are runs of ``FIT_WINDOW`` words, the last of a text what is left.  One pass over the texts adds up
+    ``Y = A^T A R``; with ``R^T Y`` it holds what the leading eigenvectors of ``A^T A`` are taken from (Nystroem).
+    """
     size, wide = 1 << FEATURE_BITS, rank + 8
     test = np.random.default_rng(17).standard_normal((size, wide)).astype(np.float32)
 
@@ -137,50 +137,33 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
         y = np.zeros((size, wide))
         weighted = test * idf[:, None]
         for batch in batches:
-            for _, _, h, first in _words(batch.column(0), 1 << 18):
+            for _, _, h, first in _words(batch.column(0), 1 << 20):
                 f = _feature(h)
                 if not len(f):
                     continue
-                start, end, _ = _window_sums(f, first, FIT_WINDOW)
-                c = np.concatenate([np.zeros((1, wide), np.float32), np.cumsum(weighted[f], axis=0, dtype=np.float64)])
-                z = c[end] - c[start]
-                norm = np.concatenate([[0.0], np.cumsum(idf[f].astype(np.float64) ** 2)])
-                z /= np.maximum(norm[end] - norm[start], 1e-9)[:, None]  # rows of unit length, on both sides
-                spread = np.zeros((len(f) + 1, wide))
-                np.add.at(spread, start, z)
-                np.subtract.at(spread, end, z)
-                back = np.cumsum(spread[:-1], axis=0) * idf[f].astype(np.float64)[:, None]
-                order = np.argsort(f, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(f[order]) != 0]))
-                y[f[order][cut]] += np.add.reduceat(back[order], cut, axis=0)
+                words = np.diff(first)
+                start = np.flatnonzero((np.arange(len(f)) - np.repeat(first[:-1], words)) % FIT_WINDOW == 0)
+                z = np.add.reduceat(weighted[f], start, axis=0)
+                norm = np.add.reduceat(idf[f].astype(np.float64) ** 2, start)
+                z /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)  # rows of unit length, on both sides
+                order = np.argsort(f.astype(np.uint16), kind="stable")
+                passage = np.repeat(np.arange(len(start)), np.diff(start, append=len(f)))[order]
+                cut = np.flatnonzero(np.diff(f[order], prepend=-1))
+                y[f[order][cut]] += np.add.reduceat(z[passage], cut, axis=0) * idf[f[order][cut], None]
         yield _blocks({p: x for p, x in enumerate(np.split(y, PARTS))})
 
     parts = _summed(passages.mapInArrow(sketch, "part int, data binary"))
+    basis = np.zeros((size, rank), np.float32)
     if not parts:
-        return np.zeros((size, rank), np.float32)
+        return basis
     y = np.concatenate([parts[p].reshape(-1, wide) for p in range(PARTS)])
-    q, _ = np.linalg.qr(y)
-    shared = spark.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
-
-    @scratch.tidy
-    def gram(batches):
-        total = np.zeros((wide, wide))
-        for batch in batches:
-            for _, _, h, first in _words(batch.column(0), 1 << 18):
-                f = _feature(h)
-                if not len(f):
-                    continue
-                start, end, _ = _window_sums(f, first, FIT_WINDOW)
-                c = np.concatenate([np.zeros((1, wide)), np.cumsum(shared.value[f], axis=0, dtype=np.float64)])
-                norm = np.concatenate([[0.0], np.cumsum(idf[f].astype(np.float64) ** 2)])
-                x = (c[end] - c[start]) / np.sqrt(np.maximum(norm[end] - norm[start], 1e-9))[:, None]
-                total += x.T @ x
-        yield _blocks({0: total})
-
-    g = _summed(passages.mapInArrow(gram, "part int, data binary"))[0].reshape(wide, wide)
-    value, vector = np.linalg.eigh(g)
-    top = vector[:, np.argsort(-value)[:rank]]
-    return ((q @ top) * idf[:, None]).astype(np.float32)
+    core = test.T.astype(np.float64) @ y
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    held = value > max(value[-1], 0) * 1e-9
+    if held.any():
+        u, _, _ = np.linalg.svd(y @ (vector[:, held] / np.sqrt(value[held])), full_matrices=False)
+        basis[:, : min(rank, u.shape[1])] = u[:, :rank] * idf[:, None]
+    return basis
 
 
 # --- items --------------------------------------------------------------------------------
@@ -334,11 +317,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), answer.alias("answer")).filter("text IS NOT NULL")
     idf = idf_weights(docs)
-    rows = max(1, docs.count())
-    rate = min(1.0, FIT_DOCS / rows)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("text")
-    fit = scratch.written(sample.unionByName(items.select("text")).repartition(8), "fit")
-    basis = latent_basis(fit, idf)
+    basis = latent_basis(docs.select("text").unionByName(items.select("text")), idf)
     out = None
     blocks = max(1, -(-items.count() // BLOCK))
     for k in range(blocks):

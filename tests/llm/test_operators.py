@@ -409,3 +409,22 @@ def test_secret_scan_finds_values_after_long_names(spark):
     texts = [(1, "POSTGRES_ADMIN_PASSWORD=S3cr3tPass!"), (2, "A_VERY_LONG_NAME_OF_TOKEN==abcd1234 and more"), (3, 'token = "0123456789abcdef0123456789"')]
     got = {(r.doc_id, r.secret) for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert {(1, "S3cr3tPass!"), (2, "=abcd1234"), (3, "0123456789abcdef0123456789")} <= got
+
+
+def test_decontamination_learns_from_every_document(spark, monkeypatch):
+    """The latent basis is fitted on all texts and items, however many there are."""
+    from teebox.llm import decontaminate
+
+    fitted = []
+    real = decontaminate.latent_basis
+
+    def basis(passages, idf):
+        fitted.append(passages.count())
+        return real(passages, idf)
+
+    monkeypatch.setattr(decontaminate, "latent_basis", basis)
+    phrase = "the quick amber fox jumps across seven lazy rivers before dawn breaks over hills"
+    texts = [(i, f"word{i % 97} filler{i % 89} plain text number {i}" + (f" {phrase}" if i == 2999 else "")) for i in range(3000)]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, phrase)], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(2999, 1)]
+    assert fitted == [3001]
