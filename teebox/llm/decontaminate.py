@@ -43,6 +43,7 @@ ANSWER = 0.5
 ANSWER_WORDS = 6
 BLOCK = 20_000
 PARTS = 16
+RUN = 32  # rows added up in one step
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 for _b in range(128):
@@ -123,6 +124,27 @@ def _window_sums(x: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return start[keep], end[keep], doc[keep]
 
 
+def _segment_sums(values: np.ndarray, pick: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``values[pick]`` over segments that begin at ``start`` (the first at 0, none empty).
+
+    Segments are cut into runs of at most ``RUN`` rows; all runs' k-th rows are added at once, the longest runs first.
+    """
+    length = np.diff(start, append=len(pick))
+    runs = -(-length // RUN)
+    first = np.cumsum(runs) - runs
+    at = np.repeat(start - first * RUN, runs) + RUN * np.arange(runs.sum())
+    left = np.minimum(np.repeat(start + length, runs) - at, RUN)
+    order = np.argsort(-left, kind="stable")
+    at, left = at[order], left[order]
+    sums = np.take(values, pick[at], axis=0)
+    for k in range(1, int(left[0])):
+        n = np.count_nonzero(left > k)
+        sums[:n] += np.take(values, pick[at[:n] + k], axis=0)
+    back = np.empty_like(sums)
+    back[order] = sums
+    return back if len(back) == len(start) else np.add.reduceat(back, first, axis=0)
+
+
 def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Features x rank basis of the TF-IDF matrix A of the texts' passages, already scaled by idf.
 
@@ -143,13 +165,14 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
                     continue
                 words = np.diff(first)
                 start = np.flatnonzero((np.arange(len(f)) - np.repeat(first[:-1], words)) % FIT_WINDOW == 0)
-                z = np.add.reduceat(weighted[f], start, axis=0)
+                z = _segment_sums(weighted, f, start)
                 norm = np.add.reduceat(idf[f].astype(np.float64) ** 2, start)
                 z /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)  # rows of unit length, on both sides
                 order = np.argsort(f.astype(np.uint16), kind="stable")
                 passage = np.repeat(np.arange(len(start)), np.diff(start, append=len(f)))[order]
-                cut = np.flatnonzero(np.diff(f[order], prepend=-1))
-                y[f[order][cut]] += np.add.reduceat(z[passage], cut, axis=0) * idf[f[order][cut], None]
+                f = f[order]
+                cut = np.flatnonzero(np.diff(f, prepend=-1))
+                y[f[cut]] += _segment_sums(z, passage, cut) * idf[f[cut], None]
         yield _blocks({p: x for p, x in enumerate(np.split(y, PARTS))})
 
     parts = _summed(passages.mapInArrow(sketch, "part int, data binary"))
@@ -262,17 +285,19 @@ def _search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
         it, v = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, _, h, first in _words(batch.column(1), 1 << 20):
+            for lo, _, h, first in _words(batch.column(1), 1 << 18):
                 if not len(h):
                     continue
                 places = it.answer_places(h)
-                c = np.concatenate([np.zeros((1, v.shape[1]), np.float32), np.cumsum(v[_feature(h)], axis=0, dtype=np.float32)])
+                c = np.zeros((len(h) + 1, v.shape[1]), np.float32)
+                np.take(v, _feature(h), axis=0, out=c[1:], mode="clip")
+                np.cumsum(c, axis=0, out=c)
                 best: dict[tuple[int, int], list] = {}
                 for size, (vectors, numbers) in it.pieces.items():
                     start, end, doc = _window_sums(h, first, size)
                     for cut in range(0, len(start), 1 << 14):
                         s, e, d = start[cut : cut + (1 << 14)], end[cut : cut + (1 << 14)], doc[cut : cut + (1 << 14)]
-                        x = c[e] - c[s]
+                        x = np.take(c, e, axis=0) - np.take(c, s, axis=0)
                         x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
                         cosine = x @ vectors.T
                         w, p = np.divmod(np.flatnonzero(cosine >= COSINE), len(numbers))

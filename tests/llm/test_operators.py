@@ -428,3 +428,26 @@ def test_decontamination_learns_from_every_document(spark, monkeypatch):
     found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, phrase)], "item_id long, text string"))
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(2999, 1)]
     assert fitted == [3001]
+
+
+def test_segment_sums_add_runs_of_any_length(monkeypatch):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 9, (50, 4)).astype(np.float32)
+    calls = []
+    add = np.add
+
+    class Counted:
+        @staticmethod
+        def reduceat(x, start, axis):
+            calls.append(len(x))
+            return add.reduceat(x, start, axis=axis)
+
+    for lengths in ([1], [32], [33, 1], [1, 200, 31, 64, 2], [3] * 40):
+        start = np.cumsum([0, *lengths[:-1]])
+        pick = rng.integers(0, 50, sum(lengths))
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate.np, "add", Counted)
+            got = decontaminate._segment_sums(values, pick, start)
+        assert np.array_equal(got, [values[pick[a : a + n]].sum(axis=0) for a, n in zip(start, lengths)])
+    # only segments of more than one run are added up row by row, and by their runs
+    assert calls == [3, 12]
