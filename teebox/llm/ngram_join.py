@@ -94,11 +94,13 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
 
     schema = "part int, counts binary"
     rows = docs.mapInArrow(count, schema).repartition(SKETCH_PARTS, "part").mapInArrow(add, schema).collect()
-    total = np.zeros(size, np.int64)
+    # part by part: whole arrays of doubles are many times what the levels take
+    mean = sum(int(np.frombuffer(r["counts"], "<u4").sum(dtype=np.int64)) for r in rows) / size + 1
+    levels = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint8)
     for r in rows:
-        total.reshape(SKETCH_PARTS, -1)[r["part"]] += np.frombuffer(r["counts"], "<u4")
-    mean = total.sum() / size + 1
-    return np.clip(np.ceil(4 * np.log2(np.maximum(total / mean, 0.5))), 0, 15).astype(np.uint8)
+        counts = np.frombuffer(r["counts"], "<u4")
+        levels[r["part"]] = np.clip(np.ceil(4 * np.log2(np.maximum(counts / mean, 0.5))), 0, 15)
+    return levels.reshape(-1)
 
 
 # --- sets and keys ------------------------------------------------------------------------
@@ -151,6 +153,13 @@ def _sorted_groups(batches) -> tuple[list[np.ndarray], np.ndarray] | None:
     return cols, np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))
 
 
+def _held_keys(keys: DataFrame) -> DataFrame:
+    """(key, doc_id): rows of keys that two or more documents hold; rows are dealt out by key once, for the count and the join."""
+    dealt = keys.repartition("key")
+    held = dealt.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    return dealt.join(held.select("key").hint("merge"), "key").select("key", "doc_id")
+
+
 def _shared_keys(keys: DataFrame) -> DataFrame:
     """(key, doc_id, pivot, weight): rows of keys that two or more documents hold; pivot is the key's smallest id.
 
@@ -158,8 +167,7 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     number as weight.  Holders are told apart by their smallest and largest id, their number and the sums
     of two halves of a 64-bit hash, which add up however often an id occurs.
     """
-    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    raw = scratch.written(keys.join(held.select("key"), "key").select("key", "doc_id"), "raw-hits")
+    raw = scratch.written(_held_keys(keys), "raw-hits")
     h = F.xxhash64("doc_id")
     holders = raw.groupBy("key").agg(
         F.min("doc_id").alias("pivot"),
@@ -169,7 +177,9 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
         F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
     )
     kept = holders.filter("pivot < last").groupBy("pivot", "last", "c", "high", "low").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
-    return raw.join(kept.select("key", "pivot", "weight"), "key").select("key", "doc_id", "pivot", "weight")
+    hits = scratch.written(raw.join(kept.select("key", "pivot", "weight"), "key").select("key", "doc_id", "pivot", "weight"), "hits")
+    scratch.remove(raw)
+    return hits
 
 
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +241,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) of ``pairs`` (a, b, n: both sets' size) whose whole sets link, but for those that only close a circle.
 
+    ``pairs`` is a written table, which is deleted: nothing needs it after.
+
     Pairs that hang together are verified together, so a set travels once per unit and not once
     per pair; a family whose pairs hold more than UNIT_BYTES is split by pair into units of about
     that size, so one document's pairs are split too.
@@ -266,7 +278,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                 out.append((a, b))
         return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return scratch.written(family.groupBy("unit").cogroup(wanted.groupBy("at")).applyInArrow(run, "a long, b long"), "links")
+    links = scratch.written(family.groupBy("unit").cogroup(wanted.groupBy("at")).applyInArrow(run, "a long, b long"), "links")
+    for table in (family, sets, pairs):
+        scratch.remove(table)
+    return links
 
 
 def _links_exactly(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -472,7 +487,9 @@ def _tree_pairs(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     rows = scratch.written(_grouped(rows), "groups")
     parts = max(scratch.partitions(rows.sparkSession), -(-rows.count() // TASK_ROWS))
     dealt = rows.join(points, "doc_id").select("deal", "grp", "doc_id", "side", "label", "n", "vector").repartition(parts, "deal")
-    return dealt.mapInArrow(run, PAIRS).distinct()
+    pairs = scratch.written(dealt.mapInArrow(run, PAIRS).distinct(), "pairs")
+    scratch.remove(rows)
+    return pairs
 
 
 def _pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -495,7 +512,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(heads.select("d1", "d2", F.col("head").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
         .select(F.explode("keys").alias("key"), "doc_id")
     )
-    hits = scratch.written(_shared_keys(keys), "hits")
+    hits = _shared_keys(keys)
     edges = _links(docs, hits, prints.select("doc_id", "n", "vector"), words, percent)
     labels = components(edges)
     return (
@@ -507,7 +524,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _links(docs: DataFrame, hits: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified edges (a, b) whose components are those of all links."""
+    """Verified edges (a, b) whose components are those of all links; ``hits`` is deleted when nothing needs it any more."""
     star = (
         hits.filter("doc_id <> pivot")
         .groupBy("doc_id", "pivot")
@@ -520,7 +537,10 @@ def _links(docs: DataFrame, hits: DataFrame, points: DataFrame, words: int, perc
     labels = components(first)
     marked = hits.join(labels, hits["doc_id"] == labels["node"], "left").select("key", "doc_id", "pivot", F.coalesce("label", "doc_id").alias("label"))
     rows = scratch.written(_open_keys(marked), "open")
-    second = _verified(docs, scratch.written(_tree_pairs(rows, points, percent), "pairs"), words, percent)
+    pairs = _tree_pairs(rows, points, percent)
+    scratch.remove(rows)
+    scratch.remove(hits)
+    second = _verified(docs, pairs, words, percent)
     return first.unionByName(second)
 
 

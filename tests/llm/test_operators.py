@@ -451,3 +451,50 @@ def test_segment_sums_add_runs_of_any_length(monkeypatch):
         assert np.array_equal(got, [values[pick[a : a + n]].sum(axis=0) for a, n in zip(start, lengths)])
     # only segments of more than one run are added up row by row, and by their runs
     assert calls == [3, 12]
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    from teebox.llm import scratch
+
+    def files():
+        root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in root for _, _, found in os.walk(d) for f in found if f.startswith("shuffle_")}
+
+    before = files()
+    rows = spark.range(5000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count()
+    assert scratch.written(rows, "test").count() == 7
+    left = files() - before
+    # the count's own shuffle is not a written one; those of the write are gone
+    assert not [f for f in left if f.endswith(".data") and int(f.split("_")[1]) < max(int(g.split("_")[1]) for g in left)]
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    from teebox.llm import graph, scratch
+
+    written, tags = scratch.written, []
+    monkeypatch.setattr(scratch, "written", lambda df, tag: tags.append(tag) or written(df, tag))
+    star = spark.createDataFrame([(5, 1), (1, 7), (9, 3), (5, 1)], "a long, b long")
+    assert {tuple(r) for r in graph.components(star).collect()} == {(1, 1), (5, 1), (7, 1), (3, 3), (9, 3)}
+    assert tags == ["edges"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 31)], "a long, b long")
+    assert {tuple(r) for r in graph.components(path).collect()} == {(i, 0) for i in range(21)} | {(i, 30) for i in (30, 31, 40)}
+
+
+def test_keys_are_shuffled_once(spark):
+    keys = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (3, 7), (3, 7), (4, 8), (4, 9)], "key long, doc_id long")
+    held = ngram_join._held_keys(keys)
+    assert sorted(map(tuple, held.collect())) == [(1, 5), (1, 6), (4, 8), (4, 9)]
+    plan = held._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and sum("ReusedExchange" in line for line in dealt) == 1
+
+
+def test_rarity_stays_small_on_the_driver(spark, docs):
+    import tracemalloc
+
+    ngram_join.scratch.ready(docs)
+    tracemalloc.start()
+    levels = ngram_join.rarity(docs.select("text"), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(levels) == 1 << ngram_join.SKETCH_BITS and peak < 96 << 20
