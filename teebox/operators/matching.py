@@ -364,10 +364,9 @@ def canonical_rounds(rounds: DataFrame, pairs: DataFrame | None = None) -> DataF
         F.col("activity_id").alias("_a_activity_id"),
         F.col("location_name").alias("_a_location_name"),
     )
-    merged = (
-        cards.join(pairs.hint("merge"), cards["round_id"] == pairs["scorecard_round_id"], "left")
-        .join(act_side.hint("merge"), F.col("activity_round_id") == F.col("_a_round_id"), "left")
-    )
+    # pairs meet their activities first: a few rows move, the cards stay where they are
+    found = pairs.join(act_side.hint("merge"), pairs["activity_round_id"] == F.col("_a_round_id"), "left")
+    merged = cards.join(found.hint("merge"), cards["round_id"] == F.col("scorecard_round_id"), "left")
     matched = F.col("_a_round_id").isNotNull()
     loc = F.col("location_name")
     merged = merged.select(
