@@ -11,7 +11,8 @@ whole sequence; no words: empty and linked with nothing).  Two documents link wh
    bring documents together.  The order only affects speed, never which pairs meet.
 3. Keys held by one class fall away, and keys that the same documents hold count as one key
    (near copies share many), whose weight is their number.  Every class is first checked against
-   one document it shares most keys with; verified links are joined into components.
+   the centre it shares most keys with (a key's centre is its holder with most shared keys); verified
+   links are joined into components.
 4. Keys that still hold two or more components get an R-tree: shingles are hashed into 256
    groups, a set's group counts are a point, and the overlap of two subtrees (or points) is
    at most the sum of the coordinate-wise minima of their upper corners.  Subtrees whose
@@ -182,6 +183,17 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return hits
 
 
+def _with_centres(hits: DataFrame) -> DataFrame:
+    """``hits`` (key, doc_id, pivot, weight) with another pivot: of the key's holders the one with most shared keys, then the smallest id.
+
+    Of a text and its edited copies that is the text itself, as an edit makes shingles that nobody else holds:
+    copies link with it where they may not link with each other.
+    """
+    rank = hits.groupBy("doc_id").agg(F.sum("weight").alias("shared"))
+    centres = hits.join(rank, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("shared", F.bitwise_not("doc_id"))).alias("centre"))
+    return hits.join(centres, "key").select("key", "doc_id", F.col("centre").alias("pivot"), "weight")
+
+
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     return (h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (h & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
@@ -398,8 +410,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     A key of at most GROUP_ROWS rows is a group in which every row is a side.  The rows of a larger key
     fall into blocks of about GROUP_ROWS rows: a component above that size into blocks of its own, the
     others into mixed ones.  Groups are then the mixed blocks, and two blocks, each a side, unless
-    both belong to one component.  Groups of one deal are searched by one task: keys with the same smallest
-    id, in shares of about DEAL_ROWS rows; a group of a large key is a deal of its own.
+    both belong to one component.  Groups of one deal are searched by one task: keys with the same
+    pivot, in shares of about DEAL_ROWS rows; a group of a large key is a deal of its own.
     """
     own = F.col("c") > GROUP_ROWS
     plan = (
@@ -512,7 +524,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(heads.select("d1", "d2", F.col("head").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
         .select(F.explode("keys").alias("key"), "doc_id")
     )
-    hits = _shared_keys(keys)
+    shared = _shared_keys(keys)
+    hits = scratch.written(_with_centres(shared), "centred")
+    scratch.remove(shared)
     edges = _links(docs, hits, prints.select("doc_id", "n", "vector"), words, percent)
     labels = components(edges)
     return (

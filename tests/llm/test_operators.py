@@ -498,3 +498,20 @@ def test_rarity_stays_small_on_the_driver(spark, docs):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(levels) == 1 << ngram_join.SKETCH_BITS and peak < 96 << 20
+
+
+def test_copies_meet_at_the_text_they_were_made_from(spark, monkeypatch):
+    """Copies that link with their text but not with each other are no candidates of each other; the text's id is not the smallest."""
+    base = [f"w{i}" for i in range(150)]
+    copies = [[f"e{k}" if i in (k, k + 7, 2 * k + 20) else w for i, w in enumerate(base)] for k in range(10, 60)]
+    texts = copies[:20] + [base] + copies[20:]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    asked, verified = [], ngram_join._verified
+
+    def counted(docs, pairs, words, percent):
+        asked.append({(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()})
+        return verified(docs, pairs, words, percent)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    assert {r.component_id for r in ngram_join.near_duplicates(df).collect()} == {0}
+    assert asked == [{(min(i, 20), max(i, 20)) for i in range(len(texts)) if i != 20}, set()]
